@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import langid, toxicity
+from kindred.llm import decontaminate, langid, packing, tokens, toxicity, urlrules
 from kindred.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def remainder(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -20,6 +26,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.read(tokens.write(documents, tokenizer_path("byte_bpe_50k.json"), end=0, spaced=True, vocabulary=50_257))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlrules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(documents.where(remainder(3) != 1))
@@ -27,10 +54,40 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(documents, tokenizer_path("word_bpe_49k.json"), end=1, spaced=False, capacity=4096)
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_token_ids": op3_token_ids,
+    "op5_decontamination": op5_decontamination,
+    "op6_url_rules": op6_url_rules,
     "op7_language": op7_language,
+    "op8_packing": op8_packing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": r"""
+        with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        q as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[k : k + 9], ' ') as t from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k from i where len(w) > 0)),
+        s as (select distinct n from q),
+        d as (select doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') as t from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from w, s where len(w) >= n)),
+        m as (select doc_id, k, d.n, item_id from d join q on d.t = q.t and d.n = q.n),
+        h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from m) group by doc_id),
+        x as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as l from m group by doc_id)
+        select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from w left join h using (doc_id) left join x using (doc_id)
+    """,
+    "op6_url_rules": r"""
+        with p as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+        q as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+        r(h, p, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+        select page_id, host, path, max_by(h || p, length(h || p)) as rule, coalesce(max_by(v, length(h || p)), 'allow') as verdict
+        from q left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+        group by page_id, host, path
+    """,
+}
