@@ -185,9 +185,9 @@ def _flatten(capacity: int):
 def cut(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, capacity: int) -> DataFrame:
     """Every document's ids, cut into pieces of at most capacity: doc_id, piece, start, length, ids_crc32."""
     def run(batches):
-        from kindred.llm.tokens import Encoder, encoded
+        from kindred.llm.tokens import encoded, encoder
 
-        encode = Encoder(tokenizer, spaced)
+        encode = encoder(tokenizer, spaced)
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), encode, end), strict=True):

@@ -18,6 +18,7 @@ documents of their own; an empty table gives an empty result; null doc_id raises
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import uuid
@@ -39,11 +40,21 @@ _ODD = "\x1c\x1d\x1e\x1f"
 _SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
+#: Marks that are a token of their own after letters and before white space.
+_POINTS = ".,;:!?"
+
+
+@functools.lru_cache(2)
+def encoder(path: str, spaced: bool) -> Encoder:
+    """One in each Python worker; what it has learnt serves later tasks too."""
+    return Encoder(path, spaced)
+
+
 class Encoder:
     """The ids of a tokenizers file, without special tokens added.  Texts are split where the file's own splitting
     always cuts, before a lone blank between two other characters, and each distinct part is encoded once."""
 
-    def __init__(self, path: str, spaced: bool, keep: int = 150_000):
+    def __init__(self, path: str, spaced: bool, keep: int = 400_000):
         """spaced: whether a blank belongs to the word that follows it; else blanks vanish."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -51,21 +62,62 @@ class Encoder:
         self.tokenizer, self.spaced, self.keep = Tokenizer.from_file(path), spaced, keep
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if spaced else self.first
-        marks = sorted((x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items())
-        self.mark, self.mark_id = marks[0]
-        self.line = self._encode(["\n"])[0]
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        """All parts in one call, with a special token's string between them, unless a part holds such a string."""
-        if not parts:
-            return []
+        self.mark, self.mark_id = min((x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items())
+        size = self.tokenizer.get_vocab_size()
+        opens, closes = np.zeros(size, bool), np.zeros(size, bool)
+        for x, i in self.tokenizer.get_vocab().items():
+            opens[i], closes[i] = x.startswith("\u0120"), x.endswith("</w>")
+        self.opens, self.closes = opens, closes
+        self.line = self._ids(["\n"])[0]
+        self.points = dict(zip(_POINTS, self._ids(list(_POINTS)), strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes] | None:
+        """Words of letters only, in one call: told apart by the tokens that open (with a blank) or close a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.opens[ids]) if self.spaced else np.flatnonzero(self.closes[ids]) + 1
+        if len(cuts) != len(words):
+            return None
+        data = ids.tobytes()
+        ends = [*cuts[1:], len(ids)] if self.spaced else cuts
+        starts = cuts if self.spaced else [0, *cuts[:-1]]
+        return [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+
+    def _marked(self, parts: list[str]) -> list[bytes]:
+        """Any parts in one call, with a special token's string between them, unless a part may hold such a string."""
         if any("<|" in x for x in parts):
-            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            return self._ids(parts)
         ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(parts)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == self.mark_id)
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)], strict=True)]
 
+    def _learn(self, known: dict[str, bytes], parts: set[str], lead: str) -> None:
+        words, pointed, other = [], [], []
+        for x in parts:
+            if x in known:
+                continue
+            if lead or not self.spaced:
+                if x.isalpha():
+                    words.append(x)
+                    continue
+                if x[-1:] in self.points and x[:-1].isalpha():  # letters and a point are always parted
+                    pointed.append(x)
+                    if x[:-1] not in known:
+                        words.append(x[:-1])
+                    continue
+            other.append(x)
+        words = list(dict.fromkeys(words))
+        if words:
+            found = self._words(words)
+            known.update(zip(words, found if found is not None else self._marked([lead + x for x in words]), strict=True))
+        for x in pointed:
+            known[x] = known[x[:-1]] + self.points[x[-1]]
+        if other:
+            known.update(zip(other, self._marked([lead + x for x in other]), strict=True))
+
     def _parts(self, text: str) -> list[list[str]]:
         """Lines of parts; a part after the first of its line follows a blank."""
         if not self.spaced:
@@ -83,9 +135,8 @@ class Encoder:
         for lines in split:
             for x in lines:
                 later.update(x[1:])
-        for known, found, lead in ((self.first, first, ""), (self.later, later, " " if self.spaced else "")):
-            new = [x for x in found if x not in known]
-            known.update(zip(new, self._encode([lead + x for x in new]), strict=True))
+        self._learn(self.first, first, "")
+        self._learn(self.later, later, " " if self.spaced else "")
         out = []
         for lines in split:
             parts = []
@@ -172,7 +223,7 @@ def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocab
     def run(batches):
         from pyarrow.fs import FileSystem
 
-        encode = Encoder(tokenizer, spaced)
+        encode = encoder(tokenizer, spaced)
         fs, place = FileSystem.from_uri(folder)
         fs.create_dir(place)
         part, number = TaskContext.get().partitionId(), 0
