@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, langid, packing, tokens, toxicity, urlrules
+from kindred.llm import decontaminate, langid, packing, substring_dedup, suffix_dedup, tokens, toxicity, urlrules
 from kindred.llm.common import table
 
 
@@ -19,6 +19,11 @@ def remainder(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(5) != 0)
@@ -59,13 +64,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, tokenizer_path("word_bpe_49k.json"), end=1, spaced=False, capacity=4096)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_token_ids": op3_token_ids,
     "op5_decontamination": op5_decontamination,
     "op6_url_rules": op6_url_rules,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
