@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, langid, packing, substring_dedup, suffix_dedup, tokens, toxicity, urlrules
+from kindred.llm import decontaminate, langid, ngram_join, packing, substring_dedup, suffix_dedup, tokens, toxicity, urlrules
 from kindred.llm.common import table
 
 
@@ -69,6 +69,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +83,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
