@@ -19,8 +19,11 @@ documents of their own; an empty table gives an empty result; null doc_id raises
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 
@@ -40,8 +43,23 @@ _ODD = "\x1c\x1d\x1e\x1f"
 _SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
-#: Marks that are a token of their own after letters and before white space.
-_POINTS = ".,;:!?"
+#: A run of these after letters and before white space is split off as one.
+_POINTS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level files write every byte as a printable character: itself, or one from 256 on, in order; blanks stay."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(spare)
+            spare += 1
+    return out | {32: " "}
+
+
+_LETTERS = _byte_letters()
 
 
 @functools.lru_cache(2)
@@ -52,14 +70,21 @@ def encoder(path: str, spaced: bool) -> Encoder:
 
 class Encoder:
     """The ids of a tokenizers file, without special tokens added.  Texts are split where the file's own splitting
-    always cuts, before a lone blank between two other characters, and each distinct part is encoded once."""
+    always cuts, before a lone blank between two other characters, and each distinct part is encoded once.
+
+    New words of letters only are encoded together by the library's model of the same file without its normalizer and
+    splitter, which would leave them as they are; all else goes through the whole file.
+    """
 
-    def __init__(self, path: str, spaced: bool, keep: int = 400_000):
-        """spaced: whether a blank belongs to the word that follows it; else blanks vanish."""
+    def __init__(self, path: str, spaced: bool, keep: int = 500_000):
+        """spaced: whether a blank belongs to the word that follows it; else blanks vanish and letters are lower-cased."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.keep = Tokenizer.from_file(path), spaced, keep
+        plain = json.loads(self.tokenizer.to_str())
+        plain |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if spaced else self.first
         self.mark, self.mark_id = min((x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items())
@@ -69,20 +94,26 @@ class Encoder:
             opens[i], closes[i] = x.startswith("\u0120"), x.endswith("</w>")
         self.opens, self.closes = opens, closes
         self.line = self._ids(["\n"])[0]
-        self.points = dict(zip(_POINTS, self._ids(list(_POINTS)), strict=True))
+        self.points: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes] | None:
         """Words of letters only, in one call: told apart by the tokens that open (with a blank) or close a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        text = " ".join(words)
+        if not self.spaced and not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)):
+            return None  # lower case that depends on the word, or letters that the normalizer composes
+        text = (text if self.spaced else text.lower()).encode().decode("latin-1").translate(_LETTERS)
+        if self.spaced:
+            text = "\u0120" + text.replace(" ", " \u0120")
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.opens[ids]) if self.spaced else np.flatnonzero(self.closes[ids]) + 1
         if len(cuts) != len(words):
             return None
         data = ids.tobytes()
-        ends = [*cuts[1:], len(ids)] if self.spaced else cuts
-        starts = cuts if self.spaced else [0, *cuts[:-1]]
+        ends = [*cuts[1:].tolist(), len(ids)] if self.spaced else cuts.tolist()
+        starts = cuts.tolist() if self.spaced else [0, *cuts[:-1].tolist()]
         return [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
 
     def _marked(self, parts: list[str]) -> list[bytes]:
@@ -95,58 +126,63 @@ class Encoder:
         return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)], strict=True)]
 
     def _learn(self, known: dict[str, bytes], parts: set[str], lead: str) -> None:
-        words, pointed, other = [], [], []
+        words, pointed, other = set(), [], []
         for x in parts:
-            if x in known:
-                continue
             if lead or not self.spaced:
                 if x.isalpha():
-                    words.append(x)
+                    words.add(x)
                     continue
-                if x[-1:] in self.points and x[:-1].isalpha():  # letters and a point are always parted
-                    pointed.append(x)
-                    if x[:-1] not in known:
-                        words.append(x[:-1])
+                stem = x.rstrip(_POINTS)
+                if stem.isalpha():
+                    pointed.append((x, stem, x[len(stem) :]))
                     continue
             other.append(x)
-        words = list(dict.fromkeys(words))
+        words.update({stem for _, stem, _ in pointed}.difference(known))
+        tails = list({tail for *_, tail in pointed}.difference(self.points))
+        if tails:
+            if len(self.points) > self.keep // 10:
+                self.points.clear()
+                tails = list({tail for *_, tail in pointed})
+            self.points.update(zip(tails, self._ids(tails), strict=True))
         if words:
-            found = self._words(words)
-            known.update(zip(words, found if found is not None else self._marked([lead + x for x in words]), strict=True))
-        for x in pointed:
-            known[x] = known[x[:-1]] + self.points[x[-1]]
+            listed = list(words)
+            found = self._words(listed)
+            known.update(zip(listed, found if found is not None else self._marked([lead + x for x in listed]), strict=True))
+        for x, stem, tail in pointed:
+            known[x] = known[stem] + self.points[tail]
         if other:
             known.update(zip(other, self._marked([lead + x for x in other]), strict=True))
 
-    def _parts(self, text: str) -> list[list[str]]:
-        """Lines of parts; a part after the first of its line follows a blank."""
+    def _parts(self, text: str) -> list[str]:
+        """A part after the first follows a blank, or begins with the line feed that it follows."""
         if not self.spaced:
-            return [_GAP.split(text)] if any(c in text for c in _ODD) else [text.split()]
+            return _GAP.split(text) if any(c in text for c in _ODD) else text.split()
         if text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", " \n", "\n ", "\n\n", *_SPACES)):
-            return [x.split(" ") for x in text.split("\n")]
-        return [_GAP.split(text)]
+            return text.replace("\n", " \n").split(" ")
+        return _GAP.split(text)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        for known in (self.first, self.later):
+            if len(known) > self.keep:  # the parts learnt first are the common ones
+                some = list(itertools.islice(known.items(), self.keep // 3))
+                known.clear()
+                known.update(some)
         split = [self._parts(x) if x else [] for x in texts]
-        if len(self.first) + len(self.later) > self.keep:
-            self.first.clear()
-            self.later.clear()
-        first, later = {x[0] for lines in split for x in lines if x}, set()
-        for lines in split:
-            for x in lines:
-                later.update(x[1:])
-        self._learn(self.first, first, "")
-        self._learn(self.later, later, " " if self.spaced else "")
+        later = set(itertools.chain.from_iterable(split)) if not self.spaced else set(itertools.chain.from_iterable(x[1:] for x in split))
+        later = later.difference(self.later)
+        lines = {x for x in later if x[:1] == "\n" and self.spaced and not x[1:2].isspace()}
+        heads = {x[0] for x in split if x} | {x[1:] for x in lines} if self.spaced else set()
+        self._learn(self.first, {x for x in heads if x not in self.first}, "")
+        self._learn(self.later, later - lines, " " if self.spaced else "")
+        for x in lines:
+            self.later[x] = self.line + self.first[x[1:]]
         out = []
-        for lines in split:
-            parts = []
-            for k, x in enumerate(lines):
-                if k:
-                    parts.append(self.line)
-                if x:
-                    parts.append(self.first[x[0]])
-                    parts.extend(map(self.later.__getitem__, x[1:]))
-            out.append(np.frombuffer(b"".join(parts), "<u4"))
+        for x in split:
+            if self.spaced:
+                data = (self.first[x[0]] if x else b"") + b"".join(map(self.later.__getitem__, x[1:]))
+            else:
+                data = b"".join(map(self.later.__getitem__, x))
+            out.append(np.frombuffer(data, "<u4"))
         return out
 
 
