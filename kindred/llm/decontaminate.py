@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import materialise
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of at most this many distinct terms or documents are broadcast; beyond it the join is by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -30,7 +30,7 @@ def words(text: str) -> F.Column:
     x = F.coalesce(F.col(text), F.lit(""))
     plain = F.octet_length(x) == F.length(x)
     low = F.when(plain, F.lower(x)).otherwise(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, APART), "")  # far cheaper than extracting each match
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
