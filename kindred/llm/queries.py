@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, langid, ngram_join, packing, substring_dedup, suffix_dedup, tokens, toxicity, urlrules
+from kindred.llm import decontaminate, embed_dedup, langid, ngram_join, packing, substring_dedup, suffix_dedup, tokens, toxicity, urlrules
 from kindred.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(tokens.write(documents, tokenizer_path("byte_bpe_50k.json"), end=0, spaced=True, vocabulary=50_257))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -78,6 +82,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_token_ids": op3_token_ids,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_url_rules": op6_url_rules,
     "op7_language": op7_language,

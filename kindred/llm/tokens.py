@@ -86,7 +86,7 @@ class Encoder:
         plain |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.plain = Tokenizer.from_str(json.dumps(plain))
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {} if spaced else self.first
+        self.later: dict[str, bytes] = {}
         self.mark, self.mark_id = min((x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items())
         size = self.tokenizer.get_vocab_size()
         opens, closes = np.zeros(size, bool), np.zeros(size, bool)
@@ -125,7 +125,8 @@ class Encoder:
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)], strict=True)]
 
-    def _learn(self, known: dict[str, bytes], parts: set[str], lead: str) -> None:
+    def _learn(self, known: dict[str, bytes], parts: list[str], lead: str) -> dict[str, bytes]:
+        """The ids of parts that are not in known, and of the words in them; known learns them too."""
         words, pointed, other = set(), [], []
         for x in parts:
             if lead or not self.spaced:
@@ -144,14 +145,28 @@ class Encoder:
                 self.points.clear()
                 tails = list({tail for *_, tail in pointed})
             self.points.update(zip(tails, self._ids(tails), strict=True))
+        new: dict[str, bytes] = {}
         if words:
             listed = list(words)
             found = self._words(listed)
-            known.update(zip(listed, found if found is not None else self._marked([lead + x for x in listed]), strict=True))
+            new.update(zip(listed, found if found is not None else self._marked([lead + x for x in listed]), strict=True))
+        known.update(new)
         for x, stem, tail in pointed:
-            known[x] = known[stem] + self.points[tail]
+            new[x] = known[stem] + self.points[tail]
         if other:
-            known.update(zip(other, self._marked([lead + x for x in other]), strict=True))
+            new.update(zip(other, self._marked([lead + x for x in other]), strict=True))
+        known.update(new)
+        if len(known) > self.keep:  # the parts learnt first are the common ones
+            some = list(itertools.islice(known.items(), self.keep // 3))
+            known.clear()
+            known.update(some)
+        return new
+
+    def _look(self, known: dict[str, bytes], parts: set[str], lead: str) -> dict[str, bytes]:
+        """The ids of all parts, in a dictionary of just these: small, and so quick to ask for every word of the texts."""
+        local = dict(zip(parts, map(known.get, parts), strict=True))
+        local.update(self._learn(known, [x for x, v in local.items() if v is None], lead))
+        return local
 
     def _parts(self, text: str) -> list[str]:
         """A part after the first follows a blank, or begins with the line feed that it follows."""
@@ -162,28 +177,17 @@ class Encoder:
         return _GAP.split(text)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        for known in (self.first, self.later):
-            if len(known) > self.keep:  # the parts learnt first are the common ones
-                some = list(itertools.islice(known.items(), self.keep // 3))
-                known.clear()
-                known.update(some)
         split = [self._parts(x) if x else [] for x in texts]
-        later = set(itertools.chain.from_iterable(split)) if not self.spaced else set(itertools.chain.from_iterable(x[1:] for x in split))
-        later = later.difference(self.later)
-        lines = {x for x in later if x[:1] == "\n" and self.spaced and not x[1:2].isspace()}
-        heads = {x[0] for x in split if x} | {x[1:] for x in lines} if self.spaced else set()
-        self._learn(self.first, {x for x in heads if x not in self.first}, "")
-        self._learn(self.later, later - lines, " " if self.spaced else "")
-        for x in lines:
-            self.later[x] = self.line + self.first[x[1:]]
-        out = []
-        for x in split:
-            if self.spaced:
-                data = (self.first[x[0]] if x else b"") + b"".join(map(self.later.__getitem__, x[1:]))
-            else:
-                data = b"".join(map(self.later.__getitem__, x))
-            out.append(np.frombuffer(data, "<u4"))
-        return out
+        if not self.spaced:
+            ids = self._look(self.first, set(itertools.chain.from_iterable(split)), "").__getitem__
+            return [np.frombuffer(b"".join(map(ids, x)), "<u4") for x in split]
+        rest = set(itertools.chain.from_iterable(x[1:] for x in split))
+        lines = {x for x in rest if x[:1] == "\n" and not x[1:2].isspace()}
+        first = self._look(self.first, {x[0] for x in split if x} | {x[1:] for x in lines}, "")
+        later = self._look(self.later, rest - lines, " ")
+        later.update((x, self.line + first[x[1:]]) for x in lines)
+        ids = later.__getitem__
+        return [np.frombuffer((first[x[0]] if x else b"") + b"".join(map(ids, x[1:])), "<u4") for x in split]
 
 
 def encoded(column: pa.Array, encode: Encoder, end: int, limit: int = 1 << 20):
