@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,10 @@ TOKEN = r"[A-Za-z0-9_.$:/@+()<>?=-]{3,}"
 
 
 def starts_with_any(x: Column, prefixes) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | x.startswith(p)
-    return out
+    """One pattern for all prefixes: an OR of as many expressions would outgrow generated code."""
+    if not prefixes:
+        return F.lit(False)
+    return x.rlike("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")")
 
 
 def words(text: Column) -> Column:
@@ -113,20 +115,20 @@ def resource_name(path: Column) -> Column:
 
 def opcode_family(name: Column) -> Column:
     base = F.split_part(F.lower(name), F.lit("/"), F.lit(1))
-    out = None
+    out = F
     for prefix, family in config.OPCODE_FAMILIES:
-        out = (out or F).when(base.startswith(prefix), family)
+        out = out.when(base.startswith(prefix), family)
     return out.otherwise(F.split_part(base, F.lit("-"), F.lit(1)))
 
 
 def canonical(instructions: Column) -> Column:
     """array<struct<name,output>> to tokens, block signature, API calls, constants and their hash."""
-    families = F.transform(instructions, lambda x: opcode_family(x.name))
+    families = F.transform(instructions, lambda x: opcode_family(x["name"]))
     blocks = F.filter(families, lambda f: f.isin(*config.BLOCK_FAMILIES))
-    invoked = F.filter(instructions, lambda x: opcode_family(x.name) == "invoke")
-    calls = F.transform(invoked, lambda x: F.regexp_extract(x.output, r"(L(?:java|javax|android)/[^;]+;->[^(, }]+)", 1))
+    invoked = F.filter(instructions, lambda x: opcode_family(x["name"]) == "invoke")
+    calls = F.transform(invoked, lambda x: F.regexp_extract(x["output"], r"(L(?:java|javax|android)/[^;]+;->[^(, }]+)", 1))
     calls = F.filter(calls, lambda c: c != "")
-    quoted = F.flatten(F.transform(instructions, lambda x: F.regexp_extract_all(x.output, F.lit('"([^"]*)"'), F.lit(1))))
+    quoted = F.flatten(F.transform(instructions, lambda x: F.regexp_extract_all(x["output"], F.lit('"([^"]*)"'), F.lit(1))))
     constants = F.transform(quoted, lambda q: F.when(q == "", "empty").otherwise(F.concat(F.lit("string:"), F.least(F.floor(F.length(q) / 8), F.lit(8)).cast("string"))))
     text = F.array_join(F.concat(families, F.array(F.lit("|api-calls|")), calls, F.array(F.lit("|constant-categories|")), constants), SEP)
     return F.struct(families.alias("opcode_tokens"), blocks.alias("block_signature"), calls.alias("api_calls"), constants.alias("constants"), F.sha2(text.cast("binary"), 256).alias("canonical_hash"), F.size(instructions).cast("long").alias("instruction_count"))
