@@ -7,7 +7,7 @@ of windows that share one occurrence of an anchor; every window is in exactly on
   - windows of blocks that differ can only be equal if the blocks have the same anchor: such contested anchors are
     resolved by the operator's own method, each distinct block once;
   - all other windows, most of a clean corpus, occur once.
-An anchor with more than HOT occurrences is not brought together: its blocks are cut into single windows, which are
+An anchor with more than `hot` occurrences is not brought together: its blocks are cut into single windows, which are
 counted by content, so no group is ever gathered.
 Rows travel as 128-bit hashes; text is only shuffled by document.
 """
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import SLICE_BYTES, Roller, discard, materialise, mix, partitions, slices, text_bytes
 
-HOT = 1000
 BROADCAST_ROWS = 200_000
 _U = np.uint64
 ROWS = "doc long, version int, loc long, anchor long, block long"
@@ -92,12 +91,14 @@ def blocks(values: np.ndarray, offsets: np.ndarray, length: int, k: int, limit:
 
 
 class Kind(NamedTuple):
-    """tokens(raw, offsets): token values of the texts, and where each text starts among them."""
+    """tokens(raw, offsets): token values of the texts, and where each text starts among them.
+    limit: tokens to a slice; hot: see above, so many blocks at most are resolved together."""
 
     tokens: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     length: int
     k: int
     limit: int
+    hot: int
 
 
 def _find(kind: Kind):
@@ -188,7 +189,7 @@ def repeats(documents: DataFrame, kind: Kind, solve, *, words: bool, earlier: bo
     own = identified(documents)
     every = materialise(own.mapInArrow(_find(kind), ROWS), "blocks")
     anchors = every.groupBy("anchor").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    state = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("n") <= HOT, 1).otherwise(2).cast("byte").alias("state")
+    state = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("n") <= kind.hot, 1).otherwise(2).cast("byte").alias("state")
     shared = materialise(every.join(anchors.select("anchor", state), "anchor"), "shared")
     discard(every)
     r = F.xxhash64("doc", "version", "loc")

@@ -22,6 +22,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from kindred.llm import blocks
 from kindred.llm.common import text_bytes, word_bounds, word_hashes
 
+#: Occurrences of a seed that are extended together.
+HOT = 100_000
+
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, stop = word_bounds(raw, offsets[1:])
@@ -42,7 +45,7 @@ def extend(firsts: list[int], parts: list[np.ndarray]) -> list[np.ndarray]:
 
 def repeats(documents: DataFrame, length: int = 50) -> DataFrame:
     """(doc, version, spans) of the windows of length words that also start in a document with a smaller doc_id."""
-    kind = blocks.Kind(_words, length, max(1, length // 4), 1 << 17)
+    kind = blocks.Kind(_words, length, max(1, length // 4), 1 << 17, HOT)
     return blocks.repeats(documents, kind, extend, words=True, earlier=True, most=1 << 18)
 
 

@@ -24,43 +24,54 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from kindred.llm import blocks
 from kindred.llm.common import BYTE_VALUES, SLICE_BYTES, text_bytes
 
+#: Blocks of an anchor that share a transform: some 6 MB of text.
+HOT = 20_000
+
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and its inverse by prefix doubling; text: small integers, each separator unique and below all bytes."""
     n = len(text)
-    rank = text.astype(np.int64)
-    step = 1
+    base = int(text.max()) + 2
+    step = max(1, min(4, int(62 / np.log2(base))))
+    key = np.zeros(n, np.int64)
+    for k in range(step):  # the first few symbols at once
+        key *= base
+        key[: n - k] += text[k:]
+        key[: n - k] += 1
     while True:
-        key = rank * (n + 256 + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32)
         ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if new[order[-1]] == n - 1:
-            return order, new
-        rank, step = new, 2 * step
+        rank = np.empty(n, np.int32)
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1], dtype=np.int32)])
+        if rank[order[-1]] == n - 1:
+            return order, rank
+        key = rank * np.int64(n + 1)
+        key[: n - step] += rank[step:]
+        key[: n - step] += 1
+        step *= 2
 
 
 def unset_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array, and for each of its places whether the suffix shares at least length with the one before it."""
     n = len(text)
     order, inverse = suffix_order(text)
-    before = text[order - 1]  # the transform; the first suffix wraps round to a separator
-    step_left = inverse[order - 1]  # place of the suffix that is one longer
-    by = np.argsort(before, kind="stable")
-    same = before[by[1:]] == before[by[:-1]]
-    previous, following = np.full(n, -1), np.full(n, n)
+    step_left = inverse[order - 1]  # place of the suffix that is one longer, the first wraps round to a separator
+    # the transform's places by character and then by place are where step_left comes from
+    by = np.empty(n, np.int32)
+    by[step_left] = np.arange(n, dtype=np.int32)
+    head = text[order]
+    same = head[1:] == head[:-1]
+    previous, following = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     previous[by[1:][same]] = by[:-1][same]
     following[by[:-1][same]] = by[1:][same]
+    del by, head, same, inverse
     unset = np.ones(n + 1, bool)
     unset[[0, n]] = False
-    low, high = np.array([0]), np.array([n - 1])
+    low, high = np.array([0], np.int32), np.array([n - 1], np.int32)
     for _ in range(length):
         # every member of every interval; of its character the first and the last bound the extended interval
         size = high - low + 1
-        base = np.cumsum(size) - size
-        member = np.arange(size.sum()) + np.repeat(low - base, size)
+        member = np.arange(size.sum(), dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
         first = step_left[member[previous[member] < np.repeat(low, size)]]
         last = step_left[member[following[member] > np.repeat(high, size)]]
         first.sort()
@@ -98,7 +109,7 @@ def _bytes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def repeats(documents: DataFrame, length: int = 200) -> DataFrame:
     """(doc, version, spans) of the windows of length bytes that occur more than once; see blocks.repeats."""
-    kind = blocks.Kind(_bytes, length, max(1, length // 4), SLICE_BYTES)
+    kind = blocks.Kind(_bytes, length, max(1, length // 4), SLICE_BYTES, HOT)
     return blocks.repeats(documents, kind, solver(length), words=False, earlier=False, most=1 << 20)
 
 

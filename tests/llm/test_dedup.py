@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kindred.llm import blocks, ngram_join, substring_dedup, suffix_dedup
+from kindred.llm import ngram_join, substring_dedup, suffix_dedup
 from kindred.llm.common import components
 
 SCHEMA = "doc_id long, text string, n_words int, kept string"
@@ -63,7 +63,7 @@ def test_suffix(spark, rows):
 
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_substring(spark, rows, hot, monkeypatch):
-    monkeypatch.setattr(blocks, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     length = 20
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows}
     first = {}
@@ -84,7 +84,7 @@ def test_substring(spark, rows, hot, monkeypatch):
 def test_suffix_hot(spark, rows, monkeypatch):
     few = [r for r in rows if len(r[1] or "") < 2000]
     one = suffix_dedup.dedup(spark.createDataFrame(few, SCHEMA), 40).orderBy("doc_id").collect()
-    monkeypatch.setattr(blocks, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
     assert suffix_dedup.dedup(spark.createDataFrame(few, SCHEMA), 40).orderBy("doc_id").collect() == one
 
 
