@@ -125,7 +125,7 @@ def word_bounds(raw: np.ndarray, ends: np.ndarray, apart: np.ndarray = SPACES) -
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge[0], edge[-1] = inside[0], inside[-1]
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-    cuts = ends[(ends > 0) & (ends < len(raw))]
+    cuts = np.unique(ends[(ends > 0) & (ends < len(raw))])  # an empty text ends where the one before does
     cuts = cuts[inside[cuts] & inside[cuts - 1]]  # two texts meet inside what looks like one word
     at = np.flatnonzero(edge)
     if len(cuts):
