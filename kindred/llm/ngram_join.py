@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import LOWER_VALUES, Roller, components, materialise, mix, partitions, slices, text_bytes, word_bounds, word_hashes
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_DOCS = 60_000
 FRAGMENT_TOKENS = 1 << 20
 #: A shingle in so large a part of a batch's distinct texts, and in so many, is frequent.
@@ -235,6 +235,13 @@ def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
     return total.where(F.col("o") * 100 >= percent * (F.col("xm") + F.col("ym") - F.col("o")))
 
 
+def _possible(m: str, s: str, other_m: str, other_s: str, percent: int) -> F.Column:
+    """Whether sets of these sizes, with so many shingles that are not unique, can be similar: the smaller of those numbers
+    bounds the overlap."""
+    least = F.least(s, other_s)
+    return least * 100 >= percent * (F.col(m) + F.col(other_m) - least)
+
+
 def similar(documents: DataFrame, *, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(doc, version, m): every row's set size; and (node, component): the components of all linked documents."""
     spark = documents.sparkSession
@@ -250,13 +257,18 @@ def similar(documents: DataFrame, *, width: int = 5, percent: int = 75) -> tuple
     chosen = materialise(counted.mapInArrow(_select(percent), "doc long, version int, m long, prefix int, tokens array<bigint>"), "chosen")
     fragments = chosen.select("doc", "version", "m", "tokens", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("f"))
     fragments = fragments.withColumn("part", F.expr(f"filter(tokens, t -> t % {FRAGMENTS} = f)")).drop("tokens")
-    prefix = chosen.select("doc", "version", "m", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
-    # 5a. two others of each shingle, by two orders of the texts
+    shared = F.size("tokens").alias("s")  # no more can be common with any other text
+    prefix = chosen.select("doc", "version", "m", shared, F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("pos", "token"))
+    prefix = prefix.withColumn("pos", F.col("pos") + F.col("m") - F.col("s"))  # after the unique shingles
+    # 5a. two others of each shingle: that with the fewest shingles of its own, which is nearest the middle of a group of
+    # copies, and any one
     pairs = None
-    for salt in (1, 2):
-        r = F.xxhash64("doc", "version", F.lit(salt))
-        heads = prefix.groupBy("token").agg(F.min_by("doc", r).alias("yd"), F.min_by("version", r).alias("yv"), F.min_by("m", r).alias("ym"))
-        near = prefix.join(heads, "token").where("(doc, version) <> (yd, yv) and least(m, ym) * 100 >= greatest(m, ym) * " + str(percent))
+    for middle in (True, False):
+        r = F.xxhash64("doc", "version")
+        if middle:
+            r = F.shiftleft(F.col("m") - F.col("s"), 40) + r.bitwiseAND(F.lit((1 << 40) - 1))
+        heads = prefix.groupBy("token").agg(*[F.min_by(c, r).alias(to) for c, to in (("doc", "yd"), ("version", "yv"), ("m", "ym"), ("s", "ys"))])
+        near = prefix.join(heads, "token").where("(doc, version) <> (yd, yv)").where(_possible("m", "s", "ym", "ys", percent))
         best = near.groupBy("doc", "version", "yd", "yv").agg(F.count("*").alias("c"))
         best = best.groupBy("doc", "version").agg(F.max_by(F.struct("yd", "yv"), F.struct("c", "yd", "yv")).alias("y"))
         best = best.select(F.col("doc").alias("xd"), F.col("version").alias("xv"), F.col("y.yd").alias("yd"), F.col("y.yv").alias("yv"))
@@ -269,7 +281,9 @@ def similar(documents: DataFrame, *, width: int = 5, percent: int = 75) -> tuple
     mixed = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     left = apart.join(mixed, "token")
     x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.m", "y.m") * 100 >= F.greatest("x.m", "y.m") * percent))
+    # sets of these two sizes share a shingle among the first m - overlap + 1 of each, overlap being what they need
+    early = lambda t: (F.col(f"{t}.m") - F.col(f"{t}.pos")) * (100 + percent) >= percent * (F.col("x.m") + F.col("y.m"))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & _possible("x.m", "x.s", "y.m", "y.s", percent) & early("x") & early("y"))
     cross = cross.select(F.col("x.doc").alias("xd"), F.col("x.version").alias("xv"), F.col("y.doc").alias("yd"), F.col("y.version").alias("yv")).distinct()
     second = _verified(cross, fragments, percent).select(F.col("xd").alias("a"), F.col("yd").alias("b"))
     links = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
