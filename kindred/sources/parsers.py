@@ -3,6 +3,7 @@ through Arrow UDFs, one document to a value, which never raise: what cannot be r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -35,6 +36,19 @@ SIZES = {"smallest_screen_width_dp": "sw", "screen_width_dp": "w", "screen_heigh
 # --- end of the fixed values ---
 
 
+def arrow_udf(kind: str):
+    """A pandas UDF that is made when it is used, so that importing needs no session."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def call(*columns):
+            return F.pandas_udf(f, kind)(*columns)
+
+        return call
+
+    return wrap
+
+
 def local(tag: str) -> str:
     """A tag or attribute without its namespace."""
     return tag.rpartition("}")[2]
@@ -99,7 +113,7 @@ def manifest_details(text: str) -> dict:
 DETAILS = "struct<package:string,components:array<struct<tag:string,name:string>>,permissions:array<string>,actions:array<string>,features:array<string>>"
 
 
-@F.pandas_udf(DETAILS)
+@arrow_udf(DETAILS)
 def manifest_details_udf(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([manifest_details(t or "") for t in text], columns=["package", "components", "permissions", "actions", "features"])
 
@@ -118,7 +132,7 @@ def owned_manifest_values(text: bytes | None) -> list[str] | None:
     return out
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def owned_manifest_udf(content: pd.Series) -> pd.Series:
     return content.map(owned_manifest_values)
 
@@ -145,7 +159,7 @@ def merger_rows(text: bytes | str | None) -> list[tuple]:
 MERGER = "array<struct<seq:long,from_dependency:boolean,path:string,qualifiers:string,type:string,name:string>>"
 
 
-@F.pandas_udf(MERGER)
+@arrow_udf(MERGER)
 def merger_udf(content: pd.Series) -> pd.Series:
     names = ("seq", "from_dependency", "path", "qualifiers", "type", "name")
     return content.map(lambda x: [dict(zip(names, row, strict=True)) for row in merger_rows(x)])
@@ -190,7 +204,7 @@ def resource_qualifier(lines: list[str]) -> str | None:
     return "-".join([t for _, t in sorted(tokens)] + ([f"v{least}"] if least else []))
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def resource_qualifier_udf(lines: pd.Series) -> pd.Series:
     return lines.map(lambda x: resource_qualifier(list(x)))
 
@@ -286,7 +300,7 @@ def declared_classes(path: str, text: str) -> list[str]:
     return [f"L{package}{n};" for n in sorted(names)]
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def declared_classes_udf(path: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([declared_classes(p, t or "") for p, t in zip(path, text, strict=True)])
 
@@ -328,7 +342,7 @@ def elf_features(data: bytes) -> list[str] | None:
         return None
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def elf_features_udf(content: pd.Series) -> pd.Series:
     return content.map(lambda x: elf_features(bytes(x)))
 
@@ -396,7 +410,7 @@ def perceptual_hash(pixels: np.ndarray) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
-@F.pandas_udf("struct<perceptual_hash:string,width:int,height:int>")
+@arrow_udf("struct<perceptual_hash:string,width:int,height:int>")
 def image_udf(content: pd.Series) -> pd.DataFrame:
     rows = []
     for data in content:
