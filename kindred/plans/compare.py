@@ -161,3 +161,33 @@ def compare_archives(spark: SparkSession, left: str, right: str, config: Config
         return compare(a, b, config, lsh=lsh)
     out = compare(heuristic(a, config), heuristic(b, config), config, owned=True, lsh=lsh)
     return out | {"strategy": "heuristic"}
+
+
+def strict(p: Profile, owners: DataFrame, mapping: DataFrame, resources: DataFrame, manifest: DataFrame, inventory: DataFrame | None = None) -> Profile:
+    """Only what provenance proves to be the application's own.
+
+    owners: as sources.tree gives them; mapping: output and original classes; resources: type, qualifiers, name, seq, origin,
+    source_path, category of merged resources; manifest: owned entries; inventory: the values that the archive holds
+    (type, qualifiers, name, value), against which values-backed resources are held.
+    """
+    own = F.col("origin").isin("OWNED_SOURCE", "OWNED_GENERATED")
+    by_class = A.attribute_methods(p.methods, mapping, owners.select("identifier", "category", "origin", "source_path", "module"))
+    methods = p.methods.drop("origin", "source_path").join(by_class, "ord")
+    assets = owners.where("category = 'asset'").select(F.regexp_replace("identifier", "^asset:", "").alias("name"), "sha256", "origin", "source_path", "module")
+    files = p.files.join(A.attribute_files(p.files, resources, assets), "ord")
+    counted = methods.select("origin").unionByName(files.select("origin")).unionByName(manifest.select("origin"))
+    warnings, share = list(p.warnings), 1.0
+    kept = files.where(own)
+    if inventory is not None:
+        values = F.exists(F.split("source_path", "/"), lambda x: (x == "values") | x.startswith("values-"))
+        last = A.last_writer(resources.where(values & (F.col("category") == "resource")), ["type", "qualifiers", "name"], "seq").where(own)
+        held = materialise(A.expected_inventory(last, inventory), "inventory")
+        n, found = held.agg(F.count("*"), F.count("value")).first()
+        share = found / n if n else 1.0
+        folder = F.when(F.col("qualifiers") != "", F.concat_ws("-", "type", "qualifiers")).otherwise(F.col("type"))
+        data = F.col("value").cast("binary")
+        made = held.where("value is not null").select(F.concat(F.lit("verified-resources/"), folder, F.lit("/"), "name").alias("path"), F.lit("base").alias("module"), F.lit("resource").alias("category"), F.octet_length(data).cast("long").alias("size"), F.sha2(data, 256).alias("sha256"), F.sha2(data, 256).alias("semantic_hash"), F.array("value").alias("features"), "origin", "source_path")
+        kept = kept.drop("ord").unionByName(made)
+        counted = counted.unionByName(held.select(F.when(F.col("value").isNull(), "UNRESOLVED").otherwise(F.col("origin")).alias("origin")))
+    images = p.images.join(files.where(own).select("path"), "path", "left_semi")
+    return Profile(p.header, ordered(kept.drop("ord"), "path"), ordered(methods.where(own).drop("ord"), "identifier", "dex_path", "position"), ordered(images.drop("ord"), "path"), manifest, p.details, p.dependencies, p.build, warnings, {"resources": share}, S.attribution_summary(counted, ORIGINS).first().asDict())

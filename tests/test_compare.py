@@ -149,3 +149,32 @@ def test_catalogue_has_an_oracle_or_a_reason():
     from kindred.plans import catalogue
 
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == {"q_file_match_two_key", "q_fuzzy_match_1to1", "q_image_match_1to1"}
+
+
+def test_source_tree_and_strict(spark, pair, tmp_path):
+    from kindred.sources import tree
+
+    src = tmp_path / "app" / "src"
+    for name, text in {
+        "main/java/com/app/Main.kt": "package com.app\nclass Main\nfun go() = 1", "test/java/com/app/T.kt": "package com.app\nclass T",
+        "main/assets/model.bin": bytes(range(256)) * 20, "main/AndroidManifest.xml": '<manifest><permission name="p"/></manifest>', "main/res/drawable-hdpi/a.png": "x",
+        "demo/res/values/strings.xml": "<resources/>",
+    }.items():
+        f = src / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(text if isinstance(text, bytes) else text.encode())
+    files = tree.scan(spark, str(tmp_path))
+    owners = tree.owners(files, "demoRelease", source_roots=["app/src"])
+    rows = [(r.category, r.identifier, r.origin) for r in owners.collect()]
+    assert rows == [("asset", "asset:model.bin", "OWNED_SOURCE"), ("code", "Lcom/app/Main;", "OWNED_SOURCE"), ("code", "Lcom/app/MainKt;", "OWNED_SOURCE"), ("image", "drawable-hdpi:a", "OWNED_SOURCE"), ("manifest", "manifest:app/src/main/AndroidManifest.xml", "OWNED_SOURCE"), ("resource", "values:strings", "OWNED_SOURCE")]
+    entries = tree.manifest_entries(files, owners)
+    assert [r.value for r in entries.collect()] == ["permission:name=p"]
+    mapping = spark.createDataFrame([("Lcom/app/Main;", "Lcom/app/Main;")], "output string, original string")
+    keys = "type string, qualifiers string, name string"
+    merged = spark.createDataFrame([("layout", "", "main", 0, "PUBLIC_DEPENDENCY", "x", "resource"), ("layout", "", "main", 1, "OWNED_SOURCE", "app/src/main/res/layout/main.xml", "resource"), ("string", "", "a", 2, "OWNED_SOURCE", "app/src/main/res/values/s.xml", "resource"), ("string", "", "b", 3, "OWNED_SOURCE", "app/src/main/res/values/s.xml", "resource")], keys + ", seq long, origin string, source_path string, category string")
+    inventory = spark.createDataFrame([("string", "", "a", "hello")], keys + ", value string")
+    left = compare.strict(compare.profile(spark, pair[0]), owners, mapping, merged, entries, inventory)
+    out = compare.compare(left, left, owned=True, lsh=False)["dimensions"]
+    assert out["business_code"]["score"] == out["resources"]["score"] == out["assets"]["score"] == out["manifest"]["score"] == 100.0
+    assert out["resources"]["l_n"] == 2 and out["resources"]["confidence"] == 0.5 and out["images"]["score"] is None
+    assert left.attribution["owned_source"] == 6 and left.attribution["public_dependency"] == 0
