@@ -38,6 +38,8 @@ from kindred.llm.common import fresh_path, materialise, partitions
 BLOCK = 4096
 SHARD = 4 << 20
 MAGIC = b"KINDRED-BITS-01\n"
+#: Parts of texts whose ids a worker remembers, twice: some 200 bytes each.
+KEEP = 250_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _ODD = "\x1c\x1d\x1e\x1f"
 _SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -63,9 +65,9 @@ _LETTERS = _byte_letters()
 
 
 @functools.lru_cache(2)
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, keep: int) -> Encoder:
     """One in each Python worker; what it has learnt serves later tasks too."""
-    return Encoder(path, spaced)
+    return Encoder(path, spaced, keep)
 
 
 class Encoder:
@@ -76,7 +78,7 @@ class Encoder:
     splitter, which would leave them as they are; all else goes through the whole file.
     """
 
-    def __init__(self, path: str, spaced: bool, keep: int = 500_000):
+    def __init__(self, path: str, spaced: bool, keep: int = KEEP):
         """spaced: whether a blank belongs to the word that follows it; else blanks vanish and letters are lower-cased."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -87,6 +89,7 @@ class Encoder:
         self.plain = Tokenizer.from_str(json.dumps(plain))
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.recent: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         self.mark, self.mark_id = min((x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items())
         size = self.tokenizer.get_vocab_size()
         opens, closes = np.zeros(size, bool), np.zeros(size, bool)
@@ -126,18 +129,16 @@ class Encoder:
         return [data[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)], strict=True)]
 
     def _learn(self, known: dict[str, bytes], parts: list[str], lead: str) -> dict[str, bytes]:
-        """The ids of parts that are not in known, and of the words in them; known learns them too."""
-        words, pointed, other = set(), [], []
-        for x in parts:
-            if lead or not self.spaced:
-                if x.isalpha():
-                    words.add(x)
-                    continue
+        """The ids of parts that are not in known, and of the words in them."""
+        pointed, other = [], []
+        words = {x for x in parts if x.isalpha()} if lead or not self.spaced else set()
+        for x in parts if len(words) < len(parts) else ():
+            if x not in words:
                 stem = x.rstrip(_POINTS)
-                if stem.isalpha():
+                if (lead or not self.spaced) and stem.isalpha():
                     pointed.append((x, stem, x[len(stem) :]))
-                    continue
-            other.append(x)
+                else:
+                    other.append(x)
         words.update({stem for _, stem, _ in pointed}.difference(known))
         tails = list({tail for *_, tail in pointed}.difference(self.points))
         if tails:
@@ -150,22 +151,35 @@ class Encoder:
             listed = list(words)
             found = self._words(listed)
             new.update(zip(listed, found if found is not None else self._marked([lead + x for x in listed]), strict=True))
-        known.update(new)
         for x, stem, tail in pointed:
-            new[x] = known[stem] + self.points[tail]
+            new[x] = (new.get(stem) or known[stem]) + self.points[tail]
         if other:
             new.update(zip(other, self._marked([lead + x for x in other]), strict=True))
-        known.update(new)
-        if len(known) > self.keep:  # the parts learnt first are the common ones
-            some = list(itertools.islice(known.items(), self.keep // 3))
-            known.clear()
-            known.update(some)
         return new
 
     def _look(self, known: dict[str, bytes], parts: set[str], lead: str) -> dict[str, bytes]:
-        """The ids of all parts, in a dictionary of just these: small, and so quick to ask for every word of the texts."""
+        """The ids of all parts, in a dictionary of just these: small, and so quick to ask for every word of the texts.
+
+        What is asked for again before the recent parts are forgotten is kept for long.
+        """
+        recent = self.recent[lead]
         local = dict(zip(parts, map(known.get, parts), strict=True))
-        local.update(self._learn(known, [x for x, v in local.items() if v is None], lead))
+        missing = [x for x, v in local.items() if v is None]
+        again = {x: recent[x] for x in missing if x in recent}
+        if again:
+            local.update(again)
+            known.update(again)
+            missing = [x for x in missing if x not in again]
+        if missing:
+            new = self._learn(known, missing, lead)
+            local.update(new)
+            if len(recent) > self.keep:
+                recent.clear()
+            recent.update(new)
+        if len(known) > self.keep:  # the parts learnt first are the common ones
+            some = list(itertools.islice(known.items(), self.keep // 2))
+            known.clear()
+            known.update(some)
         return local
 
     def _parts(self, text: str) -> list[str]:
@@ -190,8 +204,8 @@ class Encoder:
         return [np.frombuffer((first[x[0]] if x else b"") + b"".join(map(ids, x[1:])), "<u4") for x in split]
 
 
-def encoded(column: pa.Array, encode: Encoder, end: int, limit: int = 1 << 20):
-    """The ids of every text of a column, the end id last; texts go to the encoder by about a million characters."""
+def encoded(column: pa.Array, encode: Encoder, end: int, limit: int = 1 << 21):
+    """The ids of every text of a column, the end id last; texts go to the encoder by about two million characters."""
     batch, size = [], 0
     for i in range(len(column)):
         batch.append(column[i].as_py() or "")
@@ -254,7 +268,7 @@ class Shard:
         return np.concatenate(parts)[start - a * self.block : stop - a * self.block]
 
 
-def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocabulary: int, folder: str | None = None) -> DataFrame:
+def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocabulary: int, folder: str | None = None, keep: int = KEEP) -> DataFrame:
     """Writes the files; returns (shard path, first id of the shard in the corpus, its number of ids), in order."""
     spark = documents.sparkSession
     folder = folder or fresh_path(spark, "tokens")
@@ -263,7 +277,7 @@ def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocab
     def run(batches):
         from pyarrow.fs import FileSystem
 
-        encode = encoder(tokenizer, spaced)
+        encode = encoder(tokenizer, spaced, keep)
         fs, place = FileSystem.from_uri(folder)
         fs.create_dir(place)
         part, number = TaskContext.get().partitionId(), 0
