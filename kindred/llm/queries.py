@@ -113,4 +113,31 @@ ORACLE_SQL: dict[str, str] = {
         from q left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
         group by page_id, host, path
     """,
+    "op4_embedding_dedup": r"""
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+        r(node, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join l on l.a = r.node),
+        m as (select node, min(c) as c from r group by node), n as (select a, count(*) as n from l group by a)
+        select vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, vec_id = c as kept from embeddings join m on node = vec_id left join n on a = vec_id
+    """,
+    "op9_substring_dedup": r"""
+        with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        g as (select doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) as t from (select doc_id, w, unnest(range(1, len(w) - 48)) as k from w where len(w) >= 50)),
+        f as (select t, min(doc_id) as d from g group by t),
+        h as (select doc_id, list(distinct p) as gone from (select g.doc_id, unnest(range(k, k + 50)) as p from g join f using (t) where g.doc_id > d) group by doc_id)
+        select w.doc_id, len(w.w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+            sha256(coalesce(array_to_string(case when gone is null then w.w else list_filter(w.w, lambda x, i: not list_contains(gone, i)) end, ' '), '')) as kept_sha256
+        from w left join h using (doc_id)
+    """,
+    "op10_ngram_join": r"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select distinct doc_id, md5(array_to_string(w[k : k + 4], ' ')) as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from w where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * o >= 75 * (a.n + b.n - o)),
+        l as (select x as a, y as b from e union all select y, x from e),
+        r(node, c) as (select doc_id, doc_id from documents union select l.b, r.c from r join l on l.a = r.node),
+        m as (select node, min(c) as c from r group by node)
+        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id from documents d join m on node = d.doc_id left join n on n.doc_id = d.doc_id
+    """,
 }
