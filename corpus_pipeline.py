@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import decontaminate, ngram_join, packing, substring_dedup, toxicity
-from kindred.llm.common import materialise, table
+from kindred.llm.common import materialise, settle, table
 from kindred.llm.queries import remainder, tokenizer_path
 
 
@@ -23,6 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by similar shingle sets the one with the smallest doc_id stays."""
+    settle(spark)
     found = ngram_join.join(docs).where("component_id <=> doc_id").select(*docs.columns)
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows of one doc_id are one document
         found = found.dropDuplicates(["doc_id"])
@@ -32,6 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has go; a document that loses nothing stays as it is, one that loses
     every word goes."""
+    settle(spark)
     found = substring_dedup.dedup(docs)
     cut = F.col("n_removed") > 0
     found = found.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text")))
@@ -47,8 +49,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 4096: a row per piece of a document."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end=1, spaced=False, capacity=4096)
+    """Token sequences of 4096: a row per piece of a document.  Workers forget the tokenizer afterwards: other stages share the executors."""
+    settle(spark)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end=1, spaced=False, capacity=4096, forget=True)
 
 
 STAGES = [

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import SLICE_BYTES, Roller, discard, materialise, mix, partitions, slices, text_bytes
+from kindred.llm.common import SLICE_BYTES, Roller, discard, lean, materialise, mix, partitions, slices, text_bytes
 
 BROADCAST_ROWS = 200_000
 _U = np.uint64
@@ -187,7 +187,7 @@ def repeats(documents: DataFrame, kind: Kind, solve, *, words: bool, earlier: bo
     """
     spark = documents.sparkSession
     own = identified(documents)
-    every = materialise(own.mapInArrow(_find(kind), ROWS), "blocks")
+    every = materialise(own.mapInArrow(lean(_find(kind)), ROWS), "blocks")
     anchors = every.groupBy("anchor").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count("*").alias("n")).where("n > 1")
     state = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("n") <= kind.hot, 1).otherwise(2).cast("byte").alias("state")
     shared = materialise(every.join(anchors.select("anchor", state), "anchor"), "shared")
@@ -203,13 +203,13 @@ def repeats(documents: DataFrame, kind: Kind, solve, *, words: bool, earlier: bo
     else:
         texts = own
     data = "array<bigint>" if words else "binary"
-    parts = texts.join(lists, ["doc", "version"]).select("text", "list").mapInArrow(_extract(kind, words), f"anchor long, block long, first long, state byte, data {data}")
+    parts = texts.join(lists, ["doc", "version"]).select("text", "list").mapInArrow(lean(_extract(kind, words)), f"anchor long, block long, first long, state byte, data {data}")
     parts = materialise(parts, "contested")
     cold = parts.where("state = 1").drop("state").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "block")
-    solved = cold.mapInArrow(_resolve(solve, words, most), "anchor long, block long, spans array<bigint>")
+    solved = cold.mapInArrow(lean(_resolve(solve, words, most)), "anchor long, block long, spans array<bigint>")
     warm = parts.where("state = 2")
     if not words:
-        warm = warm.mapInArrow(_window_hashes(kind), "anchor long, block long, first long, data array<bigint>")
+        warm = warm.mapInArrow(lean(_window_hashes(kind)), "anchor long, block long, first long, data array<bigint>")
     else:
         warm = warm.drop("state")
     single = warm.select("anchor", "block", "first", F.posexplode("data").alias("i", "h"))

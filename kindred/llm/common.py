@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +19,7 @@ SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +56,28 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """Arrow batches of a few MB: each is held by the executor and its Python worker at once, several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark
+
+
+def lean(run):
+    """An Arrow function that gives the memory it freed back to the system when its task ends: workers live on."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -220,7 +245,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = links.columns[:2]
     edges = links.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src <> dst")
-    now, before = materialise(edges.mapInArrow(_forest_batches, "src long, dst long").distinct(), "links"), None
+    now, before = materialise(edges.mapInArrow(lean(_forest_batches), "src long, dst long").distinct(), "links"), None
     for _ in range(rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1_000_000_007)).first()
         if state == before or not state[0]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import components, local_forest, materialise, partitions
+from kindred.llm.common import components, lean, local_forest, materialise, partitions
 
 BLOCK = 2048
 SUBSPACES = 8
@@ -188,7 +188,7 @@ def _linked(own: DataFrame, dims: int, least: float, sample: int, list_size: int
     some = own.orderBy(F.xxhash64("node"), "node").limit(sample).select("embedding").toArrow()  # at most `sample` vectors
     lists = int(min(max(1, n // list_size), most_lists))
     model = fit(unit(some.column(0).combine_chunks()), lists)
-    index = own.mapInArrow(_index(model, min(probes, lists)), "node long, weight long, label string, embedding array<double>, home int, probes array<int>, codes binary, error double")
+    index = own.mapInArrow(lean(_index(model, min(probes, lists))), "node long, weight long, label string, embedding array<double>, home int, probes array<int>, codes binary, error double")
     index = materialise(index, "index")
     sizes = index.groupBy("label", F.col("home").alias("list")).agg(F.count("*").alias("stored"))
     asked = index.select("*", F.explode("probes").alias("list"))
@@ -201,4 +201,4 @@ def _linked(own: DataFrame, dims: int, least: float, sample: int, list_size: int
     two = asked.join(blocks, ["label", "list"])
     two = two.select("label", "list", F.pmod(F.xxhash64("node"), F.col("bj")).alias("j"), spread("bi").alias("i"), F.lit(1).alias("kind"), *keep)
     both = one.unionByName(two).repartition(partitions(spark), "label", "list", "i", "j").sortWithinPartitions("label", "list", "i", "j")
-    return both.mapInArrow(_search(model, least), "node long, n long, other long, link boolean")
+    return both.mapInArrow(lean(_search(model, least)), "node long, n long, other long, link boolean")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from kindred.llm.common import LOWER_VALUES, Roller, mix, slices, text_bytes, word_bounds, word_hashes
+from kindred.llm.common import LOWER_VALUES, Roller, lean, mix, slices, text_bytes, word_bounds, word_hashes
 
 LONGEST = 5
 TABLE_BITS = 18
@@ -83,7 +83,7 @@ def fit(documents: DataFrame, *, rows: int = 6000, words: int = 100_000, grams:
     own = documents.where("lang is not null and text is not null and doc_id is not null")
     sample = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` rows: safe to broadcast
     texts = own.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id")
-    found = texts.select("lang", "text").repartition(1).mapInArrow(_trainer(words, grams), "n int, names array<string>, ids binary, log binary").collect()
+    found = texts.select("lang", "text").repartition(1).mapInArrow(lean(_trainer(words, grams)), "n int, names array<string>, ids binary, log binary").collect()
     return {r.n: (list(r.names), np.frombuffer(r.ids, np.uint64), np.frombuffer(r.log, np.float32).reshape(-1, len(r.names))) for r in found}
 
 
@@ -136,4 +136,4 @@ def predict(documents: DataFrame, model: dict) -> DataFrame:
                         pred[i + r], score[i + r] = langs[best[r]], posterior[r]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "lang_score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import LOWER_VALUES, Roller, components, materialise, mix, partitions, slices, text_bytes, word_bounds, word_hashes
+from kindred.llm.common import LOWER_VALUES, Roller, components, lean, materialise, mix, partitions, slices, text_bytes, word_bounds, word_hashes
 
 BATCH_BYTES = 4 << 20
 BATCH_DOCS = 60_000
@@ -246,15 +246,15 @@ def similar(documents: DataFrame, *, width: int = 5, percent: int = 75) -> tuple
     """(doc, version, m): every row's set size; and (node, component): the components of all linked documents."""
     spark = documents.sparkSession
     own = documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("version"), "text")
-    signed = materialise(own.mapInArrow(_sign(width), "doc long, version int, m long, one long, two long"), "signed")
+    signed = materialise(own.mapInArrow(lean(_sign(width)), "doc long, version int, m long, one long, two long"), "signed")
     classes = signed.where("m > 0").groupBy("one", "two", "m").agg(F.min("doc").alias("low"), F.count("*").alias("n"))
     same = signed.join(classes.where("n > 1"), ["one", "two", "m"]).select(F.col("doc").alias("a"), F.col("low").alias("b")).where("a <> b")
     total = signed.agg(F.sum("m")).first()[0] or 0
     bits = max(8, (total // FRAGMENT_TOKENS).bit_length())
     n = partitions(spark)
-    posted = own.mapInArrow(_post(width, bits), PACKED).repartition(n, "fragment").sortWithinPartitions("fragment")
-    counted = posted.mapInArrow(_count, PACKED).repartition(n, "batch").sortWithinPartitions("batch")
-    chosen = materialise(counted.mapInArrow(_select(percent), "doc long, version int, m long, prefix int, tokens array<bigint>"), "chosen")
+    posted = own.mapInArrow(lean(_post(width, bits)), PACKED).repartition(n, "fragment").sortWithinPartitions("fragment")
+    counted = posted.mapInArrow(lean(_count), PACKED).repartition(n, "batch").sortWithinPartitions("batch")
+    chosen = materialise(counted.mapInArrow(lean(_select(percent)), "doc long, version int, m long, prefix int, tokens array<bigint>"), "chosen")
     fragments = chosen.select("doc", "version", "m", "tokens", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("f"))
     fragments = fragments.withColumn("part", F.expr(f"filter(tokens, t -> t % {FRAGMENTS} = f)")).drop("tokens")
     shared = F.size("tokens").alias("s")  # no more can be common with any other text

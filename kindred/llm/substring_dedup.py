@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kindred.llm import blocks
-from kindred.llm.common import text_bytes, word_bounds, word_hashes
+from kindred.llm.common import lean, text_bytes, word_bounds, word_hashes
 
 #: Occurrences of a seed that are extended together.
 HOT = 100_000
@@ -72,4 +72,4 @@ def dedup(documents: DataFrame, length: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(left, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
-    return joined.select(*names, "spans").mapInArrow(run, StructType([*kept.schema.fields, *fields]))
+    return joined.select(*names, "spans").mapInArrow(lean(run), StructType([*kept.schema.fields, *fields]))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from kindred.llm import blocks
-from kindred.llm.common import BYTE_VALUES, SLICE_BYTES, text_bytes
+from kindred.llm.common import BYTE_VALUES, SLICE_BYTES, lean, text_bytes
 
 #: Blocks of an anchor that share a transform: some 6 MB of text.
 HOT = 20_000
@@ -140,4 +140,4 @@ def dedup(documents: DataFrame, length: int = 200) -> DataFrame:
                 left.append(text[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, pa.int64()) for x in (total, lost, runs)), pa.array(left, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.select(*names, "spans").mapInArrow(run, StructType([*kept.schema.fields, *fields, StructField("kept", BinaryType())]))
+    return joined.select(*names, "spans").mapInArrow(lean(run), StructType([*kept.schema.fields, *fields, StructField("kept", BinaryType())]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kindred.llm.common import LOWER_VALUES, mix, slices, text_bytes, word_bounds, word_hashes
+from kindred.llm.common import LOWER_VALUES, lean, mix, slices, text_bytes, word_bounds, word_hashes
 
 BITS = 24
 _APART = np.ones(256, bool)
@@ -74,20 +74,22 @@ def ftrl(labels: np.ndarray, offsets: np.ndarray, flat: np.ndarray, *, alpha: fl
 
 def _trainer(options: dict):
     def train(batches):
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
+        held = [(batch, r) for batch in batches for r in range(batch.num_rows)]
+        if not held:
             return
-        rows = rows.sort_by("key").combine_chunks()
-        lists = rows.column(2).combine_chunks()
-        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        ids, flat, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        held.sort(key=lambda x: (x[0].column(0)[x[1]].as_py(), x[0].column(1)[x[1]].as_py()))
+        seen = np.zeros(1 << BITS, np.uint16 if len(held) < 1 << 16 else np.uint32)
+        for batch, r in held:  # a text has a feature once
+            seen[batch.column(2)[r].values.to_numpy()] += 1
         common = seen >= options["seen"]  # what a few documents have cannot generalise
-        keep = common[flat]
-        new = np.cumsum(common) - 1
-        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        lists = [(x := batch.column(2)[r].values.to_numpy())[common[x]] for batch, r in held]
+        labels = np.array([batch.column(1)[r].as_py() for batch, r in held])
+        held, seen = [], None
+        ids = np.flatnonzero(common)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        flat = np.searchsorted(ids, np.concatenate(lists))
         params = {k: options[k] for k in ("alpha", "beta", "l1", "l2", "epochs")}
-        bias, w = ftrl(rows.column(1).to_numpy(), offsets, new[flat[keep]], **params)
-        ids = ids[common]
+        bias, w = ftrl(labels, offsets, flat, **params)
         at = np.flatnonzero(w) if len(w) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], ids[at]]).astype(np.int64)), pa.array(np.concatenate([[bias], w[at]]))], ["f", "w"])
 
@@ -100,7 +102,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, rows: int = 8000, alpha: flo
     sample = own.select("doc_id", "y", F.xxhash64("doc_id").alias("key")).orderBy("key", "doc_id").limit(rows)  # at most `rows` rows: safe to broadcast
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("key", F.col("y").cast("double"), "text")
     options = {"alpha": alpha, "beta": beta, "l1": l1, "l2": l2, "epochs": epochs, "seen": seen}
-    found = texts.mapInArrow(_feature_rows, "key long, y double, f array<int>").repartition(1).mapInArrow(_trainer(options), "f long, w double").orderBy("f").collect()
+    found = texts.mapInArrow(lean(_feature_rows), "key long, y double, f array<int>").repartition(1).mapInArrow(lean(_trainer(options)), "f long, w double").orderBy("f").collect()
     if not found:
         return 0.0, np.zeros(0, np.int64), np.zeros(0)
     return found[0].w, np.array([r.f for r in found[1:]], np.int64), np.array([r.w for r in found[1:]])
@@ -128,4 +130,4 @@ def score(documents: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) ->
             p = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*names, "toxicity"])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(lean(run), schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import partitions
+from kindred.llm.common import lean, partitions
 
 SAMPLE = 4000
 
@@ -101,4 +101,4 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", defau
 
     from pyspark.sql.types import StringType, StructField, StructType
 
-    return both.mapInArrow(sweep, StructType([*page_type.fields, StructField("rule", StringType()), StructField("verdict", StringType())]))
+    return both.mapInArrow(lean(sweep), StructType([*page_type.fields, StructField("rule", StringType()), StructField("verdict", StringType())]))
