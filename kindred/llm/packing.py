@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialise, partitions
+from kindred.llm.bulk import bulk
+from kindred.llm.common import lean, materialise, partitions
+from kindred.llm.tokens import KEEP, encoded
 
 GROUP = 4000
 ISLANDS = 2
@@ -141,12 +143,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         rows = rows.select("grp", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("x.key").alias("keys"), F.col("x.length").alias("lengths"), F.lit(None).cast("array<binary>").alias("packings"))
         state = rows
         for epoch in range(EPOCHS):
-            state = state.repartition(max(1, min(groups * ISLANDS, partitions(spark))), "grp", "island").mapInArrow(_island(capacity, epoch), island)
+            state = state.repartition(max(1, min(groups * ISLANDS, partitions(spark))), "grp", "island").mapInArrow(lean(_island(capacity, epoch)), island)
             if epoch + 1 < EPOCHS:  # the elite goes to the next island of the ring
                 state = materialise(state, "islands")
                 sent = state.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("packings").alias("arrived"))
                 state = state.join(sent, ["grp", "island"]).select("grp", "island", "keys", "lengths", F.concat("packings", "arrived").alias("packings"))
-        solved = state.mapInArrow(_flatten(capacity), "grp long, island int, bins int, fit double, keys array<bigint>, lengths array<int>, place array<int>, fill array<int>")
+        solved = state.mapInArrow(lean(_flatten(capacity)), "grp long, island int, bins int, fit double, keys array<bigint>, lengths array<int>, place array<int>, fill array<int>")
         best = solved.groupBy("grp").agg(F.min_by(F.struct("keys", "lengths", "place", "fill"), F.struct("bins", F.negative("fit"), "island")).alias("x"))
         flat = materialise(best.select(F.explode(F.arrays_zip("x.keys", "x.lengths", "x.place", "x.fill")).alias("p"), "grp").select(F.col("p.keys").alias("key"), F.col("p.lengths").alias("length"), F.col("p.place").alias("place"), F.col("p.fill").alias("fill"), "grp"), "packed")
         full = F.lit(True) if last else F.col("fill") >= capacity * (1 - 1 / 512)
@@ -182,12 +184,13 @@ def _flatten(capacity: int):
     return run
 
 
-def cut(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, capacity: int) -> DataFrame:
-    """Every document's ids, cut into pieces of at most capacity: doc_id, piece, start, length, ids_crc32."""
-    def run(batches):
-        from kindred.llm.tokens import encoded, encoder
+def cut(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, capacity: int, keep: int = KEEP, forget: bool = False) -> DataFrame:
+    """Every document's ids, cut into pieces of at most capacity: doc_id, piece, start, length, ids_crc32.
 
-        encode = encoder(tokenizer, spaced)
+    keep bounds what the encoder remembers; forget: workers give that memory back after each task.
+    """
+    def run(batches):
+        encode = bulk(tokenizer, spaced, keep)
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), encode, end), strict=True):
@@ -196,13 +199,15 @@ def cut(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, capacit
                     out.append((doc_id, k, a, len(part), zlib.crc32(part.tobytes())))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if forget:
+            bulk.cache_clear()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, capacity: int = 4096) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, capacity: int = 4096, keep: int = KEEP, forget: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    pieces = materialise(cut(documents, tokenizer, end=end, spaced=spaced, capacity=capacity), "pieces")
+    pieces = materialise(cut(documents, tokenizer, end=end, spaced=spaced, capacity=capacity, keep=keep, forget=forget), "pieces")
     keyed = materialise(pieces.withColumn("key", F.monotonically_increasing_id()), "keyed")  # written once, so that keys stay
     placed = pack(keyed, capacity)
     return keyed.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -18,7 +18,6 @@ documents of their own; an empty table gives an empty result; null doc_id raises
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import os
@@ -33,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fresh_path, materialise, partitions
+from kindred.llm.bulk import Bulk, bulk
+from kindred.llm.common import fresh_path, lean, materialise, partitions, slices, text_bytes
 
 BLOCK = 4096
 SHARD = 4 << 20
 MAGIC = b"KINDRED-BITS-01\n"
-#: Parts of texts whose ids a worker remembers, twice: some 200 bytes each.
-KEEP = 250_000
+#: Words whose ids a worker remembers: some 30 bytes each.
+KEEP = 600_000
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _ODD = "\x1c\x1d\x1e\x1f"
 _SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -64,12 +64,6 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-@functools.lru_cache(2)
-def encoder(path: str, spaced: bool, keep: int) -> Encoder:
-    """One in each Python worker; what it has learnt serves later tasks too."""
-    return Encoder(path, spaced, keep)
-
-
 class Encoder:
     """The ids of a tokenizers file, without special tokens added.  Texts are split where the file's own splitting
     always cuts, before a lone blank between two other characters, and each distinct part is encoded once.
@@ -78,7 +72,7 @@ class Encoder:
     splitter, which would leave them as they are; all else goes through the whole file.
     """
 
-    def __init__(self, path: str, spaced: bool, keep: int = KEEP):
+    def __init__(self, path: str, spaced: bool, keep: int = 20_000):
         """spaced: whether a blank belongs to the word that follows it; else blanks vanish and letters are lower-cased."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -204,16 +198,12 @@ class Encoder:
         return [np.frombuffer((first[x[0]] if x else b"") + b"".join(map(ids, x[1:])), "<u4") for x in split]
 
 
-def encoded(column: pa.Array, encode: Encoder, end: int, limit: int = 1 << 21):
-    """The ids of every text of a column, the end id last; texts go to the encoder by about two million characters."""
-    batch, size = [], 0
-    for i in range(len(column)):
-        batch.append(column[i].as_py() or "")
-        size += len(batch[-1])
-        if size >= limit or i == len(column) - 1:
-            for ids in encode(batch):
-                yield np.append(ids, np.uint32(end)).astype("<u4")
-            batch, size = [], 0
+def encoded(column: pa.Array, encode: Bulk, end: int, limit: int = 1 << 21):
+    """The ids of every text of a column, the end id last; texts go to the encoder by about two MB."""
+    raw, offsets = text_bytes(column)
+    for i, j in slices(offsets, limit):
+        for ids in encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+            yield np.append(ids, np.uint32(end)).astype("<u4")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -277,7 +267,7 @@ def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocab
     def run(batches):
         from pyarrow.fs import FileSystem
 
-        encode = encoder(tokenizer, spaced, keep)
+        encode = bulk(tokenizer, spaced, keep)
         fs, place = FileSystem.from_uri(folder)
         fs.create_dir(place)
         part, number = TaskContext.get().partitionId(), 0
@@ -306,7 +296,7 @@ def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocab
 
     own = documents.select("doc_id", "text")
     dealt = own.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    written = materialise(dealt.mapInArrow(run, "part int, number int, path string, n_ids long"), "shards")
+    written = materialise(dealt.mapInArrow(lean(run), "part int, number int, path string, n_ids long"), "shards")
     rows = written.orderBy("part", "number").collect()  # one row a file of up to SHARD ids
     start, out = 0, []
     for r in rows:
@@ -334,4 +324,4 @@ def read(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(shard.starts + begin[path.rsplit("/", 1)[1]]), pa.array(stops - shard.starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load([r.path for r in rows]).select("path", "content")
-    return files.mapInArrow(run, names)
+    return files.mapInArrow(lean(run), names)
