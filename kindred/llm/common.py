@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +59,13 @@ def discard(df: DataFrame) -> None:
 
 
 def settle(spark: SparkSession) -> SparkSession:
-    """Arrow batches of a few MB: each is held by the executor and its Python worker at once, several times over."""
+    """Arrow batches of a few MB: each is held by the executor and its Python worker at once, several times over.
+
+    Python workers also find this package where the driver has it, as in local mode from another folder.
+    """
+    root, given = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in given.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, given)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
