@@ -78,14 +78,15 @@ def matches(documents: DataFrame, items: DataFrame, *, length: int = 10, slop: i
         wanted = cand.join(small(need), "wid").select("doc", "version", "start", "wid", "size", "term", (F.col("start") + F.col("offset")).alias("pos"))
         if slop:
             p = local.withColumnRenamed("pos", "at")
-            met = wanted.join(p, ["doc", "version", "term"]).where(F.abs(F.col("at") - F.col("pos")) <= slop).drop("at").distinct()
+            met = wanted.join(p, ["doc", "version", "term"]).where(F.abs(F.col("at") - F.col("pos")) <= slop).drop("at")
         else:
-            met = wanted.join(local, ["doc", "version", "term", "pos"])
-        met = met.groupBy("doc", "version", "start", "wid", "size").agg(F.count("*").alias("met"))
+            met = wanted.join(local, ["doc", "version", "term", "pos"], "left_semi")
+        # equal rows of documents have their postings each, and count once
+        met = met.distinct().groupBy("doc", "version", "start", "wid", "size").agg(F.count("*").alias("met"))
         total = need.groupBy("wid").agg(F.count("*").alias("need"))
         return met.join(total, "wid").where("met = need").select("doc", "version", "start", "wid", "size")
 
-    lone = candidates.where("size = 1")
+    lone = candidates.where("size = 1").distinct()
     second = intersect(candidates, F.col("rank") == 0)
     both = second.where("size = 2")
     full = lone.unionByName(both).unionByName(intersect(second.where("size > 2"), F.col("rank") > 0))

@@ -146,3 +146,15 @@ def test_decontamination(spark):
     assert near.count() == 1
     assert decontaminate.decontaminate(df, items.where("false")).where("contaminated").count() == 0
     assert decontaminate.decontaminate(df.where("false"), items).count() == 0
+
+
+def test_decontamination_of_equal_rows(spark):
+    item = " ".join(f"t{i}" for i in range(14))
+    items = spark.createDataFrame([(7, item), (8, "short one"), (9, "lone")], "item_id long, text string")
+    rows = [(0, "x " + item)] * 3 + [(0, "x y"), (1, "a short one b")] * 2 + [(2, "a lone b")] * 2 + [(3, item)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.n_words, r.n_hit, *r.item_ids, r.contaminated) for r in decontaminate.decontaminate(df, items).collect())
+    assert out == [(0, 2, 0, False)] * 2 + [(0, 15, 14, "7", True)] * 3 + [(1, 4, 2, "8", True)] * 2 + [(2, 3, 1, "9", True)] * 2 + [(3, 14, 14, "7", True)]
+    for slop in (0, 1):
+        found = decontaminate.matches(df, items, slop=slop)
+        assert found.count() == found.distinct().count() and found.select("doc", "version").distinct().count() == 4
