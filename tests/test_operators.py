@@ -66,6 +66,31 @@ def test_file_match(spark):
     assert {r.l: r.r for r in M.match_files(left, right).collect()} == {0: 0, 2: 1}
 
 
+def test_file_match_takes_a_round_for_a_group(spark, monkeypatch):
+    """A hot content is decided by rank: neither its pairs are listed nor is a round needed for each left."""
+    rounds, kept = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, what: rounds.append(what) or kept(df, what))
+    hot = files(spark, [("p", 10, "hot", "m")] * 40)
+    assert {r.l: r.r for r in M.match_files(hot, hot.where("ord > 5")).collect()} == {i: i + 6 for i in range(34)}
+    assert rounds.count("matches") == 1
+
+
+def test_file_match_of_mixed_groups(spark):
+    dice = random.Random(5)
+    make = lambda n: [("p", 10, dice.choice("ABCDE"), dice.choice(["m", "n", None])) for _ in range(n)]
+    left, right = make(24) + [("p", 10, f"own{i}", dice.choice("mn")) for i in range(6)], make(20)
+    dice.shuffle(left)
+    used, wanted = set(), {}
+    for i, x in enumerate(left):
+        mine = [k for k, y in enumerate(right) if y[2] == x[2]] or [k for k, y in enumerate(right) if x[3] and y[3] == x[3]]
+        free = [k for k in mine if k not in used]
+        if free:
+            wanted[i] = free[0]
+            used.add(free[0])
+    assert {r.l: r.r for r in M.match_files(files(spark, left), files(spark, right)).collect()} == wanted
+    assert M.match_files(files(spark, left), files(spark, right).where("false")).count() == 0
+
+
 def test_image_threshold(spark):
     base = 0x0123456789ABCDEF
     near, far = base ^ 0b1111111111, base ^ 0b11111111111
