@@ -10,7 +10,7 @@
 
 Cases: null text has no words; an item of fewer words than a window is one window, one without words none; null item_id is
 not reported; equal windows of several items are searched once; documents with equal doc_id and text are the same to the
-index and both reported; a very long text is searched whole; with no items every document is clean; more columns of
+index and both reported; a null doc_id is searched and reported like any other; a very long text is searched whole; with no items every document is clean; more columns of
 documents are kept (those named as the results are replaced).
 """
 
@@ -39,7 +39,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _document(documents: DataFrame) -> list:
-    return [F.col("doc_id").alias("doc"), F.xxhash64("text").alias("version")]
+    """A null doc_id is taken as 0: whether rows of equal text are told apart does not change what is found in them."""
+    known = F.coalesce("doc_id", F.lit(0).cast(documents.schema["doc_id"].dataType))
+    return [known.alias("doc"), F.xxhash64("text").alias("version")]
 
 
 def windows(items: DataFrame, length: int) -> DataFrame:
@@ -106,7 +108,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, length: int = 10, s
     which = found.where("item_id is not null").groupBy("doc", "version").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     each = hit.join(which, ["doc", "version"], "left")
     kept = documents.drop("n_words", "n_hit", "item_ids", "contaminated")
-    own = kept.withColumn("n_words", F.size(words("text")).cast("long")).withColumn("_v", F.xxhash64("text"))
-    out = own.join(each.select(F.col("doc").alias("_d"), F.col("version").alias("_w"), "n_hit", "item_ids"), (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.col("_v") == F.col("_w")), "left")
+    own = kept.withColumn("n_words", F.size(words("text")).cast("long")).withColumns({"_i": _document(documents)[0], "_v": F.xxhash64("text")})
+    out = own.join(each.select(F.col("doc").alias("_d"), F.col("version").alias("_w"), "n_hit", "item_ids"), (F.col("_i") == F.col("_d")) & (F.col("_v") == F.col("_w")), "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("_d", "_v", "_w")
+    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("_d", "_i", "_v", "_w")

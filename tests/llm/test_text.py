@@ -158,3 +158,10 @@ def test_decontamination_of_equal_rows(spark):
     for slop in (0, 1):
         found = decontaminate.matches(df, items, slop=slop)
         assert found.count() == found.distinct().count() and found.select("doc", "version").distinct().count() == 4
+
+
+def test_decontamination_of_null_doc_ids(spark):
+    items = spark.createDataFrame([(7, "some short item")], "item_id long, text string")
+    df = spark.createDataFrame([(None, "Some short item."), (None, "clean"), (0, "clean"), (0, "x some short item"), (None, None)], "doc_id long, text string")
+    out = {(r.doc_id, r.text): (r.n_hit, *r.item_ids, r.contaminated) for r in decontaminate.decontaminate(df, items).collect()}
+    assert out == {(None, "Some short item."): (3, "7", True), (None, "clean"): (0, False), (0, "clean"): (0, False), (0, "x some short item"): (3, "7", True), (None, None): (0, False)}
