@@ -1,10 +1,9 @@
-"""Substring dedup over words by seed and extend.
+"""Substring dedup over words by windows around seeds.
 
-Seeds are winnowed anchors: of every `length` words the k-gram with the least hash.  Documents are joined on them, and each
-occurrence is extended both ways, word by word, as far as windows hold the same anchor (a block, see blocks.py).
-Two occurrences match in a window if the words before and after the seed agree out to its ends, which their hashes tell;
-matching windows that touch form the maximal repeats, at least `length` words long.  A repeat is removed from every
-document but the one with the smallest doc_id.
+Seeds are winnowed anchors: of every `length` words the k-gram with the least hash.  Documents are joined on them; a block
+(see blocks.py) is all windows of `length` words around an occurrence that hold the same anchor.  Windows are matched whole,
+by their hashes: no pair of occurrences is extended word by word and no maximal repeat is formed.  The words of a window
+that an earlier document has too are removed, so one document keeps them, that with the smallest doc_id.
 
 Cases: null text has no words; fewer words than `length` lose nothing; a passage twice in one document alone is kept;
 windows are judged on the input; rows with equal doc_id count as one document; a null doc_id is smaller than any other;
@@ -32,7 +31,7 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def extend(firsts: list[int], parts: list[np.ndarray]) -> list[np.ndarray]:
-    """parts: for each occurrence of a seed the hashes of its windows, each the seed with what extends it both ways.
+    """parts: for each occurrence of a seed the hashes of the windows around it.
     Which windows an occurrence in an earlier document shares."""
     size = np.array([len(p) for p in parts])
     every = np.concatenate(parts)
