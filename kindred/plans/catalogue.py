@@ -595,7 +595,7 @@ def q_freshness(spark, sf_dir):
 
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from orders where o_orderstatus = 'F') where k = 1")
 def q_first_existing(spark, sf_dir):
-    """WIN-08, SRC-13, SRC-14."""
+    """WIN-08."""
     return A.first_existing(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("existing")), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
