@@ -3,17 +3,19 @@
 File format (little-endian), one file a shard:
     16 bytes  magic `KINDRED-BITS-01\\n`
     blocks    BLOCK ids each, every id in `bits` bits, lowest bit first; a block starts on a byte
-    documents n_docs x (doc_id int64, first id in the shard int64)
+    documents n_docs x (doc_id int64, first id in the shard int64); the first n_null have no doc_id (0 is written)
     offsets   n_blocks x byte offset uint64
-    48 bytes  bits, BLOCK, n_ids, n_blocks, n_docs, offset of the documents: six uint64
+    56 bytes  bits, BLOCK, n_ids, n_blocks, n_docs, n_null, offset of the documents: seven uint64
 Any id is found from the offset of its block; a block unpacks with a few numpy calls.
 
-Documents are written in ascending doc_id order: Spark deals them by ranges of doc_id (ties and repeated rows by text),
-every task writes its shards itself into the shared folder, under names of its own attempt, and only what successful
-tasks report is read.  A shard holds at most SHARD ids or one document.
+Documents are written in ascending doc_id order, those without one first: Spark deals them by ranges of doc_id (ties by
+a hash of the text), every task writes its shards itself into the shared folder, under names of its own attempt, and
+only what successful tasks report is read.  A shard holds at most SHARD ids or one document.  Where a shard starts in the
+corpus follows from sums over the tasks' reports; no list of shards is on the driver.
 
 Cases: null text is empty; an empty text has the end id alone; a very long text is encoded whole; repeated rows are
-documents of their own; an empty table gives an empty result; null doc_id raises an error; other columns are ignored.
+documents of their own; an empty table gives an empty result; other columns are ignored; an id that does not fit the bits
+of the vocabulary raises an error, nothing is cut off.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.bulk import Bulk, bulk
@@ -206,7 +208,16 @@ def encoded(column: pa.Array, encode: Bulk, end: int, limit: int = 1 << 21):
             yield np.append(ids, np.uint32(end)).astype("<u4")
 
 
+def vocabulary_size(path: str, end: int) -> int:
+    """One more than the largest id that a tokenizers file, or the end id, can give."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(end, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if bits < 32 and len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     flat = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
@@ -221,7 +232,7 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return np.packbits(flat, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def shard_bytes(doc_ids: list[int], ids: list[np.ndarray], bits: int) -> bytes:
+def shard_bytes(doc_ids: list[int | None], ids: list[np.ndarray], bits: int) -> bytes:
     flat = np.concatenate(ids)
     starts = np.cumsum([0, *map(len, ids)])[:-1]
     out, offsets = [MAGIC], []
@@ -230,8 +241,10 @@ def shard_bytes(doc_ids: list[int], ids: list[np.ndarray], bits: int) -> bytes:
         offsets.append(at)
         out.append(pack(flat[i : i + BLOCK], bits))
         at += len(out[-1])
-    docs = np.stack([np.array(doc_ids, "<i8"), starts.astype("<i8")], 1).tobytes()
-    tail = np.array([bits, BLOCK, len(flat), len(offsets), len(ids), at], "<u8")
+    known = [x for x in doc_ids if x is not None]
+    nulls = len(doc_ids) - len(known)
+    docs = np.stack([np.array([0] * nulls + known, "<i8"), starts.astype("<i8")], 1).tobytes()
+    tail = np.array([bits, BLOCK, len(flat), len(offsets), len(ids), nulls, at], "<u8")
     return b"".join([*out, docs, np.array(offsets, "<u8").tobytes(), tail.tobytes()])
 
 
@@ -242,7 +255,7 @@ class Shard:
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a file of token ids")
         self.data = memoryview(data)
-        self.bits, self.block, self.n_ids, n_blocks, n_docs, at = (int(x) for x in np.frombuffer(data[-48:], "<u8"))
+        self.bits, self.block, self.n_ids, n_blocks, n_docs, self.n_null, at = (int(x) for x in np.frombuffer(data[-56:], "<u8"))
         docs = np.frombuffer(self.data[at : at + 16 * n_docs], "<i8").reshape(-1, 2)
         self.doc_ids, self.starts = docs[:, 0], docs[:, 1]
         self.offsets = np.frombuffer(self.data[at + 16 * n_docs : at + 16 * n_docs + 8 * n_blocks], "<u8").astype(np.int64)
@@ -258,11 +271,11 @@ class Shard:
         return np.concatenate(parts)[start - a * self.block : stop - a * self.block]
 
 
-def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocabulary: int, folder: str | None = None, keep: int = KEEP) -> DataFrame:
-    """Writes the files; returns (shard path, first id of the shard in the corpus, its number of ids), in order."""
+def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, folder: str | None = None, keep: int = KEEP) -> DataFrame:
+    """Writes the files; returns (shard path, first id of the shard in the corpus, its number of ids)."""
     spark = documents.sparkSession
     folder = folder or fresh_path(spark, "tokens")
-    bits = max(1, (vocabulary - 1).bit_length())
+    bits = max(1, (vocabulary_size(tokenizer, end) - 1).bit_length())
 
     def run(batches):
         from pyarrow.fs import FileSystem
@@ -283,8 +296,6 @@ def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocab
         size = 0
         for batch in batches:
             for doc_id, x in zip(batch.column(0).to_pylist(), encoded(batch.column(1), encode, end), strict=True):
-                if doc_id is None:
-                    raise ValueError("a document without doc_id has no place in the files")
                 if size and size + len(x) > SHARD:
                     yield flush()
                     docs, ids, size, number = [], [], 0, number + 1
@@ -294,34 +305,33 @@ def write(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, vocab
         if docs:
             yield flush()
 
-    own = documents.select("doc_id", "text")
-    dealt = own.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    own = documents.select("doc_id", "text", F.xxhash64("text").alias("tie"))  # many rows may have one doc_id, or none
+    dealt = own.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     written = materialise(dealt.mapInArrow(lean(run), "part int, number int, path string, n_ids long"), "shards")
-    rows = written.orderBy("part", "number").collect()  # one row a file of up to SHARD ids
-    start, out = 0, []
-    for r in rows:
-        out.append((r.path, start, r.n_ids))
-        start += r.n_ids
-    return spark.createDataFrame(out, "path string, start long, n_ids long")
+    # a row for each task, then the shards of one task: neither sum runs over all shards
+    parts = written.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    return written.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, "part").select("path", (F.col("base") + F.col("inside")).alias("start"), "n_ids")
 
 
 def read(shards: DataFrame) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    spark = shards.sparkSession
-    rows = shards.collect()
-    names = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not rows:
-        return spark.createDataFrame([], names)
-    begin = {r.path.rsplit("/", 1)[1]: r.start for r in rows}
 
     def run(batches):
+        from pyarrow.fs import FileSystem
+
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(data.as_py())
+            for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, place = FileSystem.from_uri(path)
+                with fs.open_input_stream(place) as file:
+                    shard = Shard(file.read())
                 ids = shard.ids(0, shard.n_ids)
                 stops = np.append(shard.starts[1:], shard.n_ids)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(shard.starts, stops, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(shard.starts + begin[path.rsplit("/", 1)[1]]), pa.array(stops - shard.starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                null = np.arange(len(stops)) < shard.n_null
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=null), pa.array(shard.starts + first), pa.array(stops - shard.starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").load([r.path for r in rows]).select("path", "content")
-    return files.mapInArrow(lean(run), names)
+    files = shards.select("path", "start").repartition(partitions(shards.sparkSession))
+    return files.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
