@@ -2,16 +2,20 @@
 
 A chromosome is a packing.  Crossover takes the well-filled bins of one parent whole, then the bins of the other
 that share no document with them; what is left over - the displaced documents - is placed by best fit, longest first.
-Fitness is the mean squared fill, which rewards full bins.
+Fitness is the mean squared fill, which rewards full bins.  An island begins with best-fit packings in random orders and
+evolves until no packing can have fewer bins or its generations are over.
 
 Documents are dealt at random into groups of bounded size; each group is solved on several islands, and between epochs
-every island's best packing migrates to the next island of its group.  Bins that are nearly full then stay; the documents of
-all other bins are dealt anew in fewer groups, until one group holds the rest.  So a task sees at most about GROUP
-documents however many there are, nothing is gathered on the driver, and the waste is that of the last group alone.
+every island's best packing migrates to the next island of its group; an island that is not at the bound then also takes in
+the best-fit decreasing packing as one more parent.  Bins that are nearly full, or as full as the group's median bin, then
+stay; the documents of all other bins are dealt anew in fewer groups, until one group holds the rest.  So at least half of the
+bins stay in every round, a task sees at most about GROUP documents however many there are, nothing is gathered on the driver,
+and the waste is that of the last group alone, but for pieces that cannot fill a bin to more than their median bin.
 
 Cases: a piece as long as a sequence has its own; pieces of length 0 do not occur (a document has its end id); ties go
 to the smaller (doc_id, piece); repeated rows are packed each; an empty table gives an empty result; a null doc_id is kept
-as null; more columns of the input are not carried.
+as null; a null text is empty; more columns of the input, whatever their names, are not carried; a very long text is cut only
+where a sequence ends.
 """
 
 from __future__ import annotations
@@ -75,27 +79,26 @@ def crossover(one: list[list[int]], two: list[list[int]], length: list[int], cap
     return best_fit(displaced, length, capacity, out)
 
 
-def evolve(length: list[int], capacity: int, elite: list[list[list[int]]], seed: int, *, population: int = 4, generations: int = 6) -> list[list[int]]:
-    """The best packing of an island; elite: packings that came from islands."""
+def evolve(length: list[int], capacity: int, elite: list[list[list[int]]], seed: int, *, population: int = 4, generations: int = 16) -> list[list[int]]:
+    """The best packing of an island; elite: packings of the epoch before, from this island and others."""
     dice = random.Random(seed)
     least = -(-sum(length) // capacity)
-    by_size = sorted(range(len(length)), key=lambda i: -length[i])
-    people = [*elite, best_fit(by_size, length, capacity)]
-    while len(people) < population and min(map(len, people)) > least:
-        noise = dice.uniform(0.02, 0.3)
-        people.append(best_fit(sorted(range(len(length)), key=lambda i: -length[i] * (1 + noise * dice.random())), length, capacity))
-    people = sorted(((len(p), -fitness(p, length, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:3])
-    number = len(people)
+
+    def ranked(packings):
+        return sorted(packings, key=lambda p: (len(p), -fitness(p, length, capacity)))[:population]
+
+    people = list(elite)
+    if people and min(map(len, people)) > least:
+        people.append(best_fit(sorted(range(len(length)), key=lambda i: -length[i]), length, capacity))
+    while len(people) < population and (not people or min(map(len, people)) > least):
+        people.append(best_fit(dice.sample(range(len(length)), len(length)), length, capacity))
+    people = ranked(people)
     for _ in range(generations):
-        if people[0][0] <= least:
+        if len(people[0]) <= least or len(people) < 2:
             break
-        a, b = sorted(dice.sample(range(len(people)), 2)) if len(people) > 1 else (0, 0)
-        if dice.random() < 0.5:
-            a, b = b, a
-        child = crossover(people[a][3], people[b][3], length, capacity, dice)
-        number += 1
-        people = sorted([*people, (len(child), -fitness(child, length, capacity), number, child)], key=lambda x: x[:3])[:population]
-    return people[0][3]
+        one, two = dice.sample(people, 2)
+        people = ranked([*people, crossover(one, two, length, capacity, dice)])
+    return people[0]
 
 
 def _bins(place: np.ndarray) -> list[list[int]]:
@@ -148,13 +151,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 state = materialise(state, "islands")
                 sent = state.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("packings").alias("arrived"))
                 state = state.join(sent, ["grp", "island"]).select("grp", "island", "keys", "lengths", F.concat("packings", "arrived").alias("packings"))
-        solved = state.mapInArrow(lean(_flatten(capacity)), "grp long, island int, bins int, fit double, keys array<bigint>, lengths array<int>, place array<int>, fill array<int>")
-        best = solved.groupBy("grp").agg(F.min_by(F.struct("keys", "lengths", "place", "fill"), F.struct("bins", F.negative("fit"), "island")).alias("x"))
-        flat = materialise(best.select(F.explode(F.arrays_zip("x.keys", "x.lengths", "x.place", "x.fill")).alias("p"), "grp").select(F.col("p.keys").alias("key"), F.col("p.lengths").alias("length"), F.col("p.place").alias("place"), F.col("p.fill").alias("fill"), "grp"), "packed")
-        full = F.lit(True) if last else F.col("fill") >= capacity * (1 - 1 / 512)
+        solved = state.mapInArrow(lean(_flatten(capacity)), "grp long, island int, bins int, fit double, keys array<bigint>, lengths array<int>, place array<int>, stays array<boolean>")
+        best = solved.groupBy("grp").agg(F.min_by(F.struct("keys", "lengths", "place", "stays"), F.struct("bins", F.negative("fit"), "island")).alias("x"))
+        flat = materialise(best.select(F.explode(F.arrays_zip("x.keys", "x.lengths", "x.place", "x.stays")).alias("p"), "grp").select(F.col("p.keys").alias("key"), F.col("p.lengths").alias("length"), F.col("p.place").alias("place"), F.col("p.stays").alias("stays"), "grp"), "packed")
+        full = F.lit(True) if last else F.col("stays")
         left = 0 if last else flat.where(~full).count()
-        if left > 0.9 * count:  # such pieces do not fill bins in any group: this packing stands
-            full, left = F.lit(True), 0
         stay = flat.where(full)
         low = stay.groupBy("grp", "place").agg(F.min("key").alias("bin"))
         finished.append(stay.join(low, ["grp", "place"]).select("key", "bin", "length"))
@@ -170,7 +171,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 def _flatten(capacity: int):
     def run(batches):
         for batch in batches:
-            bins, fit, places, fills = [], [], [], []
+            bins, fit, places, stays = [], [], [], []
             for r in range(batch.num_rows):
                 place = np.frombuffer(batch.column(4)[r].values[0].as_py(), "<i4")
                 length = batch.column(3)[r].values.to_numpy()
@@ -178,8 +179,8 @@ def _flatten(capacity: int):
                 bins.append(len(fill))
                 fit.append(float(((fill / capacity) ** 2).mean()))
                 places.append(place)
-                fills.append(fill[place].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.int32()), pa.array(fit), batch.column(2), batch.column(3), pa.array(places, pa.list_(pa.int32())), pa.array(fills, pa.list_(pa.int32()))], ["grp", "island", "bins", "fit", "keys", "lengths", "place", "fill"])
+                stays.append((fill >= min(capacity * (1 - 1 / 512), np.median(fill)))[place])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.int32()), pa.array(fit), batch.column(2), batch.column(3), pa.array(places, pa.list_(pa.int32())), pa.array(stays, pa.list_(pa.bool_()))], ["grp", "island", "bins", "fit", "keys", "lengths", "place", "stays"])
 
     return run
 
