@@ -1,15 +1,18 @@
 """Toxicity scores: logistic regression, fitted by FTRL-proximal, over hashed word n-grams and skip-grams.
 
-Features of a text are the hashes of its ASCII-lower-cased words, of neighbouring pairs and of pairs with one word
-between, each present or not.  FTRL-proximal keeps a learning rate for every coordinate and an L1 term that leaves
-most weights at exactly zero, so the model is a short list of (hash, weight) that is broadcast whatever the corpus.
+Features of a text are the hashes of its ASCII-lower-cased words, of two and three words running and of pairs with one or
+two words between, each present or not.  FTRL-proximal keeps a learning rate for every coordinate and an L1 term that
+leaves most weights at exactly zero, so the model is a short list of (hash, weight) that is broadcast whatever the corpus.
 
-Training reads a bounded, documented sample: `rows` labelled documents, those with the smallest hash of doc_id.
+Training reads a bounded, documented sample: `rows` labelled documents, those with the smallest hash of doc_id, with the
+first of their texts where a doc_id has several.  A feature that fewer than `seen` of the sampled texts have is not learnt:
+it could not be told from chance; so with fewer labelled rows than that the model is the share of toxic ones alone.
 Texts are never cut.  Every document is scored, without a shuffle.
 
 Cases: a null or empty text has no feature and gets the model's prior; null labels are not learnt from; if a
 document has several labels the highest counts; with no labelled row every score is 0.5 and predicted is 1;
-repeated rows are scored alike, each once; an empty table gives an empty result; other columns are ignored.
+repeated rows and ties are scored alike, each once; a null doc_id is scored and not learnt from; an empty table gives an
+empty result; a column named toxicity is replaced, other columns pass.
 """
 
 from __future__ import annotations
@@ -20,23 +23,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kindred.llm.common import LOWER_VALUES, lean, mix, slices, text_bytes, word_bounds, word_hashes
+from kindred.llm.common import chain, lean, sampled, slices, text_bytes, word_bounds, word_hashes
 
 BITS = 24
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+#: The words that belong to a first one: two and three running, pairs with one and with two between.
+GRAMS = ((1,), (1, 2), (2,), (3,))
+
+
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every feature that occurs in the texts, repeats included."""
     start, stop = word_bounds(raw, offsets[1:], _APART)
-    h = word_hashes(raw, start, stop, LOWER_VALUES)
+    h = word_hashes(raw, start, stop, lower=True)
     row = np.searchsorted(offsets, start, "right") - 1
     rows, hashes = [row], [h]
-    for gap, salt in ((1, 0x8CB92BA72F3D8DD7), (2, 0xA0761D6478BD642F)):
-        one = row[:-gap] == row[gap:]
-        rows.append(row[:-gap][one])
-        hashes.append(mix(h[:-gap][one] * np.uint64(salt) + h[gap:][one]))
+    for others in GRAMS:
+        n = max(len(h) - others[-1], 0)
+        one = row[:n] == row[others[-1] :]
+        rows.append(row[:n][one])
+        hashes.append(chain([h[k : n + k][one] for k in (0, *others)], others[-1]))
     return np.concatenate(rows), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -99,8 +107,9 @@ def _trainer(options: dict):
 def fit(documents: DataFrame, labels: DataFrame, *, rows: int = 8000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 5, seen: int = 10) -> tuple[float, np.ndarray, np.ndarray]:
     """labels: doc_id and toxic (0/1) of the documents to learn from.  Returns bias, feature hashes (sorted), weights."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    sample = own.select("doc_id", "y", F.xxhash64("doc_id").alias("key")).orderBy("key", "doc_id").limit(rows)  # at most `rows` rows: safe to broadcast
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("key", F.col("y").cast("double"), "text")
+    sample = sampled(own, "doc_id", rows).select("doc_id", "y", F.xxhash64("doc_id").alias("key"))  # at most `rows` rows: safe to broadcast
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "key", "y").agg(F.min("text").alias("text")).select("key", F.col("y").cast("double"), "text")
     options = {"alpha": alpha, "beta": beta, "l1": l1, "l2": l2, "epochs": epochs, "seen": seen}
     found = texts.mapInArrow(lean(_feature_rows), "key long, y double, f array<int>").repartition(1).mapInArrow(lean(_trainer(options)), "f long, w double").orderBy("f").collect()
     if not found:
