@@ -7,9 +7,9 @@ of windows that share one occurrence of an anchor; every window is in exactly on
   - windows of blocks that differ can only be equal if the blocks have the same anchor: such contested anchors are
     resolved by the operator's own method, each distinct block once;
   - all other windows, most of a clean corpus, occur once.
-An anchor with more than `hot` occurrences is not brought together: its blocks are cut into single windows, which are
-counted by content, so no group is ever gathered.
-Rows travel as 128-bit hashes; text is only shuffled by document.
+An anchor with more than `hot` occurrences is not brought together: its windows become anchors themselves, with nothing
+around them left to compare, and are counted by content, so no group is ever gathered.
+Rows travel as 128-bit hashes (anchor, block); text is only shuffled by document.
 """
 
 from __future__ import annotations
@@ -22,17 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import SLICE_BYTES, Roller, discard, lean, materialise, mix, partitions, slices, text_bytes
+from kindred.llm.common import SLICE_BYTES, Roller, discard, hot_join, lean, materialise, mix, partitions, slice_hashes, slices, small, text_bytes
 
-BROADCAST_ROWS = 200_000
 _U = np.uint64
-ROWS = "doc long, version int, loc long, anchor long, block long"
+ROWS = "doc long, version long, loc long, anchor long, block long"
+#: Bits of a gram's hash that give way to its place: more than any slice has tokens.
+_PLACE = _U(22)
 
 
 class Blocks(NamedTuple):
     row: np.ndarray
     start: np.ndarray  # of the first window, in tokens of the text
     count: np.ndarray  # windows
+    place: np.ndarray  # of the anchor, in tokens after the start
     anchor: np.ndarray
     block: np.ndarray
 
@@ -49,17 +51,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:m], before[w - 1 : w - 1 + m])
 
 
-def _blocks(values: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Blocks:
-    n = len(values)
+def _blocks(values: np.ndarray, offsets: np.ndarray, raw: np.ndarray, length: int, k: int) -> Blocks:
+    n, unit = len(values), len(raw) // max(len(values), 1)
     size = np.diff(offsets)
     long = size >= length
     if not long.any():
         none = np.zeros(0, np.int64)
-        return Blocks(none, none, none, none.astype(_U), none.astype(_U))
-    roll = Roller(values)
-    grams = mix(roll.fixed(k))
-    bits = _U(max(1, int(n).bit_length()))
-    low = (_U(1) << bits) - _U(1)
+        return Blocks(none, none, none, none, none.astype(_U), none.astype(_U))
+    grams = mix(Roller(values).fixed(k))
+    low = (_U(1) << _PLACE) - _U(1)
+    assert n < low
     least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=_U), length - k + 1)
     step = np.zeros(n + 1, np.int8)
     step[offsets[:-1][long]] += 1
@@ -70,58 +71,64 @@ def _blocks(values: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Blo
     count = np.diff(np.append(first, len(at)))
     start = at[first]
     row = np.searchsorted(offsets, start, "right") - 1
-    block = mix(roll(start, start + count - 1 + length) ^ mix(count.astype(_U)))
-    return Blocks(row, start - offsets[row], count, mix(grams[anchor[first]] ^ _U(0x5851F42D4C957F2D)), block)
+    block = slice_hashes(raw, start * unit, (start + count - 1 + length) * unit)
+    return Blocks(row, start - offsets[row], count, anchor[first] - start, mix(grams[anchor[first]] ^ _U(0x5851F42D4C957F2D)), block)
 
 
-def blocks(values: np.ndarray, offsets: np.ndarray, length: int, k: int, limit: int = SLICE_BYTES) -> Blocks:
-    """Of several texts, given as token values and where each text starts; a long text is taken by overlapping parts."""
-    out = []
+def blocks(values: np.ndarray, offsets: np.ndarray, raw: np.ndarray, length: int, k: int, limit: int = SLICE_BYTES) -> Blocks:
+    """Of several texts, given as token values, where each text starts and the tokens' own bytes, the same number each; a
+    long text is taken by overlapping parts."""
+    out, unit = [], len(raw) // max(len(values), 1)
     for i, j in slices(offsets, limit):
         a, b = offsets[i], offsets[j]
         if j - i > 1 or b - a <= 2 * limit:
-            x = _blocks(values[a:b], offsets[i : j + 1] - a, length, k)
+            x = _blocks(values[a:b], offsets[i : j + 1] - a, raw[a * unit : b * unit], length, k)
             out.append(x._replace(row=x.row + i))
             continue
         for c in range(a, b, limit):
-            part = values[c : min(c + limit + length - 1, b)]
-            x = _blocks(part, np.array([0, len(part)]), length, k)
+            d = min(c + limit + length - 1, b)
+            x = _blocks(values[c:d], np.array([0, d - c]), raw[c * unit : d * unit], length, k)
             out.append(x._replace(row=x.row + i, start=x.start + (c - a)))
-    return Blocks(*(np.concatenate(c) for c in zip(*out, strict=True))) if out else _blocks(values, offsets, length, k)
+    return Blocks(*(np.concatenate(c) for c in zip(*out, strict=True))) if out else _blocks(values, offsets, raw, length, k)
 
 
 class Kind(NamedTuple):
-    """tokens(raw, offsets): token values of the texts, and where each text starts among them.
-    limit: tokens to a slice; hot: see above, so many blocks at most are resolved together."""
+    """tokens(raw, offsets): token values of the texts, where each text starts among them, and the tokens' own bytes, the
+    same number each.  limit: tokens to a slice; hot: see above, so many blocks at most are resolved together."""
 
-    tokens: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    tokens: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
     length: int
     k: int
     limit: int
     hot: int
+    unit: int  # bytes of a token
 
 
 def _find(kind: Kind):
+    """loc: start << 16 | place of the anchor << 8 | number of windows."""
+
     def run(batches):
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
             for i, j in slices(offsets):
-                values, starts = kind.tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                x = blocks(values, starts, kind.length, kind.k, kind.limit)
+                x = blocks(*kind.tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), kind.length, kind.k, kind.limit)
                 if len(x.row):
                     where = pa.array(x.row + i)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(x.start * 256 + x.count), pa.array(x.anchor.view(np.int64)), pa.array(x.block.view(np.int64))], ["doc", "version", "loc", "anchor", "block"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(x.start << 16 | x.place << 8 | x.count), pa.array(x.anchor.view(np.int64)), pa.array(x.block.view(np.int64))], ["doc", "version", "loc", "anchor", "block"])
 
     return run
 
 
 def identified(documents: DataFrame) -> DataFrame:
     """doc, version, text: a null doc_id counts as the smallest; version tells texts of one doc_id apart."""
-    return documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("version"), "text")
+    return documents.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("version"), "text")
+
+
+PARTS = ["anchor", "block", "first", "state", "place", "data"]
 
 
-def _extract(kind: Kind, words: bool):
-    """(text, list of (loc, anchor, block, first)) to the tokens of each block: bytes, or hashes of its windows."""
+def _extract(kind: Kind):
+    """(text, list of (loc, anchor, block, first, state)) to the blocks' own bytes."""
 
     def run(batches):
         for batch in batches:
@@ -130,15 +137,11 @@ def _extract(kind: Kind, words: bool):
             at, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
             loc, anchor, block, first, state = (flat.field(n).to_numpy() for n in ("loc", "anchor", "block", "first", "state"))
             for r in range(batch.num_rows):
-                text, mine = raw[offsets[r] : offsets[r + 1]], slice(at[r], at[r + 1])
-                start, count = loc[mine] >> 8, loc[mine] & 255
-                if words:
-                    values, _ = kind.tokens(text, np.array([0, len(text)]))
-                    hashes = mix(Roller(values).fixed(kind.length)).view(np.int64)
-                    data = pa.array([hashes[s : s + c] for s, c in zip(start, count, strict=True)], pa.list_(pa.int64()))
-                else:
-                    data = pa.array([text[s : s + c - 1 + kind.length].tobytes() for s, c in zip(start, count, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[mine]), pa.array(block[mine]), pa.array(first[mine]), pa.array(state[mine]), data], ["anchor", "block", "first", "state", "data"])
+                mine = slice(at[r], at[r + 1])
+                own, unit = kind.tokens(raw[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))[2], kind.unit
+                start, place, count = loc[mine] >> 16, loc[mine] >> 8 & 255, loc[mine] & 255
+                data = [own[a * unit : b * unit].tobytes() for a, b in zip(start, start + count - 1 + kind.length, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[mine]), pa.array(block[mine]), pa.array(first[mine]), pa.array(state[mine]), pa.array(place), pa.array(data, pa.binary())], PARTS)
 
     return run
 
@@ -149,92 +152,97 @@ def spans(flagged: np.ndarray) -> np.ndarray:
     return edge[0::2] * 256 + (edge[1::2] - edge[0::2])
 
 
-def _resolve(solve, words: bool, most: int):
-    """Rows sorted by anchor; solve(firsts, list of data) gives a boolean array of flagged windows for each block."""
+class Block(NamedTuple):
+    """Of blocks with one anchor each text once: the smallest doc that has it, where the anchor is, and its bytes."""
+
+    anchor: int
+    block: int
+    first: int
+    place: int
+    data: bytes
 
-    def run(batches):
-        held: list[tuple] = []
-        size = 0
 
-        def flush():
-            flags = solve([x[2] for x in held], [x[3] for x in held])
-            found = [(x[0], x[1], spans(f)) for x, f in zip(held, flags, strict=True) if f.any()]
-            a, b, s = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(s), pa.list_(pa.int64()))], ["anchor", "block", "spans"])
+def _resolve(solve, most: int):
+    """Rows sorted by anchor; solve(list of Blocks) gives a boolean array of flagged windows for each."""
 
+    def flush(held: list[Block]):
+        found = [(x.anchor, x.block, spans(f)) for x, f in zip(held, solve(held), strict=True) if f.any()]
+        a, b, s = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(s), pa.list_(pa.int64()))], ["anchor", "block", "spans"])
+
+    def run(batches):
+        held: list[Block] = []
+        size = 0
         for batch in batches:
-            anchor, block, first = (batch.column(i).to_pylist() for i in range(3))
-            for r in range(batch.num_rows):
-                if size >= most and anchor[r] != held[-1][0]:
-                    yield flush()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= most and row[0] != held[-1].anchor:
+                    yield flush(held)
                     held, size = [], 0
-                if held and (anchor[r], block[r]) == held[-1][:2]:
+                if held and row[:2] == held[-1][:2]:
                     continue  # the same block of a repeated row
-                data = batch.column(3)[r]
-                held.append((anchor[r], block[r], first[r], data.values.to_numpy() if words else np.frombuffer(data.as_buffer(), np.uint8)))
-                size += len(held[-1][3])
+                held.append(Block(*row))
+                size += len(held[-1].data)
         if held:
-            yield flush()
+            yield flush(held)
 
     return run
 
 
-def repeats(documents: DataFrame, kind: Kind, solve, *, words: bool, earlier: bool, most: int) -> DataFrame:
+def repeats(documents: DataFrame, kind: Kind, solve, *, earlier: bool, most: int) -> DataFrame:
     """(doc, version, spans): per document all windows that repeat, as runs start * 256 + number (at most 255 a run).
 
     earlier: a window counts only where a smaller doc has it too; else wherever it occurs twice.
-    words: solve gets hashes of windows; else the bytes of the blocks.
+    most: bytes of blocks that solve gets at once, but for the last anchor's.
     """
+    if kind.length - kind.k >= 255:
+        raise ValueError("a block has at most 255 windows: take longer grams")
     spark = documents.sparkSession
     own = identified(documents)
     every = materialise(own.mapInArrow(lean(_find(kind)), ROWS), "blocks")
     anchors = every.groupBy("anchor").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count("*").alias("n")).where("n > 1")
     state = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("n") <= kind.hot, 1).otherwise(2).cast("byte").alias("state")
-    shared = materialise(every.join(anchors.select("anchor", state), "anchor"), "shared")
+    anchors = materialise(anchors.select("anchor", "n", state), "anchors")
+    shared = materialise(hot_join(every, anchors, ["anchor"], "n").drop("n"), "shared")
     discard(every)
     r = F.xxhash64("doc", "version", "loc")
     distinct = shared.groupBy("anchor", "block").agg(F.max("state").alias("state"), F.count("*").alias("n"), F.min("doc").alias("first"), F.min_by("doc", r).alias("doc"), F.min_by("version", r).alias("version"), F.min_by("loc", r).alias("loc"))
     distinct = materialise(distinct, "distinct")
     contested = distinct.where("state > 0")
     lists = contested.groupBy("doc", "version").agg(F.collect_list(F.struct("loc", "anchor", "block", "first", "state")).alias("list"))
-    if lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # so few documents: the others' texts need not move
-        keys = lists.select("doc", "version").distinct()
-        texts = own.join(F.broadcast(keys), ["doc", "version"], "left_semi")
-    else:
-        texts = own
-    data = "array<bigint>" if words else "binary"
-    parts = texts.join(lists, ["doc", "version"]).select("text", "list").mapInArrow(lean(_extract(kind, words)), f"anchor long, block long, first long, state byte, data {data}")
+    # where these documents are few, the others' texts need not move
+    texts = own.join(small(contested.select("doc", "version").distinct()), ["doc", "version"], "left_semi")
+    parts = texts.join(lists, ["doc", "version"]).select("text", "list").mapInArrow(lean(_extract(kind)), "anchor long, block long, first long, state byte, place long, data binary")
     parts = materialise(parts, "contested")
-    cold = parts.where("state = 1").drop("state").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "block")
-    solved = cold.mapInArrow(lean(_resolve(solve, words, most)), "anchor long, block long, spans array<bigint>")
-    warm = parts.where("state = 2")
-    if not words:
-        warm = warm.mapInArrow(lean(_window_hashes(kind)), "anchor long, block long, first long, data array<bigint>")
-    else:
-        warm = warm.drop("state")
-    single = warm.select("anchor", "block", "first", F.posexplode("data").alias("i", "h"))
+    cold = parts.where("state = 1").select(*Block._fields).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "block")
+    solved = cold.mapInArrow(lean(_resolve(solve, most)), "anchor long, block long, spans array<bigint>")
+    warm = parts.where("state = 2").select("anchor", "block", "first", "data").mapInArrow(lean(_windows(kind)), "anchor long, block long, first long, hashes array<bigint>")
+    single = warm.select("anchor", "block", "first", F.posexplode("hashes").alias("i", "h"))
     seen = single.groupBy("anchor", "h").agg(F.min("first").alias("least"), F.min("block").alias("lo"), F.max("block").alias("hi"))
     met = single.join(seen, ["anchor", "h"]).where(F.col("least") < F.col("first") if earlier else F.col("lo") != F.col("hi"))
     warmed = met.groupBy("anchor", "block").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: i.cast("long") * 256 + 1).alias("spans"))
     part = solved.unionByName(warmed)
     found = distinct.join(part, ["anchor", "block"], "left").where("n > 1 or spans is not null").select("anchor", "block", "first", "n", "spans")
-    begin = F.expr("loc div 256")
-    some = F.transform(F.coalesce("spans", F.array().cast("array<bigint>")), lambda x: x + begin * 256)
+    found = materialise(found, "found")
+    begin = F.expr("(loc >> 16) * 256")
+    some = F.transform(F.coalesce("spans", F.array().cast("array<bigint>")), lambda x: x + begin)
     whole = F.col("doc") > F.col("first") if earlier else F.col("n") > 1
-    located = shared.select("doc", "version", "loc", "anchor", "block").join(found, ["anchor", "block"])
-    flat = located.select("doc", "version", F.explode(F.when(whole, F.array("loc")).otherwise(some)).alias("span"))
+    located = hot_join(shared.select("doc", "version", "loc", "anchor", "block"), found, ["anchor", "block"], "n")
+    flat = located.select("doc", "version", F.explode(F.when(whole, F.array(begin + F.col("loc").bitwiseAND(F.lit(255)))).otherwise(some)).alias("span"))
     return flat.groupBy("doc", "version").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
-def _window_hashes(kind: Kind):
+def _windows(kind: Kind):
+    """(anchor, block, first, data) to the hashes of the block's windows."""
+
     def run(batches):
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(batch.schema.get_field_index("data")))
+            raw, offsets = text_bytes(batch.column(3))
             lists = []
             for r in range(batch.num_rows):
-                values, _ = kind.tokens(raw[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))
-                lists.append(mix(Roller(values).fixed(kind.length)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in ("anchor", "block", "first")] + [pa.array(lists, pa.list_(pa.int64()))], ["anchor", "block", "first", "data"])
+                own = raw[offsets[r] : offsets[r + 1]]
+                start = np.arange(0, len(own) - kind.length * kind.unit + 1, kind.unit)
+                lists.append(slice_hashes(own, start, start + kind.length * kind.unit).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lists, pa.list_(pa.int64()))], ["anchor", "block", "first", "hashes"])
 
     return run
 

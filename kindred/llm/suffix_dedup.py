@@ -9,7 +9,8 @@ A transform is built for each bounded set of blocks (see blocks.py): those that
 are counted before, each is in a transform at most once.
 
 Cases: null text is empty; texts shorter than `length` lose nothing; overlaps and repeats within one document count;
-strings are judged on the input; repeated rows lose all that is long enough, both; more columns of documents are kept
+strings are judged on the input; repeated rows lose all that is long enough, both; rows without doc_id are documents like
+any other, told apart by a 64-bit hash of their texts; more columns of documents are kept
 (those named as the results are replaced).
 """
 
@@ -85,8 +86,9 @@ def unset_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
 
 
 def solver(length: int):
-    def solve(_, parts: list[np.ndarray]) -> list[np.ndarray]:
+    def solve(held: list[blocks.Block]) -> list[np.ndarray]:
         """Per block, which windows also are in another of the blocks."""
+        parts = [np.frombuffer(x.data, np.uint8) for x in held]
         n = len(parts)
         size = np.array([len(p) + 1 for p in parts])
         start = np.cumsum(size) - size
@@ -103,14 +105,14 @@ def solver(length: int):
     return solve
 
 
-def _bytes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE_VALUES[raw], offsets
+def _bytes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return BYTE_VALUES[raw], offsets, raw
 
 
 def repeats(documents: DataFrame, length: int = 200) -> DataFrame:
     """(doc, version, spans) of the windows of length bytes that occur more than once; see blocks.repeats."""
-    kind = blocks.Kind(_bytes, length, max(1, length // 4), SLICE_BYTES, HOT)
-    return blocks.repeats(documents, kind, solver(length), words=False, earlier=False, most=1 << 20)
+    kind = blocks.Kind(_bytes, length, max(1, length // 4), SLICE_BYTES, HOT, 1)
+    return blocks.repeats(documents, kind, solver(length), earlier=False, most=1 << 20)
 
 
 def dedup(documents: DataFrame, length: int = 200) -> DataFrame:
@@ -118,7 +120,7 @@ def dedup(documents: DataFrame, length: int = 200) -> DataFrame:
     found = repeats(documents, length)
     kept = documents.drop("n_bytes", "n_removed", "n_spans", "kept")
     names = kept.columns
-    keyed = kept.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "_version": F.hash("text")})
+    keyed = kept.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "_version": F.xxhash64("text")})
     joined = keyed.join(found.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), "spans"), ["_doc", "_version"], "left")
     fields = [StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
 
