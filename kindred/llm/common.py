@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only in local mode, where it is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^,]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kindred-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -66,8 +70,10 @@ def settle(spark: SparkSession) -> SparkSession:
     root, given = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in given.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, given)))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for key, unset, value in (("maxRecordsPerBatch", ("10000",), "2000"), ("maxBytesPerBatch", ("-1", str(1 << 31), str((1 << 31) - 1), str(256 << 20), "256MB", "256m"), str(16 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, unset[0]) in unset:  # a user's own choice stays
+            spark.conf.set(key, value)
     return spark
 
 
@@ -86,6 +92,37 @@ def lean(run):
     return task
 
 
+#: Rows of at most so many keys are broadcast; beyond it the join is by shuffle.
+BROADCAST_ROWS = 200_000
+#: Keys that hold more than one row in so many, and more than HOT_ROWS rows, are joined by broadcast: there are at most so many.
+HOT_KEYS, HOT_ROWS = 2_000, 10_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, with few columns of fixed width, to be broadcast if it is known to have few rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def hot_join(big: DataFrame, keys: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """big joined with keys, whose keys are distinct; the column `weight` of keys has the number of rows in big.
+
+    Keys of a large part of big would each land in one task: these few are broadcast, and big's rows stay where they are.
+    """
+    limit = max(big.count() // HOT_KEYS, HOT_ROWS)
+    hot = F.broadcast(keys.where(F.col(weight) > limit))
+    rest = big.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(weight) <= limit), on, how)
+    return big.join(hot, on).unionByName(rest)
+
+
+def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows of df: those with the smallest hash of a column, of equal ones the smallest.  A bound on the hash,
+    from a count, keeps what is sorted close to that number, however many partitions there are."""
+    share = min(1.0, (rows + 8 * rows**0.5 + 8) / max(df.count(), 1))
+    h = F.xxhash64(key)
+    near = df.where(F.shiftrightunsigned(h, 32) <= int(share * (1 << 32)))
+    return near.orderBy(h, key).limit(rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -94,6 +131,8 @@ def partitions(spark: SparkSession) -> int:
 
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd and 5 modulo 8
 _U = np.uint64
+_MASK = (1 << 64) - 1
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,7 +148,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Roller:
     """Hashes of all slices of one sequence from running sums: hash(i, j) is that of values[i:j], in any place.
 
-    64-bit arithmetic modulo 2**64 with an odd base; values should be well spread (see BYTE_VALUES, mix).
+    64-bit arithmetic modulo 2**64 with an odd base.  Different slices may have equal hashes by construction (long ones made
+    of two values in a Thue-Morse order), so these hashes only choose anchors; what is taken for equal is compared by
+    slice_hashes or chained.
     """
 
     _pow: np.ndarray = np.ones(1, _U)
@@ -140,10 +181,9 @@ class Roller:
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
 
-_lower = np.arange(256)
-_lower[65:91] += 32
-#: As BYTE_VALUES, but A-Z count as a-z.
-LOWER_VALUES = BYTE_VALUES[_lower]
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 #: Bytes of UTF-8 text that part words: space and tab to carriage return.
 SPACES = np.zeros(256, bool)
@@ -166,15 +206,50 @@ def word_bounds(raw: np.ndarray, ends: np.ndarray, apart: np.ndarray = SPACES) -
     return at[0::2], at[1::2]
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    out = np.empty(len(start), _U)
-    i = 0
-    while i < len(start):  # long texts by parts: the running sums take eight times their bytes
-        j = max(int(np.searchsorted(stop, start[i] + 2 * SLICE_BYTES, "right")), i + 1)
-        low = start[i]
-        out[i:j] = Roller(values[raw[low : stop[j - 1]]])(start[i:j] - low, stop[i:j] - low)
-        i = j
-    return mix(out + (stop - start).astype(_U) * _U(0xA24BAED4963EE407))
+#: Longer slices are hashed one by one.
+_LONG = 4096
+
+
+def slice_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of raw[start:stop] for many slices: eight bytes a step, each mixed into the state before the next."""
+    size = stop - start
+    h = mix(size.astype(_U) * _U(0xA24BAED4963EE407) + _U(seed * 0x9FB21C651E98DF25 & _MASK))
+    buf = np.zeros(len(raw) + 8, np.uint8)
+    buf[: len(raw)] = raw
+    at_byte = np.ndarray(len(raw) + 1, "<u8", buf, strides=(1,))
+    steps = np.where(size > _LONG, 0, (size + 7) >> 3)
+    order = np.argsort(steps, kind="stable")
+    first = np.searchsorted(steps[order], np.arange(1, int(steps.max(initial=0)) + 2))
+    state, begin, left = h[order], start[order], size[order]
+    for k in range(len(first) - 1):
+        f = first[k]
+        v = at_byte[begin[f:] + 8 * k]
+        rest = left[f:] - 8 * k
+        v &= _TAILS[np.minimum(rest, 8)]
+        state[f:] = mix(state[f:] * _U(0x9E3779B97F4A7C15) + v)
+    h[order] = state
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : stop[i]].tobytes(), seed)
+    return h
+
+
+def chain(parts: list[np.ndarray], seed: int) -> np.ndarray:
+    """64-bit hashes of the values at equal places of the parts, each mixed into the state before the next."""
+    h = np.full(len(parts[0]), seed, _U)
+    for x in parts:
+        h = mix(h * _U(0x9E3779B97F4A7C15) + x)
+    return h
+
+
+def chained(values: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of every k consecutive values."""
+    n = max(len(values) - k + 1, 0)
+    return chain([values[i : n + i] for i in range(k)], k)
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, *, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """Of the words raw[start:stop]; lower: A-Z count as a-z."""
+    return slice_hashes(LOWER[raw] if lower else raw, start, stop, seed)
 
 
 # --- Arrow -------------------------------------------------------------------------------------------------------

@@ -19,6 +19,11 @@ def remainder(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def held_out(n: int, which: int) -> F.Column:
+    """Rows without doc_id are never learnt from."""
+    return F.coalesce(remainder(n) == which, F.lit(True)).alias("held_out")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -28,12 +33,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(5) != 0)
     scored = toxicity.score(documents, toxicity.fit(documents, labels))
-    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.read(tokens.write(documents, tokenizer_path("byte_bpe_50k.json"), end=0, spaced=True, vocabulary=50_257))
+    return tokens.read(tokens.write(documents, tokenizer_path("byte_bpe_50k.json"), end=0, spaced=True))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(documents.where(remainder(3) != 1))
     found = langid.predict(documents.select("doc_id", "text"), model)
-    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", held_out(3, 1), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

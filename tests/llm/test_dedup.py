@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kindred.llm import ngram_join, substring_dedup, suffix_dedup
+from kindred.llm import blocks, ngram_join, substring_dedup, suffix_dedup
 from kindred.llm.common import components
 
 SCHEMA = "doc_id long, text string, n_words int, kept string"
@@ -144,7 +144,7 @@ def test_components(spark):
 def test_suffix_order_and_prefixes():
     dice = np.random.default_rng(1)
     parts = [dice.integers(97, 99, size=n).astype(np.uint8) for n in (30, 25, 40, 3)]
-    flags = suffix_dedup.solver(6)(None, parts)
+    flags = suffix_dedup.solver(6)([blocks.Block(1, k, 0, 0, p.tobytes()) for k, p in enumerate(parts)])
     count = Counter(p[k : k + 6].tobytes() for p in parts for k in range(len(p) - 5))
     for p, f in zip(parts, flags):
         assert f.tolist() == [count[p[k : k + 6].tobytes()] > 1 for k in range(len(p) - 5)]

@@ -46,9 +46,9 @@ def test_token_files(spark, monkeypatch):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         wanted.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    out = tokens.read(tokens.write(docs(spark, texts).repartition(3), path, end=0, spaced=True, vocabulary=50257))
+    out = tokens.read(tokens.write(docs(spark, texts).repartition(3), path, end=0, spaced=True))
     assert sorted(map(tuple, out.collect())) == wanted
-    assert tokens.read(tokens.write(docs(spark, []), path, end=0, spaced=True, vocabulary=50257)).count() == 0
+    assert tokens.read(tokens.write(docs(spark, []), path, end=0, spaced=True)).count() == 0
 
 
 def test_pack_documents(spark, monkeypatch):
