@@ -22,12 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similar shingle sets the one with the smallest doc_id stays."""
+    """Of each group of documents linked by similar shingle sets the one with the smallest doc_id stays; texts that share a
+    doc_id, or have none, are documents of their own here."""
     settle(spark)
-    found = ngram_join.join(docs).where("component_id <=> doc_id").select(*docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows of one doc_id are one document
-        found = found.dropDuplicates(["doc_id"])
-    return found
+    return ngram_join.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
