@@ -13,7 +13,7 @@ from kindred.functions import columns as C
 from kindred.operators import attribution as A
 from kindred.operators import matching as M
 from kindred.operators import scoring as S
-from kindred.sources import archive, dex, parsers
+from kindred.sources import archive, dex, manifests, parsers
 from kindred.storage import materialise
 
 
@@ -61,7 +61,7 @@ def profile(spark: SparkSession, path: str, config: Config = Config()) -> Profil
     images = image.select("path", C.module(F.col("path")).alias("module"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "i.*")
     xml = contents.where(F.col("path").endswith("/manifest/AndroidManifest.xml")).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("module"), "content")
     manifest = xml.select("module", F.explode(C.manifest_markers(C.printable_tokens(F.col("content")))).alias("value"))
-    details = xml.select("module", parsers.manifest_details_udf(F.decode("content", "UTF-8")).alias("d")).select("module", "d.*")
+    details = xml.withColumn("rows", manifests.elements_udf("content")).select("module", manifests.details(F.col("rows"), F.col("content")).alias("d")).select("module", "d.*")
     listed = parsers.dependency_coordinates(contents.where(F.col("path").endswith("dependencies.pb"))).select("dependency")
     dependencies = materialise(listed.unionByName(A.implicit_dependencies(methods, config.third_party_prefixes)).distinct(), "dependencies")
     methods = ordered(A.classify_methods(methods, dependencies), "identifier", "dex_path", "position")

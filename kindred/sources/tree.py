@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred import config
 from kindred.functions import columns as C
-from kindred.sources import parsers
+from kindred.sources import manifests, parsers
 
 # --- fixed values ---
 RESOURCE_FOLDERS = ("anim", "animator", "color", "drawable", "font", "interpolator", "layout", "menu", "mipmap", "navigation", "raw", "transition", "values", "xml")
@@ -68,4 +68,4 @@ def owners(files: DataFrame, variant: str, *, source_roots: list[str], generated
 def manifest_entries(files: DataFrame, owned: DataFrame) -> DataFrame:
     """(value, origin, source_path) of every element of owned manifests but the outer two; broken files give none."""
     mine = owned.where("category = 'manifest'").select("source_path", "origin").distinct()
-    return files.withColumnRenamed("path", "source_path").join(mine, "source_path").select(F.explode(parsers.owned_manifest_udf("content")).alias("value"), "origin", "source_path")
+    return files.withColumnRenamed("path", "source_path").join(mine, "source_path").select(F.explode(manifests.owned_values(manifests.elements_udf("content"))).alias("value"), "origin", "source_path")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kindred import config
 from kindred.functions import columns as C
-from kindred.sources import parsers
+from kindred.sources import manifests, parsers
 
 
 def one(spark, expr, **values):
@@ -87,11 +87,16 @@ def test_method_ladder(spark):
     assert [(r.x.origin, r.x.confidence) for r in got] == [("TOOL_GENERATED", None), ("HEURISTIC_OWNED", 0.75), ("PUBLIC_DEPENDENCY", None), ("PUBLIC_DEPENDENCY", None), ("HEURISTIC_OWNED", 0.45), ("TOOL_GENERATED", None)]
 
 
-def test_qualifiers():
-    q = parsers.resource_qualifier
-    assert q(["(default)"]) == "" and q(['locale: "sr-Latn"']) == "b+sr+Latn" and q(['locale: "zh-CN"']) == "zh-rCN"
-    assert q(["ui_mode_night: UI_MODE_NIGHT_NIGHT", "sdk_version: 33"]) == "night-v33" and q(["density: 65534"]) == "anydpi-v21"
-    assert q(["smallest_screen_width_dp: 600", 'locale: "de"']) == "de-sw600dp-v13" and q(["mystery: 1"]) is None and q(["density: 7"]) is None
+@pytest.mark.parametrize(
+    ("lines", "wanted"),
+    [
+        (["(default)"], ""), (['locale: "sr-Latn"'], "b+sr+Latn"), (['locale: "zh-CN"'], "zh-rCN"), (['locale: "de"'], "de"), (["density: 65534"], "anydpi-v21"), (["density: 240"], "hdpi-v4"),
+        (["ui_mode_night: UI_MODE_NIGHT_NIGHT", "sdk_version: 33"], "night-v33"), (["smallest_screen_width_dp: 600", 'locale: "de"'], "de-sw600dp-v13"), (["orientation:  ORIENTATION_LAND"], "land"),
+        (["mystery: 1"], None), (["density: 7"], None), (["(default)", "sdk_version: 3"], None), (["sdk_version: x"], None), (["layout_direction: LAYOUT_DIRECTION_RTL", "sdk_version: 8"], "ldrtl-v17"),
+    ],
+)
+def test_qualifiers(spark, lines, wanted):
+    assert one(spark, parsers.resource_qualifier(F.array(*map(F.lit, lines)))) == wanted
 
 
 def test_resource_dump(spark):
@@ -128,13 +133,50 @@ MANIFEST = """<manifest xmlns:android="http://schemas.android.com/apk/res/androi
 <action android:name="com.app.GO"/></intent-filter></activity><provider android:name="Data"/></application></manifest>"""
 
 
-def test_manifest():
-    d = parsers.manifest_details(MANIFEST)
-    assert d["package"] == "com.app" and [c["name"] for c in d["components"]] == ["com.app.Main", "com.app.Data"]
-    assert d["actions"] == ["com.app.GO"] and d["permissions"] == ["com.app.P"]
-    assert "activity:exported=true" in d["features"] and "action:name=com.app.GO" in d["features"] and not any(".Main" in f for f in d["features"])
-    assert parsers.manifest_features("<a b") == [] and parsers.manifest_features("<abc><x") == ["<abc><x"]
-    assert parsers.owned_manifest_values(MANIFEST) == ["permission:name=com.app.P", "activity:name=.Main|exported=True", "intent-filter", "action:name=com.app.GO", "provider:name=Data"]
+def message(*fields):
+    """A protocol buffer of (field, bytes) or (field, number)."""
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    return b"".join(varint(f << 3 | (0 if isinstance(v, int) else 2)) + (varint(v) if isinstance(v, int) else varint(len(v)) + v) for f, v in fields)
+
+
+def binary_manifest(element):
+    """The binary form of an ElementTree element."""
+    def name(x):
+        space, _, short = x.rpartition("}")
+        return space.lstrip("{").encode(), short.encode()
+
+    attrs = [(4, message(*[(n, v) for n, v in zip((1, 2, 3), (*name(k), v.encode())) if v], (4, message((1, 7))), (5, 16842755))) for k, v in element.attrib.items()]
+    children = [(5, message((2, b"\n  ")))] + [(5, binary_manifest(c)) for c in element]
+    return message((1, message((1, message((1, b"android"))), (3, name(element.tag)[1]), *attrs, *children)), (3, message((1, 300))))
+
+
+def manifest_of(spark, content):
+    df = spark.createDataFrame([(content,)], "c binary").withColumn("r", manifests.elements_udf("c"))
+    return df.select(manifests.details(F.col("r"), F.col("c")).alias("d"), manifests.owned_values(F.col("r")).alias("o")).first()
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_manifest(spark, binary):
+    from xml.etree import ElementTree
+
+    content = binary_manifest(ElementTree.fromstring(MANIFEST)) if binary else MANIFEST.encode()
+    d, owned = manifest_of(spark, content)
+    assert d.package == "com.app" and [tuple(c) for c in d.components] == [("activity", "com.app.Main"), ("provider", "com.app.Data")]
+    assert d.actions == ["com.app.GO"] and d.permissions == ["com.app.P"]
+    assert d.features == ["action:attr:name", "action:name=com.app.GO", "activity:attr:exported", "activity:attr:name", "activity:exported=true", "count:action:1", "count:activity:1", "count:application:1", "count:intent-filter:1", "count:manifest:1", "count:permission:1", "count:provider:1", "manifest:attr:package", "permission:attr:name", "provider:attr:name", "tag:action", "tag:activity", "tag:application", "tag:intent-filter", "tag:manifest", "tag:permission", "tag:provider"]
+    assert owned == ["permission:name=com.app.P", "activity:name=.Main|exported=True", "intent-filter", "action:name=com.app.GO", "provider:name=Data"]
+
+
+def test_manifests_that_cannot_be_read(spark):
+    d, owned = manifest_of(spark, b"<abc><x")
+    assert d.features == ["<abc><x"] and d.package is None and d.components == d.actions == [] and owned is None
+    assert manifest_of(spark, b"").d.features == [] and manifests.elements(None) is None and manifests.elements(message((2, b"text"))) is None
+    deep = b""
+    for _ in range(3000):
+        deep = message((1, message((3, b"a"), *[(5, deep)] * bool(deep))))
+    assert len(manifests.elements(deep)) == 3000
 
 
 def test_merger():
