@@ -6,8 +6,8 @@ sorted keys - a rule to every range that its interval meets - and each range is
 when the sweep reaches it and popped once the key leaves its interval, so the stack holds the active rules, nested inside
 one another.  Those whose path starts the page's path fit; the longest wins.
 
-Range bounds come from a bounded sample of keys (those with the smallest hash).  A hot host is cut across ranges, since
-path and page_id follow the host in the sort key.  Rules are never broadcast.
+Range bounds come from a bounded sample of keys (those with the smallest hash); every range is one task.  A hot host is cut
+across ranges, since path, page_id and a hash of the url follow the host in the sort key.  Rules are never broadcast.
 
 Cases: a null url, or one without `://`, has an empty host and path and fits no rule; rules that are equal count once, of
 those with equal host and path `block` wins; of rules of equal length the longer host wins; a rule with a null or empty
@@ -16,13 +16,13 @@ host is ignored; repeated pages are judged each; empty tables are fine; more col
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import lean, partitions
+from kindred.llm.common import lean, partitions, sampled
 
 SAMPLE = 4000
 
@@ -49,32 +49,32 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", defau
     """pages (url and page_id) with host, path, rule and verdict; rules: host, path, verdict."""
     n = partitions(pages.sparkSession)
     base = pages.drop("host", "path", "rule", "verdict")
+    number = F.coalesce(F.col(page_id).cast("string"), F.lit(""))
     found = host_and_path(base).withColumn("_key", turned(F.col("host")))
-    sort = ["_key", "path", page_id]
-    sample = found.select(F.concat_ws("\0", "_key", "path", F.col(page_id).cast("string")).alias("k"), F.xxhash64(page_id).alias("h")).orderBy("h", "k").limit(SAMPLE)
-    keys = sorted(r.k.encode() for r in sample.collect())  # at most SAMPLE keys
-    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+    # what a page is sorted by; a host and its subdomains lie between its key and that with its last character raised
+    sort = F.concat("_key", F.lit("\0"), "path", F.lit("\0"), number, F.lit("\0"), F.hex(F.xxhash64("url")))
+    sample = sampled(found.select(sort.alias("k"), F.struct(page_id, "url").alias("i")), "i", SAMPLE).select("k")
+    keys = sorted(r.k for r in sample.collect())  # at most SAMPLE keys
+    bounds = np.array(sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else [], object)
 
     @F.pandas_udf("int")
-    def place(key, path, number):
-        return key.str.cat(path, "\0").str.cat(number, "\0").map(lambda x: bisect.bisect_right(bounds, x.encode()))
+    def place(key):
+        return pd.Series(np.searchsorted(bounds, key.to_numpy(object), "right").astype(np.int32))
 
     @F.pandas_udf("array<int>")
     def places(low):
-        def span(x):
-            b = x.encode()
-            return list(range(bisect.bisect_right(bounds, b), bisect.bisect_left(bounds, b[:-1] + bytes([b[-1] + 1])) + 1))
-
-        return low.map(span)
+        first = np.searchsorted(bounds, low.to_numpy(object), "right")
+        last = np.searchsorted(bounds, np.array([x[:-1] + chr(ord(x[-1]) + 1) for x in low], object), "left")
+        return pd.Series([list(range(a, b + 1)) for a, b in zip(first, last, strict=True)])
 
     own = rules.where("host is not null and host <> '' and path is not null").select(_lower(F.col("host")).alias("host"), "path", "verdict")
     own = own.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("_key", turned(F.col("host")))
     own = own.withColumn("_part", F.explode(places("_key")))
     rule = F.struct("host", "path", "verdict")
     page = F.struct(*[F.col(f"`{c}`") for c in found.columns if c != "_key"])
-    left = found.select(place("_key", "path", F.coalesce(F.col(page_id).cast("string"), F.lit(""))).alias("_part"), "_key", F.lit(1).alias("_kind"), F.col("path").alias("_path"), F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("_id"), page.alias("page"), F.lit(None).cast(own.select(rule.alias("r")).schema["r"].dataType).alias("rule"))
+    left = found.select(place(sort).alias("_part"), "_key", F.lit(1).alias("_kind"), F.col("path").alias("_path"), number.alias("_id"), page.alias("page"), F.lit(None).cast(own.select(rule.alias("r")).schema["r"].dataType).alias("rule"))
     right = own.select("_part", "_key", F.lit(0).alias("_kind"), F.col("path").alias("_path"), F.lit("").alias("_id"), F.lit(None).cast(left.schema["page"].dataType).alias("page"), rule.alias("rule"))
-    both = left.unionByName(right).repartition(n, "_part").sortWithinPartitions("_part", "_key", "_kind", "_path", "_id")
+    both = left.unionByName(right).repartitionById(n, "_part").sortWithinPartitions("_part", "_key", "_kind", "_path", "_id")
     names = [c for c in found.columns if c != "_key"]
     page_type = left.schema["page"].dataType
 
