@@ -34,6 +34,8 @@ from kindred.llm.common import lean, materialise, partitions
 from kindred.llm.tokens import KEEP, encoded
 
 GROUP = 4000
+#: An island's row counts as so many when it is written.
+ROWS_OF_GROUP = 32_000
 ISLANDS = 2
 EPOCHS = 2
 
@@ -148,12 +150,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         for epoch in range(EPOCHS):
             state = state.repartition(max(1, min(groups * ISLANDS, partitions(spark))), "grp", "island").mapInArrow(lean(_island(capacity, epoch)), island)
             if epoch + 1 < EPOCHS:  # the elite goes to the next island of the ring
-                state = materialise(state, "islands")
+                state = materialise(state, "islands", groups * ISLANDS * ROWS_OF_GROUP)
                 sent = state.select("grp", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("packings").alias("arrived"))
                 state = state.join(sent, ["grp", "island"]).select("grp", "island", "keys", "lengths", F.concat("packings", "arrived").alias("packings"))
         solved = state.mapInArrow(lean(_flatten(capacity)), "grp long, island int, bins int, fit double, keys array<bigint>, lengths array<int>, place array<int>, stays array<boolean>")
         best = solved.groupBy("grp").agg(F.min_by(F.struct("keys", "lengths", "place", "stays"), F.struct("bins", F.negative("fit"), "island")).alias("x"))
-        flat = materialise(best.select(F.explode(F.arrays_zip("x.keys", "x.lengths", "x.place", "x.stays")).alias("p"), "grp").select(F.col("p.keys").alias("key"), F.col("p.lengths").alias("length"), F.col("p.place").alias("place"), F.col("p.stays").alias("stays"), "grp"), "packed")
+        flat = materialise(best.select(F.explode(F.arrays_zip("x.keys", "x.lengths", "x.place", "x.stays")).alias("p"), "grp").select(F.col("p.keys").alias("key"), F.col("p.lengths").alias("length"), F.col("p.place").alias("place"), F.col("p.stays").alias("stays"), "grp"), "packed", count)
         full = F.lit(True) if last else F.col("stays")
         left = 0 if last else flat.where(~full).count()
         stay = flat.where(full)
@@ -208,7 +210,7 @@ def cut(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, capacit
 
 def pack_documents(documents: DataFrame, tokenizer: str, *, end: int, spaced: bool, capacity: int = 4096, keep: int = KEEP, forget: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    pieces = materialise(cut(documents, tokenizer, end=end, spaced=spaced, capacity=capacity, keep=keep, forget=forget), "pieces")
-    keyed = materialise(pieces.withColumn("key", F.monotonically_increasing_id()), "keyed")  # written once, so that keys stay
+    pieces = cut(documents, tokenizer, end=end, spaced=spaced, capacity=capacity, keep=keep, forget=forget)
+    keyed = materialise(pieces.withColumn("key", F.monotonically_increasing_id()), "pieces")  # written once, so that keys stay
     placed = pack(keyed, capacity)
     return keyed.join(placed, "key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
