@@ -19,11 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialise
+from kindred.llm.common import materialise, small
 
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of at most this many distinct terms or documents are broadcast; beyond it the join is by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def words(text: str) -> F.Column:
@@ -33,11 +31,6 @@ def words(text: str) -> F.Column:
     return F.array_remove(F.split(low, APART), "")  # far cheaper than extracting each match
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if it is known to be small; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _document(documents: DataFrame) -> list:
     """A null doc_id is taken as 0: whether rows of equal text are told apart does not change what is found in them."""
     known = F.coalesce("doc_id", F.lit(0).cast(documents.schema["doc_id"].dataType))
@@ -65,7 +58,7 @@ def matches(documents: DataFrame, items: DataFrame, *, length: int = 10, slop: i
     count = index.groupBy("term").agg(F.count("*").alias("n"))
     parts = distinct.select("wid", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     ranked = parts.join(count, "term", "left").groupBy("wid", "size").agg(F.sort_array(F.collect_list(F.struct("n", "term", "offset"))).alias("order"))
-    ranked = materialise(ranked.where(~F.exists("order", lambda x: x.n.isNull())), "ranked")
+    ranked = materialise(ranked.where(~F.exists("order", lambda x: x.n.isNull())), "ranked", found.count())
     rarest = ranked.select("wid", "size", F.col("order")[0].term.alias("term"), F.col("order")[0].offset.alias("offset"))
     start = (F.col("pos") - F.col("offset")).alias("start")
     candidates = index.join(small(rarest), "term").select("doc", "version", start, "wid", "size").where("start >= 0")
