@@ -201,12 +201,14 @@ def repeats(documents: DataFrame, kind: Kind, solve, *, earlier: bool, most: int
     every = materialise(own.mapInArrow(lean(_find(kind)), ROWS), "blocks")
     anchors = every.groupBy("anchor").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count("*").alias("n")).where("n > 1")
     state = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("n") <= kind.hot, 1).otherwise(2).cast("byte").alias("state")
-    anchors = materialise(anchors.select("anchor", "n", state), "anchors")
-    shared = materialise(hot_join(every, anchors, ["anchor"], "n").drop("n"), "shared")
+    rows = every.count()
+    anchors = materialise(anchors.select("anchor", "n", state), "anchors", rows // 2)
+    shared = materialise(hot_join(every, anchors, ["anchor"], "n").drop("n"), "shared", rows)
     discard(every)
+    discard(anchors)
     r = F.xxhash64("doc", "version", "loc")
     distinct = shared.groupBy("anchor", "block").agg(F.max("state").alias("state"), F.count("*").alias("n"), F.min("doc").alias("first"), F.min_by("doc", r).alias("doc"), F.min_by("version", r).alias("version"), F.min_by("loc", r).alias("loc"))
-    distinct = materialise(distinct, "distinct")
+    distinct = materialise(distinct, "distinct", shared.count())
     contested = distinct.where("state > 0")
     lists = contested.groupBy("doc", "version").agg(F.collect_list(F.struct("loc", "anchor", "block", "first", "state")).alias("list"))
     # where these documents are few, the others' texts need not move
@@ -222,7 +224,9 @@ def repeats(documents: DataFrame, kind: Kind, solve, *, earlier: bool, most: int
     warmed = met.groupBy("anchor", "block").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: i.cast("long") * 256 + 1).alias("spans"))
     part = solved.unionByName(warmed)
     found = distinct.join(part, ["anchor", "block"], "left").where("n > 1 or spans is not null").select("anchor", "block", "first", "n", "spans")
-    found = materialise(found, "found")
+    found = materialise(found, "found", distinct.count())
+    discard(parts)
+    discard(distinct)
     begin = F.expr("(loc >> 16) * 256")
     some = F.transform(F.coalesce("spans", F.array().cast("array<bigint>")), lambda x: x + begin)
     whole = F.col("doc") > F.col("first") if earlier else F.col("n") > 1

@@ -45,10 +45,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/kindred/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it: lineage is cut, lost executors cost nothing."""
+#: Tables whose number of rows is known are written to a file for so many: small ones need not be as many files as a
+#: shuffle has partitions.
+FILE_ROWS = 250_000
+
+
+def materialise(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it: lineage is cut, lost executors cost nothing.
+
+    rows: a bound on the number of rows, where one is known.
+    """
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kindred_path = path
     return out
@@ -70,9 +78,10 @@ def settle(spark: SparkSession) -> SparkSession:
     root, given = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in given.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, given)))
-    for key, unset, value in (("maxRecordsPerBatch", ("10000",), "2000"), ("maxBytesPerBatch", ("-1", str(1 << 31), str((1 << 31) - 1), str(256 << 20), "256MB", "256m"), str(16 << 20))):
+    given = spark.conf.getAll
+    for key, value in (("maxRecordsPerBatch", "2000"), ("maxBytesPerBatch", str(16 << 20))):
         key = f"spark.sql.execution.arrow.{key}"
-        if spark.conf.get(key, unset[0]) in unset:  # a user's own choice stays
+        if key not in given:  # a user's own choice stays
             spark.conf.set(key, value)
     return spark
 
@@ -338,7 +347,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         far = now.join(low.withColumnRenamed("src", "dst"), "dst", "left").select("src", F.coalesce("low", "dst").alias("dst")).distinct()
         near = far.join(far.groupBy("src").agg(F.min("dst").alias("low")), "src")
         near = near.select(F.explode(F.when(F.col("dst") == F.col("low"), F.array(F.col("src"))).otherwise(F.array("src", "dst"))).alias("src"), F.col("low").alias("dst"))
-        new = materialise(near.distinct(), "links")
+        new = materialise(near.distinct(), "links", 2 * state[0])
         discard(now)
         now = new
     raise RuntimeError("components did not converge")

@@ -287,7 +287,8 @@ def similar(documents: DataFrame, *, width: int = 5, percent: int = 75) -> tuple
     own = documents.select(*identity(), "text")
     signed = materialise(own.mapInArrow(lean(_sign(width)), "doc long, version long, m long, one long, two long"), "signed")
     classes = signed.where("m > 0").groupBy("one", "two", "m").agg(F.min("doc").alias("low"), F.count("*").alias("n"))
-    same = hot_join(signed, materialise(classes.where("n > 1"), "classes"), ["one", "two", "m"], "n").select(F.col("doc").alias("a"), F.col("low").alias("b")).where("a <> b")
+    classes = materialise(classes.where("n > 1"), "classes", signed.count() // 2)
+    same = hot_join(signed, classes, ["one", "two", "m"], "n").select(F.col("doc").alias("a"), F.col("low").alias("b")).where("a <> b")
     total = signed.agg(F.sum("m")).first()[0] or 0
     bits = min(max(8, (total // FRAGMENT_TOKENS).bit_length()), 31)
     n = partitions(spark)
@@ -342,16 +343,18 @@ def join(documents: DataFrame, *, width: int = 5, percent: int = 75) -> DataFram
     keyed = kept.withColumns({"_doc": doc, "_version": version})
     sizes = sizes.groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.max("m").alias("n_shingles"))
     out = keyed.join(sizes, ["_doc", "_version"]).join(found.select(F.col("node").alias("_doc"), F.col("component").alias("component_id")), "_doc", "left")
-    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select(*kept.columns, "n_shingles", "component_id")
+    known = F.when(F.col("component_id") == -(1 << 63), None).otherwise(F.coalesce("component_id", "doc_id"))  # null: of a row without doc_id
+    return out.withColumn("component_id", known).select(*kept.columns, "n_shingles", "component_id")
 
 
 def one_of_each(documents: DataFrame, *, width: int = 5, percent: int = 75) -> DataFrame:
     """Of each group of linked texts the row with the smallest doc_id (null first, then by a hash of the text); rows without
     words all stay.  Texts of one doc_id, or without one, are told apart here, so no text goes that is like no other."""
     doc, version = identity()
-    ids = materialise(documents.groupBy("doc_id", version).agg(F.count("*").alias("copies")), "ids")
+    rows = documents.count()
+    ids = materialise(documents.groupBy("doc_id", version).agg(F.count("*").alias("copies")), "ids", rows)
     several = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_several"))
-    several = small(materialise(several, "several"))
+    several = small(materialise(several, "several", rows))
     for seed in range(64):  # a node of its own for each text of such a doc_id; only by chance is one taken already
         own = F.when(F.col("_several"), F.xxhash64("doc_id", "version", F.lit(seed))).otherwise(F.col("doc_id"))
         given = lambda df, own=own: df.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("node", own)
@@ -364,7 +367,7 @@ def one_of_each(documents: DataFrame, *, width: int = 5, percent: int = 75) -> D
     row = F.struct("doc_id", "version", "copies")
     stay = every.where("m > 0").groupBy("component").agg(F.min(row).alias("x")).select("x.doc_id", "x.version", (F.col("x.copies") > 1).alias("many"))
     stay = stay.unionByName(every.where("m = 0").select("doc_id", "version", F.lit(False).alias("many")))
-    stay = materialise(stay.select(doc.alias("_doc"), F.col("version").alias("_version"), "many"), "stay")
+    stay = materialise(stay.select(doc.alias("_doc"), F.col("version").alias("_version"), "many"), "stay", rows)
     keyed = documents.withColumns({"_doc": doc, "_version": version})
     key = ["_doc", "_version"]
     once = keyed.join(stay.where("not many"), key, "left_semi")
