@@ -39,23 +39,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def method_similarity(left: str, right: str) -> Column:
-    """0.45 opcode shingles + 0.25 block families + 0.20 pairs of API calls + 0.10 constants, of two struct columns."""
-    of = lambda side, name: F.col(f"{side}.{name}")
-    opcode = jaccard(shingles(of(left, "opcode_tokens")), shingles(of(right, "opcode_tokens")))
-    blocks = jaccard(F.array_distinct(of(left, "block_signature")), F.array_distinct(of(right, "block_signature")))
-    apis = jaccard(shingles(of(left, "api_calls"), 2), shingles(of(right, "api_calls"), 2))
-    constants = jaccard(F.array_distinct(of(left, "constants")), F.array_distinct(of(right, "constants")))
-    return opcode * 0.45 + blocks * 0.25 + apis * 0.20 + constants * 0.10
-
-
 def method_sets() -> Column:
     """The four sets that method_similarity compares, made once a row instead of once a pair."""
-    return F.struct(shingles(F.col("opcode_tokens")).alias("o"), F.array_distinct("block_signature").alias("b"), shingles(F.col("api_calls"), 2).alias("a"), F.array_distinct("constants").alias("c"))
+    hashed = lambda x: F.transform(x, lambda v: F.xxhash64(v))  # noqa: E731  (compared sooner than strings)
+    parts = {"o": shingles(F.col("opcode_tokens")), "b": F.array_distinct("block_signature"), "a": shingles(F.col("api_calls"), 2), "c": F.array_distinct("constants")}
+    return F.struct(*[hashed(x).alias(n) for n, x in parts.items()])
 
 
 def set_similarity(left: str, right: str) -> Column:
-    """method_similarity of two method_sets."""
+    """0.45 opcode shingles + 0.25 block families + 0.20 pairs of API calls + 0.10 constants, of two method_sets."""
     part = {n: jaccard(F.col(f"{left}.{n}"), F.col(f"{right}.{n}")) for n in "obac"}
     return part["o"] * 0.45 + part["b"] * 0.25 + part["a"] * 0.20 + part["c"] * 0.10
 
@@ -210,3 +202,11 @@ def score_text(score: Column) -> Column:
 def escape(text: Column) -> Column:
     """For a cell of a Markdown table."""
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def snippet(text: Column, word: Column, before: int = 12, after: int = 40) -> Column:
+    """struct<line, snippet>: the first line that has the word, with the lines before and after it; null if none has."""
+    s = F.split(text, "\n")
+    line = F.array_position(F.transform(s, lambda x: x.contains(word)), True).cast("int")
+    first = F.greatest(line - before, F.lit(1))
+    return F.when(line > 0, F.struct(line.alias("line"), F.array_join(F.slice(s, first, line + after - first), "\n").alias("snippet")))

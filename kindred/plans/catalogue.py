@@ -77,6 +77,17 @@ def dimension_sql(policy: str, row: str) -> str:
     return f"select *, {', '.join(f'({p})::double as {n}' for p, n in zip(parts, names))} from ({row})"
 
 
+def greedy_sql(edges: str, turn: str, *, cap: int = 1 << 30, threshold: float = 0.0) -> str:
+    """One to one: left rows choose in the order of `turn`, each of its first `cap` edges by pref and r whose right is free
+    the most similar.  edges: CTEs that end with e(l, r, pref, sim, <what turn needs>)."""
+    return f"""with recursive {edges},
+    listed as materialized (select l, row_number() over (order by turn) as k, es from (select l, min(turn) as turn, list({{'r': r, 'sim': sim}} order by pref desc, r) as es from (select *, {turn} as turn from e) group by l) q),
+    g(k, l, used, best) as (select 0::bigint, null::bigint, []::bigint[], null::struct(sim double, k bigint, r bigint) union all
+        select k, l, case when best is null then used else list_append(used, best.r) end, best from (select listed.k, listed.l, g.used,
+            list_reverse_sort(list_filter(list_transform(list_filter(es, lambda x: not list_contains(g.used, x.r))[1:{cap}], lambda x, i: {{'sim': x.sim, 'k': -i, 'r': x.r}}), lambda x: x.sim >= {threshold}))[1] as best from g join listed on listed.k = g.k + 1)),
+    won as (select l, best.r as r, best.sim as sim from g where best is not null)"""
+
+
 # --- matching ------------------------------------------------------------------------------------------------------
 
 
@@ -129,7 +140,14 @@ def q_file_dimension(spark, sf_dir):
     return dimension(pairs, left, right, "size", "files").crossJoin(renamed)
 
 
-@query()
+@query(
+    greedy_sql(
+        r"""f as (select doc_id as ord, doc_id % 2 as side, sha256(coalesce(text, '')) as h, sha256(array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> ''), ' ')) as s from documents),
+        e as (select a.ord as l, b.ord as r, 0 as pref, 1.0::double as sim from f a join f b on a.side = 0 and b.side = 1 and a.s = b.s where a.h = b.h or a.h not in (select h from f where side = 1))""",
+        "l",
+    )
+    + " select l, r, sim from won"
+)
 def q_file_match_two_key(spark, sf_dir):
     """JN-03: content, else semantic hash; one to one."""
     return M.match_files(*sides(files(spark, sf_dir)))
@@ -147,15 +165,20 @@ def q_inverted_candidates(spark, sf_dir):
     return M.inverted_candidates(*sides(methods(spark, sf_dir)), C.shingles(F.col("opcode_tokens")))
 
 
-@query(f"with {SHINGLES}, g as (select ord, unnest(s) as g from sh), p as (select unnest(range(0, 16)) as i) select ord, i::int as i, min(('0x' || substr(md5(i || '|' || g), 1, 15))::bigint) as h from g, p group by all")
+def minhash_sql(permutations: int) -> str:
+    rows = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(map(M.permutation, range(permutations))))
+    return f"""{SHINGLES}, g as (select ord, side, ('0x' || substr(md5(unnest(s)), 1, 8))::bigint & 2147483647 as x from sh), p(i, a, b) as (values {rows}),
+    h as (select ord, side, i, min((x * a + b) % {M.PRIME})::bigint as h from g, p group by all)"""
+
+
+@query(f"with {minhash_sql(128)} select ord, i::int as i, h from h")
 def q_minhash_signature(spark, sf_dir):
     """AGG-20."""
-    return M.minhash(methods(spark, sf_dir), C.shingles(F.col("opcode_tokens")), 16)
+    return M.minhash(methods(spark, sf_dir), C.shingles(F.col("opcode_tokens")), 128)
 
 
 @query(
-    f"""with {SHINGLES}, g as (select ord, side, unnest(s) as g from sh), p as (select unnest(range(0, 126)) as i),
-    h as (select ord, side, i, min(('0x' || substr(md5(i || '|' || g), 1, 15))::bigint) as h from g, p group by all),
+    f"""with {minhash_sql(126)},
     b as (select ord, side, i // 6 as band, string_agg(h::varchar, ',' order by i) as key from h group by all)
     select distinct a.ord as l, c.ord as r from b a join b c on a.band = c.band and a.key = c.key and a.side = 0 and c.side = 1"""
 )
@@ -176,7 +199,8 @@ SCORED = (
     + f""",
     pt as (select ord, s, list_distinct(list_filter(t, lambda x: length(x) <= 2)) as b, list_filter(t, lambda x: length(x) >= 9) as a, list_distinct(list_transform(t, lambda x: x[1])) as c from m join sh using (ord)),
     pu as (select ord, s, b, c, {_run("a", 2)} as a from pt),
-    sc as (select l, r, shared, floor(({JACCARD.format(a="x.s", b="y.s")} * 0.45 + {JACCARD.format(a="x.b", b="y.b")} * 0.25 + {JACCARD.format(a="x.a", b="y.a")} * 0.20 + {JACCARD.format(a="x.c", b="y.c")} * 0.10) * 1e6 + 0.5)::bigint as millionths from ca join pu x on x.ord = l join pu y on y.ord = r)"""
+    sm as (select l, r, shared, ({JACCARD.format(a="x.s", b="y.s")} * 0.45 + {JACCARD.format(a="x.b", b="y.b")} * 0.25 + {JACCARD.format(a="x.a", b="y.a")} * 0.20 + {JACCARD.format(a="x.c", b="y.c")} * 0.10) as sim from ca join pu x on x.ord = l join pu y on y.ord = r),
+    sc as (select l, r, shared, floor(sim * 1e6 + 0.5)::bigint as millionths from sm)"""
 )
 
 
@@ -201,10 +225,17 @@ def q_best_candidate_per_left(spark, sf_dir):
     return top.groupBy("l").agg(F.max_by(F.struct("r", "shared", "millionths"), F.struct("millionths", F.negative("k"))).alias("x")).select("l", "x.r", "x.shared", "x.millionths")
 
 
-@query()
+FUZZY = EXACT + ", lo as (select * from m where ord not in (select l from ex union select r from ex))" + SHINGLES.removeprefix(METHODS).replace("from m)", "from lo)") + SCORED.removeprefix(SHINGLES)
+
+
+@query(
+    greedy_sql(FUZZY + ", e as (select sm.*, shared as pref, {'a': -least(n, 4194303), 'b': l} as first from sm join mh on ord = l)", "first", cap=30, threshold=0.70)
+    + " select l, r, floor(sim * 1e6 + 0.5)::bigint as millionths, 'fuzzy' as stage from won union all select l, r, 1000000, 'exact' from ex"
+)
 def q_fuzzy_match_1to1(spark, sf_dir):
-    """JN-02, JN-02c: exact, then fuzzy with cap and threshold, one to one."""
-    return M.match_methods(*sides(methods(spark, sf_dir)), lsh=False)
+    """JN-02, JN-02c, SRT-08: exact, then fuzzy with cap and threshold, longest first, one to one."""
+    found = M.match_methods(*sides(methods(spark, sf_dir)), lsh=False)
+    return found.select("l", "r", F.floor(F.col("sim") * 1e6 + 0.5).cast("long").alias("millionths"), "stage")
 
 
 def images(spark, sf_dir) -> DataFrame:
@@ -218,7 +249,7 @@ HAMMING = "select a.vec_id as l, b.vec_id as r, list_sum(list_transform(range(1,
 
 @query(f"select * from ({HAMMING}) where distance <= 20")
 def q_hamming_banded(spark, sf_dir):
-    """FN-06, JN-04: 21 bands lose no pair within 20 bits."""
+    """FN-06, JN-04: blocks with their neighbours lose no pair within 20 bits."""
     return M.hamming_pairs(*sides(images(spark, sf_dir)), most=20)
 
 
@@ -228,7 +259,7 @@ def q_hamming_default(spark, sf_dir):
     return M.hamming_pairs(*sides(images(spark, sf_dir)), most=10).groupBy("distance").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(greedy_sql(f"e as (select l, r, 0 as pref, (1.0 - distance / 64.0)::double as sim from ({HAMMING}) where distance <= 20)", "l", threshold=44 / 64) + " select * from won")
 def q_image_match_1to1(spark, sf_dir):
     """JN-04, AGG-03: one to one within 20 bits."""
     left, right = sides(images(spark, sf_dir))
@@ -302,13 +333,6 @@ def q_union_distinct(spark, sf_dir):
     return a.unionByName(b).distinct()
 
 
-@query(f"select (select count(*) from ({PAIR.format(p=0)} except all {PAIR.format(p=1)})) as missing, (select count(*) from ({PAIR.format(p=1)} except all {PAIR.format(p=0)})) as added")
-def q_state_difference(spark, sf_dir):
-    """SET-06, SRC-19: two states are equal if both counts are 0."""
-    a, b = _pairs(spark, sf_dir)
-    return a.exceptAll(b).agg(F.count("*").alias("missing")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("added")))
-
-
 @query("select l.doc_id, array_to_string(list_sort(list_intersect(w, ['the', 'of', 'and', 'de', 'la'])), ',') as common, len(list_filter(['the', 'of'], lambda x: not list_contains(w, x)))::int as missing, len(list_filter(['the', 'of'], lambda x: not list_contains(w, x))) = 0 as covers from (select doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) as w from documents) l")
 def q_array_sets(spark, sf_dir):
     """SET-01, SET-07."""
@@ -455,12 +479,6 @@ def q_classify_methods(spark, sf_dir):
     return A.classify_methods(classes(spark, sf_dir), deps).select("ord", "third_party")
 
 
-@query(f"with {LADDER} select ord from c where instruction_count >= 12 and not third_party")
-def q_method_retention(spark, sf_dir):
-    """PRJ-04."""
-    return classes(spark, sf_dir).where("instruction_count >= 12 and not third_party").select("ord")
-
-
 @query("with p as (select distinct lower(left(n_name, 3)) as prefix from nation union select distinct left(p_name, 4) from part where p_size < 3) select p_partkey, p_name from part where exists (select 1 from p where starts_with(p_name, prefix))")
 def q_prefix_join(spark, sf_dir):
     """JN-16: a prefix join as an equi-join."""
@@ -585,14 +603,6 @@ def q_latest_by_category(spark, sf_dir):
     return A.latest_by_category(table(spark, sf_dir, "events").select(F.col("event_type").alias("category"), F.col("event_id").alias("modified")))
 
 
-@query("select o_orderkey, max(l_shipdate) > o_orderdate as inputs_newer, max(l_shipdate) < o_orderdate - interval 6 hours as evidence_old from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderdate")
-def q_freshness(spark, sf_dir):
-    """SEC-04."""
-    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    last = j.groupBy("o_orderkey", "o_orderdate").agg(F.max("l_shipdate").alias("t"))
-    return last.select("o_orderkey", (F.col("t") > F.col("o_orderdate")).alias("inputs_newer"), (F.col("t") < F.col("o_orderdate") - F.expr("interval 6 hours")).alias("evidence_old"))
-
-
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from orders where o_orderstatus = 'F') where k = 1")
 def q_first_existing(spark, sf_dir):
     """WIN-08."""
@@ -661,30 +671,23 @@ def q_opcode_family(spark, sf_dir):
 
 
 @query(
-    """with i as (select conv_id, turn, case role when 'user' then 'invoke-virtual' when 'assistant' then 'const-string' else 'goto/16' end as name, case role when 'user' then 'v0, Ljava/lang/A' || turn || ';->f(I)V' else 'v1, "' || left(text, (turn % 4 * 9)::int) || '"' end as output from conversations where not contains(left(text, 27), '"')),
+    """with i as (select conv_id, turn, case role when 'user' then 'invoke-virtual' when 'assistant' then 'const-string' else 'goto/16' end as name, case role when 'user' then 'v0, Ljava/lang/A' || turn || ';->f(I)V' else 'v1, "' || replace(coalesce(text, ''), '"', '') || '"' end as output from conversations),
     r as (select conv_id, list(case when starts_with(name, 'invoke') then 'invoke' when starts_with(name, 'const') then 'const' else 'goto' end order by turn) as t, list('Ljava/lang/A' || turn || ';->f' order by turn) filter (where name = 'invoke-virtual') as a,
-        list(case when turn % 4 = 0 then 'empty' else 'string:' || least(length(split_part(output, '"', 2)) // 8, 8) end order by turn) filter (where name <> 'invoke-virtual') as c, count(*)::bigint as n from i group by conv_id)
+        list(case when split_part(output, '"', 2) = '' then 'empty' else 'string:' || least(length(split_part(output, '"', 2)) // 8, 8) end order by turn) filter (where name <> 'invoke-virtual') as c, count(*)::bigint as n from i group by conv_id)
     select conv_id, array_to_string(t, ',') as tokens, array_to_string(list_filter(t, lambda x: x = 'goto'), ',') as blocks, coalesce(array_to_string(a, ','), '') as api_calls, coalesce(array_to_string(c, ','), '') as constants, n as instruction_count,
         sha256(array_to_string(list_concat(t, ['|api-calls|'], coalesce(a, []), ['|constant-categories|'], coalesce(c, [])), chr(31))) as canonical_hash from r"""
 )
 def q_canonicalize(spark, sf_dir):
     """FN-11, FN-12."""
-    c = table(spark, sf_dir, "conversations").where("not contains(left(text, 27), '\"')")
+    c = table(spark, sf_dir, "conversations")
     name = F.when(F.col("role") == "user", "invoke-virtual").when(F.col("role") == "assistant", "const-string").otherwise("goto/16")
-    output = F.when(F.col("role") == "user", F.concat(F.lit("v0, Ljava/lang/A"), F.col("turn").cast("string"), F.lit(";->f(I)V"))).otherwise(F.concat(F.lit('v1, "'), F.left("text", (F.col("turn") % 4 * 9).cast("int")), F.lit('"')))
+    output = F.when(F.col("role") == "user", F.concat(F.lit("v0, Ljava/lang/A"), F.col("turn").cast("string"), F.lit(";->f(I)V"))).otherwise(F.concat(F.lit('v1, "'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit("")), F.lit('"')))
     i = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", name.alias("name"), output.alias("output")))).alias("i"))
     x = i.select("conv_id", C.canonical(F.transform("i", lambda v: F.struct(v["name"].alias("name"), v["output"].alias("output")))).alias("x"))
     join = lambda n: F.array_join(f"x.{n}", ",")
     return x.select("conv_id", join("opcode_tokens").alias("tokens"), join("block_signature").alias("blocks"), join("api_calls").alias("api_calls"), join("constants").alias("constants"), "x.instruction_count", "x.canonical_hash")
 
 
-@query(r"select page_id, tag, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from pages) group by all")
-def q_tag_counts(spark, sf_dir):
-    """FN-13: how often each tag occurs."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("tag"))
-    return p.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
-
-
 @query("select 'La/o' || s_suppkey % 40 || ';' as output, 'Lorg/S' || s_suppkey || ';' as original from supplier where s_suppkey % 4 <> 3")
 def q_r8_parse(spark, sf_dir):
     """FN-19: mapping lines, with comments and members between."""
@@ -693,16 +696,7 @@ def q_r8_parse(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey").cast("string")
     line = F.when(F.col("s_suppkey") % 4 == 3, F.concat(F.lit("# org.S"), k, F.lit(" -> x:"))).otherwise(F.concat(F.lit("org.S"), k, F.lit(" -> a.o"), (F.col("s_suppkey") % 40).cast("string"), F.lit(":\n    int f -> a")))
-    text = s.agg(F.array_join(F.collect_list(line), "\n").alias("text"))  # one mapping file
-    return r8_mapping(text)
-
-
-@query("select event_id, ('0x' || lower(k))::bigint as k from (select event_id, regexp_extract(props, '\"k\": *([0-9]+)', 1) as k from events) where length(k) = 2")
-def q_json_filter(spark, sf_dir):
-    """FN-25, FN-18: values of a JSON map that look like hex."""
-    e = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    hex_ = F.map_filter("m", lambda k, v: k.contains("k") & v.rlike("^[0-9a-fA-F]{2}$"))
-    return e.select("event_id", F.explode(hex_).alias("key", "v")).select("event_id", F.conv("v", 16, 10).cast("long").alias("k"))
+    return r8_mapping(s.select(line.alias("text")))  # a mapping file a supplier
 
 
 @query("select n_nationkey, sha256('sha' || n_nationkey || chr(0) || '{\"a\":' || n_regionkey || '}' || chr(0) || '1' || chr(0) || '[]') as key, left(regexp_replace(n_name || ' x/é', '[^A-Za-z0-9._-]+', '_', 'g'), 60) as stem, case when n_regionkey = 0 then 'N/A' else printf('%.2f', n_nationkey / 10.0) end as score from nation")
@@ -717,36 +711,6 @@ def q_cache_key(spark, sf_dir):
 # --- windows, order, reports ------------------------------------------------------------------------------------------------
 
 
-@query("select conv_id, turn, text_len, next_len, after_len from (select conv_id, turn, length(text) as text_len, lead(length(text), 1) over w as next_len, lead(length(text), 2) over w as after_len from conversations window w as (partition by conv_id order by turn)) where next_len is not null")
-def q_triples_lead(spark, sf_dir):
-    """WIN-03."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = F.length("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", n.cast("long").alias("text_len"), F.lead(n, 1).over(w).cast("long").alias("next_len"), F.lead(n, 2).over(w).cast("long").alias("after_len")).where("next_len is not null")
-
-
-@query("select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as asked from conversations")
-def q_carry_forward(spark, sf_dir):
-    """WIN-04."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked"))
-
-
-BRACKETS = r"""with c as (select page_id, i, substr(html, i, 1) as x from (select page_id, html, unnest(range(1, length(html) + 1)) as i from pages) where substr(html, i, 1) in ('(', ')', '{', '}')),
-    s as (select page_id, i, sum(case when x in ('(', '{') then 1 else -1 end) over (partition by page_id order by i) as s from c)
-    select page_id, max(d)::bigint as deepest, count(*) as n from (select page_id, s - least(0, min(s) over (partition by page_id order by i)) as d from s) group by page_id"""
-
-
-@query(BRACKETS)
-def q_bracket_depth(spark, sf_dir):
-    """WIN-05: depth of brackets, never below 0, by the reflection of a running sum."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", r"[^(){}]", ""), "")).alias("i", "x")).where("x <> ''")
-    w = Window.partitionBy("page_id").orderBy("i")
-    s = p.withColumn("s", F.sum(F.when(F.col("x").isin("(", "{"), 1).otherwise(-1)).over(w))
-    d = s.withColumn("d", F.col("s") - F.least(F.lit(0), F.min("s").over(w)))
-    return d.groupBy("page_id").agg(F.max("d").alias("deepest"), F.count("*").alias("n"))
-
-
 @query(f"with {EXACT} select l, r, least(l_n, r_n) as mass, (row_number() over (order by least(l_n, r_n) desc, l))::int as rank from ex order by rank limit 50")
 def q_topk_findings(spark, sf_dir):
     """SRT-01, SRT-02, SRT-03, SRT-04, WIN-06."""
@@ -756,34 +720,6 @@ def q_topk_findings(spark, sf_dir):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mass"), "l")))  # 50 rows
 
 
-@query(r"with d as (select doc_id, string_split(text, chr(10)) as s, list_position(list_transform(string_split(text, chr(10)), lambda x: contains(x, 'the')), true) as p from documents) select doc_id, p::int as line, array_to_string(s[greatest(p - 12, 1) : p + 39], chr(10)) as snippet from d where p > 0")
-def q_source_window(spark, sf_dir):
-    """SNK-05, WIN-07: from 12 lines before the first line with the word to 39 after it."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("s"))
-    p = F.array_position(F.transform("s", lambda x: x.contains("the")), True).cast("int")
-    d = d.withColumn("line", p).where("line > 0")
-    first = F.greatest(F.col("line") - 12, F.lit(1))
-    return d.select("doc_id", "line", F.array_join(F.slice("s", first, F.col("line") + 40 - first), "\n").alias("snippet"))
-
-
-@query("select source, array_to_string(list_sort(list(doc_id))[1:200], ',') as first from documents group by source")
-def q_feature_cap(spark, sf_dir):
-    """SRT-05, SRT-06."""
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("x"))
-    return d.select("source", F.array_join(F.transform(F.slice("x", 1, 200), lambda v: v.cast("string")), ",").alias("first"))
-
-
-@query(
-    """with m as (select o_orderstatus as metric, count(*) filter (where year(o_orderdate) = 1996) as l, count(*) filter (where year(o_orderdate) = 1997) as r from orders group by all)
-    select metric, l, r from m where l is distinct from r"""
-)
-def q_difference_report(spark, sf_dir):
-    """SNK-12."""
-    o = table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
-    m = o.groupBy(F.col("o_orderstatus").alias("metric")).agg(F.count_if(F.col("y") == 1996).alias("l"), F.count_if(F.col("y") == 1997).alias("r"))
-    return m.where(~F.col("l").eqNullSafe(F.col("r")))
-
-
 @query(
     """with e as (select page_id as position, case page_id % 6 when 0 then '/abs' when 1 then 'a/../b' when 2 then 'dup' else 'ok/' || page_id end as path, length(html) as size, case page_id % 5 when 0 then 0 else length(html) // (page_id % 40 * 10 + 1) + 1 end as compressed_size, case when page_id % 7 = 0 then 41471 else 33188 end as mode from pages)
     select position, case when starts_with(path, '/') or list_contains(string_split(path, '/'), '..') or path = '' then 'unsafe path' when mode & 61440 = 40960 then 'symbolic link' when size > 20000 then 'entry too large' when size > 0 and compressed_size = 0 then 'invalid compressed size' when compressed_size > 0 and size::double / compressed_size > 200 then 'unsafe ratio' end as violation,

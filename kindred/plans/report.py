@@ -5,9 +5,18 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 MARKER = ".kindred-report"
 
 
+def metric_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(metric, left, right) of the metrics whose values differ, or that one side lacks; tables: metric, value."""
+    a, b = left.select("metric", F.col("value").alias("left")), right.select("metric", F.col("value").alias("right"))
+    return a.join(b, "metric", "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))
+
+
 def differences(result: dict) -> list[str]:
     """What sets the two builds apart, besides the scores."""
     a, b, out = result["left"], result["right"], []

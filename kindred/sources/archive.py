@@ -12,21 +12,42 @@ from pyspark.sql import functions as F
 from kindred import schemas
 from kindred.config import ArchiveLimits
 from kindred.functions import columns as C
+from kindred.sources import parsers
+
+
+BATCH_BYTES = 8 << 20
+#: Stands for an archive that is not opened: position -1, its own size.
+UNREAD = -1
+
+
+def found(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path)
 
 
 def entries(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
-    """Directory entries of every archive under path (a file, folder or glob); nothing is decompressed."""
+    """Directory entries of every archive under path (a file, folder or glob); nothing is decompressed.
+
+    An archive over the size limit, or one that is no archive, is a single row without a path, at position -1.
+    """
 
     def run(parts):
         for part in parts:
             rows = []
-            for archive, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(archive, i.filename.replace("\\", "/"), i.file_size, i.compress_size, i.CRC, i.external_attr >> 16, k) for k, i in enumerate(z.infolist())]
+            for archive, content, length in zip(part["path"], part["content"], part["length"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                        rows += [(archive, i.filename.replace("\\", "/"), i.file_size, i.compress_size, i.CRC, i.external_attr >> 16, k) for k, i in enumerate(z.infolist())]
+                except zipfile.BadZipFile:
+                    rows.append((archive, None, length, length, 0, 0, UNREAD))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schemas.ENTRIES.split(", ")])
 
-    found = spark.read.format("binaryFile").load(path).where(F.col("length") <= limits.max_input_size)
-    return found.select("path", "content").mapInPandas(run, schemas.ENTRIES)
+    files = found(spark, path)
+    small = files.where(F.col("length") <= limits.max_input_size).select("path", "content", "length").mapInPandas(run, schemas.ENTRIES)
+    large = files.where(F.col("length") > limits.max_input_size)  # the contents of these are not read
+    none = F.lit(None).cast("string")
+    row = [F.col("path").alias("archive"), none, F.col("length"), F.col("length"), F.lit(0), F.lit(0), F.lit(UNREAD)]
+    row = [c.cast(f.dataType).alias(f.name) for c, f in zip(row, small.schema, strict=True)]
+    return small.unionByName(large.select(*row))
 
 
 def violations(entries: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
@@ -48,10 +69,12 @@ def violations(entries: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> D
 
 def check(entries: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """(archive, problem) for every archive that must not be read: the first broken rule of each."""
-    v = violations(entries, limits).where("path <> ''")
+    unread = entries.where(F.col("position") == UNREAD)
+    unread = unread.select("archive", F.when(F.col("size") > limits.max_input_size, "input too large").otherwise("not an archive").alias("problem"))
+    v = violations(entries.where(F.col("position") != UNREAD), limits).where("path <> ''")
     per = v.groupBy("archive").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.max("duplicate").alias("twice"), F.min_by("violation", "position").alias("first"), F.min(F.struct(F.col("violation").isNull(), "position", "violation")).alias("worst"))
     problem = F.when(F.col("n") > limits.max_entries, "too many entries").when(F.col("worst.violation").isNotNull(), F.col("worst.violation")).when(F.col("twice"), "duplicate entry").when(F.col("total") > limits.max_uncompressed_size, "uncompressed size exceeds the limit")
-    return per.select("archive", problem.alias("problem")).where("problem is not null")
+    return per.select("archive", problem.alias("problem")).where("problem is not null").unionByName(unread)
 
 
 def inventory(entries: DataFrame) -> DataFrame:
@@ -83,15 +106,21 @@ def contents(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimi
 
     def run(parts):
         for part in parts:
+            rows, size = [], 0
             for archive, content in zip(part["path"], part["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for i in z.infolist():
                         name = i.filename.replace("\\", "/")
                         if not name.endswith("/") and wanted(name):
-                            yield pd.DataFrame([(archive, name, z.read(i))], columns=["archive", "path", "content"])
+                            rows.append((archive, name, z.read(i)))
+                            size += i.file_size
+                        if size > BATCH_BYTES:  # small entries go together, memory stays bounded
+                            yield pd.DataFrame(rows, columns=["archive", "path", "content"])
+                            rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["archive", "path", "content"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").join(bad, "path", "left_anti")
-    return found.mapInPandas(run, "archive string, path string, content binary")
+    files = found(spark, path).where(F.col("length") <= limits.max_input_size).select("path", "content").join(bad, "path", "left_anti")
+    return files.mapInPandas(run, "archive string, path string, content binary")
 
 
 def file_rows(contents: DataFrame, *, asset_semantic: str = "reference") -> DataFrame:
@@ -99,10 +128,12 @@ def file_rows(contents: DataFrame, *, asset_semantic: str = "reference") -> Data
     c = contents.withColumn("category", C.category(F.col("path")))
     special = F.col("path").endswith("/manifest/AndroidManifest.xml") | (F.col("path").endswith(".dex") & F.col("path").contains("/dex/"))
     c = c.where(F.col("category").isNotNull() & ~special)
+    c = c.withColumn("symbols", parsers.elf_features_udf(F.when(F.col("category") == "native", F.col("content"))))
     tokens = C.printable_tokens(F.col("content"))
     chunks = C.chunk_digests(F.col("content"))
     elf = F.hex(F.substr(F.col("content"), F.lit(1), F.lit(4))) == "7F454C46"
-    native = F.array_sort(F.array_distinct(F.concat(F.array(F.when(elf, "elf").otherwise("binary")), F.filter(tokens, lambda t: t.contains(".so")), F.transform(chunks, lambda x: F.concat(F.lit("chunk:"), x)))))
+    symbols = F.coalesce(F.col("symbols"), F.array().cast("array<string>"))
+    native = F.array_sort(F.array_distinct(F.concat(F.array(F.when(elf, "elf").otherwise("binary")), F.filter(tokens, lambda t: t.contains(".so")), F.transform(chunks, lambda x: F.concat(F.lit("chunk:"), x)), symbols)))
     features = F.when(F.col("category") == "asset", chunks).when(F.col("category") == "native", native).when(F.col("category") == "build", F.slice(tokens, 1, 200)).otherwise(tokens)
     semantic = C.semantic_hash(F.col("features"), F.col("content"))
     if asset_semantic == "content":

@@ -264,7 +264,7 @@ def elf_features(data: bytes) -> list[str] | None:
 
 @arrow_udf("array<string>")
 def elf_features_udf(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: elf_features(bytes(x)))
+    return content.map(lambda x: None if x is None else elf_features(bytes(x)))
 
 
 def png_pixels(data: bytes) -> np.ndarray | None:
