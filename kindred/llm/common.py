@@ -70,6 +70,12 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that no DataFrame needs any more now, not when the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settle(spark: SparkSession) -> SparkSession:
     """Arrow batches of a few MB: each is held by the executor and its Python worker at once, several times over.
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import chained, components, discard, hot_join, lean, materialise, mix, partitions, slice_hashes, slices, small, text_bytes, word_bounds, word_hashes
+from kindred.llm.common import chained, components, discard, hot_join, lean, materialise, mix, partitions, release, slices, small, text_bytes, word_bounds, word_hashes
 
 BATCH_BYTES = 4 << 20
 BATCH_DOCS = 60_000
@@ -294,11 +294,15 @@ def similar(documents: DataFrame, *, width: int = 5, percent: int = 75) -> tuple
     n = partitions(spark)
     posted = own.mapInArrow(lean(_post(width, bits)), PACKED).repartition(n, "fragment").sortWithinPartitions("fragment")
     counted = materialise(posted.mapInArrow(lean(_count(bits)), PACKED), "counted")
+    del posted
+    release(spark)  # of the postings' shuffle, the largest
     masses = counted.select("fragment", "counts").mapInArrow(_masses, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     cuts = order_cuts({r.bin: r.n for r in masses.collect()}, FRAGMENTS)  # at most 640 rows
     by_batch = counted.repartition(n, "batch").sortWithinPartitions("batch")
     chosen = materialise(by_batch.mapInArrow(lean(_select(percent, cuts)), "doc long, version long, m long, prefix int, ends array<int>, tokens array<bigint>"), "chosen")
     discard(counted)
+    del by_batch
+    release(spark)
     fragments = chosen.select("doc", "version", "m", "tokens", "ends", F.posexplode("ends").alias("f", "end"))
     begin = F.when(F.col("f") == 0, 0).otherwise(F.col("ends")[F.col("f") - 1])
     fragments = fragments.withColumn("begin", begin).where("end > begin").withColumn("part", F.expr("slice(tokens, begin + 1, end - begin)")).drop("tokens", "ends", "begin", "end")
