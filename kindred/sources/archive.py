@@ -140,3 +140,17 @@ def file_rows(contents: DataFrame, *, asset_semantic: str = "reference") -> Data
         semantic = F.when(F.col("category") == "asset", F.sha2(F.array_join("features", "\n").cast("binary"), 256)).otherwise(semantic)
     c = c.withColumn("features", features)
     return c.select("archive", "path", C.module(F.col("path")).alias("module"), "category", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), semantic.alias("semantic_hash"), "features")
+
+
+#: Where a build puts the mapping of its names.
+MAPPING = "BUNDLE-METADATA/com.android.tools.build.obfuscation/proguard.map"
+
+
+def embedded_mapping(contents: DataFrame) -> DataFrame:
+    """(output, original, entry, sha256) of the mapping in an archive: of the usual entry, else of the first other one, by
+    name, that has any line to use."""
+    named = F.col("path").startswith("BUNDLE-METADATA/") & (F.col("path").endswith("proguard.map") | F.col("path").endswith("mapping.txt"))
+    files = contents.where(named).select("path", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+    rows = parsers.r8_mapping(files, key="path")
+    first = rows.agg(F.min(F.struct(F.col("path") != MAPPING, "path")).alias("x")).select("x.path")
+    return rows.join(F.broadcast(first), "path").join(files.select("path", "sha256"), "path").select("output", "original", F.col("path").alias("entry"), "sha256")

@@ -157,13 +157,14 @@ def resource_dump(dumps: DataFrame, key: str = "archive", text: str = "text") ->
 # --- mappings, dependencies ---
 
 
-def r8_mapping(mappings: DataFrame, text: str = "text") -> DataFrame:
-    """(output, original) class descriptors of mapping files; several originals may have one output."""
-    lines = mappings.select(F.explode(F.split(text, "\r\n|\r|\n")).alias("line"))
+def r8_mapping(mappings: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """(output, original) class descriptors of mapping files, by key if one is named; several originals may have one output."""
+    own = [key] if key else []
+    lines = mappings.select(*own, F.explode(F.split(text, "\r\n|\r|\n")).alias("line"))
     lines = lines.where((F.col("line") != "") & ~F.col("line").rlike(r"^\s") & ~F.col("line").startswith("#") & F.col("line").contains(" -> "))
     pair = F.split("line", " -> ", 2)
     original, output = F.trim(F.get(pair, F.lit(0))), F.trim(F.regexp_replace(F.get(pair, F.lit(1)), ":$", ""))
-    return lines.select(C.descriptor(output).alias("output"), C.descriptor(original).alias("original"), output.alias("o"), original.alias("i")).where("o <> '' and i <> ''").select("output", "original").distinct()
+    return lines.select(*own, C.descriptor(output).alias("output"), C.descriptor(original).alias("original"), output.alias("o"), original.alias("i")).where("o <> '' and i <> ''").select(*own, "output", "original").distinct()
 
 
 def dependency_coordinates(contents: DataFrame, key: str = "path") -> DataFrame:

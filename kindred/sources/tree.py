@@ -31,8 +31,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.regexp_replace("path", f"^.*?{re.escape(plain)}/", "").alias("path"), F.unix_seconds("modificationTime").alias("modified"), "content")
 
 
-def owners(files: DataFrame, variant: str, *, source_roots: list[str], generated_roots: list[str] = ()) -> DataFrame:
-    """(identifier, category, origin, source_path, module, sha256, modified) of what is consumed, in canonical order.
+def consumed(files: DataFrame, variant: str, *, source_roots: list[str], generated_roots: list[str] = ()) -> DataFrame:
+    """The files that a build of the variant consumes, with their origin and category.
 
     files: path relative to the project, modified, content.  A source root holds source sets, one a folder.
     """
@@ -43,15 +43,26 @@ def owners(files: DataFrame, variant: str, *, source_roots: list[str], generated
         depth = r.rstrip("/").count("/") + 2
         active = active | (path.startswith(r.rstrip("/") + "/") & F.lower(F.split_part(path, F.lit("/"), F.lit(depth))).isin(source_sets(variant)))
     origin = F.when(under(list(generated_roots)), "OWNED_GENERATED").when(active, "OWNED_SOURCE")
-    s = F.split(path, "/")
-    name = F.element_at(s, -1)
-    folders = F.filter(F.slice(s, 1, F.size(s) - 1), lambda x: F.split_part(x, F.lit("-"), F.lit(1)).isin(*RESOURCE_FOLDERS))
-    at = F.array_position(s, "assets")
-    base = C.base_name(path)
+    at, folders = _places(path)
     code = C.suffix(path).isin(".java", ".kt")
     image = C.suffix(path).isin(*config.IMAGE_SUFFIXES)
-    kind = F.when(code, "code").when(name == "AndroidManifest.xml", "manifest").when((at > 0) & (at < F.size(s)), "asset").when(F.size(folders) > 0, F.when(image, "image").otherwise("resource"))
-    rows = files.select("path", "modified", "content", origin.alias("origin"), kind.alias("category")).where("origin is not null and category is not null")
+    name = F.element_at(F.split(path, "/"), -1)
+    kind = F.when(code, "code").when(name == "AndroidManifest.xml", "manifest").when((at > 0) & (at < F.size(F.split(path, "/"))), "asset").when(F.size(folders) > 0, F.when(image, "image").otherwise("resource"))
+    return files.select("path", "modified", "content", origin.alias("origin"), kind.alias("category")).where("origin is not null and category is not null")
+
+
+def _places(path: F.Column) -> tuple[F.Column, F.Column]:
+    """Where the assets folder is among a path's parts, and its resource folders."""
+    s = F.split(path, "/")
+    return F.array_position(s, "assets"), F.filter(F.slice(s, 1, F.size(s) - 1), lambda x: F.split_part(x, F.lit("-"), F.lit(1)).isin(*RESOURCE_FOLDERS))
+
+
+def owners(files: DataFrame, variant: str, *, source_roots: list[str], generated_roots: list[str] = ()) -> DataFrame:
+    """(identifier, category, origin, source_path, module, sha256, modified) of what is consumed, in canonical order."""
+    rows = consumed(files, variant, source_roots=source_roots, generated_roots=generated_roots)
+    path = F.col("path")
+    s, base = F.split(path, "/"), C.base_name(path)
+    at, folders = _places(path)
     text = F.decode("content", "UTF-8")
     names = (
         F.when(F.col("category") == "manifest", F.array(F.concat(F.lit("manifest:"), path)))
