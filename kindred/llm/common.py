@@ -41,8 +41,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has named, in order.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/kindred/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/kindred/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextlib.contextmanager
+def workshop(spark: SparkSession, keep):
+    """Deletes in the end what was written meanwhile, but for the folders in the list keep: for steps whose result is written."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            if path not in keep:
+                delete(spark, path)
+        _made[before:] = [p for p in _made[before:] if p in keep]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Tables whose number of rows is known are written to a file for so many: small ones need not be as many files as a
@@ -64,10 +87,7 @@ def materialise(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes what materialise wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df._kindred_path
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    delete(df.sparkSession, df._kindred_path)
 
 
 def release(spark: SparkSession) -> None:
