@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import decontaminate, ngram_join, packing, substring_dedup, toxicity
-from kindred.llm.common import materialise, settle, table
+from kindred.llm.common import discard, materialise, settle, table, workshop
 from kindred.llm.queries import remainder, tokenizer_path
 
 
@@ -65,7 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """A stage's own tables, and the documents that it was given, go once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        kept: list[str] = []
+        with workshop(spark, kept):
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            kept.append(docs._kindred_path)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
