@@ -1,4 +1,4 @@
-"""python -m kindred LEFT RIGHT OUTPUT [--config FILE] [--mode auto|owned|heuristic|legacy] [--ownership-config FILE] [--overwrite]
+"""python -m kindred LEFT RIGHT OUTPUT [--config FILE] [--mode auto|owned|heuristic|legacy] [--ownership-config FILE] [--cache-dir FOLDER] [--overwrite]
 python -m kindred prepare FILE          writes the lock of an ownership file and registers its pair
 
 auto compares by ownership where the pair is registered and its lock holds, else by heuristics.
@@ -17,6 +17,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--mode", choices=("auto", "owned", "heuristic", "legacy"), default="auto")
     parser.add_argument("--ownership-config")
     parser.add_argument("--registry")
+    parser.add_argument("--cache-dir", help="folder that keeps profiles for the next run")
     parser.add_argument("--overwrite", action="store_true")
     given = parser.parse_args(argv)
     wanted = 2 if given.paths[0] == "prepare" else 3
@@ -78,12 +79,12 @@ def run(a: argparse.Namespace) -> dict:
     report.require_folder(output, overwrite=a.overwrite)
     mode, given, found = choose(a)
     try:
-        result = compare.compare_archives(spark, left, right, settings, mode=mode) if given is None else ownership.compare_owned(spark, given, settings)
+        result = compare.compare_archives(spark, left, right, settings, mode=mode, cache=a.cache_dir) if given is None else ownership.compare_owned(spark, given, settings)
     except ValueError as error:
         if given is None or a.ownership_config:
             raise
         found = {"status": "stale", "message": str(error)}  # the registered evidence no longer holds
-        result = compare.compare_archives(spark, left, right, settings, mode="heuristic")
+        result = compare.compare_archives(spark, left, right, settings, mode="heuristic", cache=a.cache_dir)
     result["selection"] = {"requested": a.mode} | found
     print(report.write(result, output, overwrite=a.overwrite))
     return result

@@ -91,5 +91,16 @@ def origin_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("origin", F.lit("UNRESOLVED")).alias("origin")).agg(F.count("*").alias("n"))
 
 
+def source_counts(rows: DataFrame) -> DataFrame:
+    """How many rows each source file has; rows without one do not count."""
+    return rows.where("source_path is not null").groupBy("source_path").agg(F.count("*").alias("n"))
+
+
+def method_counts(methods: DataFrame, config: Config = Config()) -> DataFrame:
+    """One row: methods, those that are no third party's, and the long ones of these."""
+    own = ~F.col("third_party")
+    return methods.agg(F.count("*").alias("candidate_methods"), F.count_if(own).alias("methods"), F.count_if(own & (F.col("instruction_count") >= config.long_method_min_instructions)).alias("long_methods"))
+
+
 def resource_confidence(expected: Column, covered: Column) -> Column:
     return F.when(expected <= 0, 1.0).otherwise(F.least(F.greatest(covered / expected, F.lit(0.0)), F.lit(1.0)))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from kindred.functions import columns as C
 from kindred.operators import attribution as A
 from kindred.operators import matching as M
 from kindred.operators import scoring as S
+from kindred.plans import registry
 from kindred.sources import archive, dex, manifests, parsers
 from kindred.storage import materialise
 
@@ -70,6 +75,7 @@ def profile(spark: SparkSession, path: str, config: Config = Config()) -> Profil
     dexes = contents.where(F.col("path").endswith(".dex") & F.col("path").contains("/dex/"))
     counts = {k: inventory[k] for k in ("entries", "dex", "native", "assets", "resources", "manifests")}
     counts["dex_bytes"] = dexes.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+    counts |= S.method_counts(methods, config).first().asDict() | {"images": images.count()}
     fixed = [f"module:{m}" for m in inventory.modules] + [f"count:{k}:{counts[k]}" for k in ("dex", "native", "assets", "resources", "manifests")] + ([f"agp:{agp}"] if agp else [])
     parts = [
         spark.createDataFrame([(x,) for x in fixed], "value string"),
@@ -81,6 +87,54 @@ def profile(spark: SparkSession, path: str, config: Config = Config()) -> Profil
     return Profile(header, files, methods, ordered(images, "path"), manifest, details, dependencies, reduce(DataFrame.unionByName, parts).distinct(), warnings)
 
 
+#: What a stored profile consists of, besides its header; VERSION changes whenever their meaning does.
+TABLES = ("files", "methods", "images", "manifest", "details", "dependencies", "build")
+VERSION = "2"
+
+
+def stored(spark: SparkSession, folder: str) -> Profile | None:
+    """The profile that store() left; null where there is none, or one of another shape."""
+    try:
+        lines = spark.read.text(f"{folder}/header").collect()  # one line
+        header = json.loads(lines[0].value)
+        tables = {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES}
+        schemas, warnings = header.pop("schemas"), header.pop("warnings")
+    except (PySparkException, Py4JJavaError, ValueError, LookupError, AttributeError):  # unreadable is as good as absent
+        return None
+    if {t: tables[t].schema.simpleString() for t in TABLES} != schemas or not {"path", "sha256", "modules", "agp", "counts"} <= set(header):
+        return None
+    return Profile(header, **tables, warnings=warnings)
+
+
+def store(p: Profile, folder: str) -> None:
+    """Writes the tables beside and renames them: a profile is there whole or not at all."""
+    spark = p.files.sparkSession
+    beside = f"{folder}.{uuid.uuid4().hex}"
+    for t in TABLES:
+        getattr(p, t).write.parquet(f"{beside}/{t}")
+    schemas = {t: getattr(p, t).schema.simpleString() for t in TABLES}
+    spark.createDataFrame([(json.dumps(p.header | {"schemas": schemas, "warnings": p.warnings}),)], "value string").coalesce(1).write.text(f"{beside}/header")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(folder), True)
+    if not fs.rename(path(beside), path(folder)):
+        fs.delete(path(beside), True)  # another run was first
+
+
+def cached_profile(spark: SparkSession, path: str, config: Config, cache: str | None) -> Profile:
+    """profile(), from a folder of stored ones by content and settings where one is named."""
+    if cache is None:
+        return profile(spark, path, config)
+    sha = archive.found(spark, path).select(F.sha2("content", 256)).first()[0]
+    folder = registry.cache_path(spark, cache, sha, config, VERSION, {})
+    held = stored(spark, folder)
+    if held is None:
+        store(profile(spark, path, config), folder)
+        held = stored(spark, folder)
+    held.header["path"] = path
+    return held
+
+
 def heuristic(p: Profile, config: Config = Config()) -> Profile:
     """Only what seems the application's own, by the names of classes, files and manifest entries."""
     packages = [r.package for r in p.details.where("package is not null").select("package").distinct().collect()]  # a row a module
@@ -148,15 +202,38 @@ def compare(left: Profile, right: Profile, config: Config = Config(), *, owned:
         r["confidence"] = min([r.get("confidence", 1.0), *given])
         r["score"] = None if r["score"] is None else round(r["score"], 2)
     out = {"mode": "owned" if owned else "legacy", "left": left.header, "right": right.header, "dimensions": {r["key"]: r for r in rows}, "findings": findings, "warnings": sorted({*left.warnings, *right.warnings}), "attribution": {"left": left.attribution, "right": right.attribution}, "aggregate": None}
-    if not owned:
+    listed = {s: [r.value for r in p.build.orderBy("value").collect()] for s, p in (("left", left), ("right", right))}  # of one archive each
+    out["diagnostics"] = diagnostics(out["left"], out["right"], listed)
+    if owned:
+        out["origins"] = {s: origins(p) for s, p in (("left", left), ("right", right))}
+        dependencies = {s: [r[0] for r in p.dependencies.orderBy("dependency").collect()] for s, p in (("left", left), ("right", right))}
+        out["diagnostics"] |= {"dependencies": dependencies, "build_structure": listed, "native": {s: out[s]["counts"]["native"] for s in ("left", "right")}}
+    else:
         spark = left.files.sparkSession
         table = spark.createDataFrame([(r["key"], r["score"]) for r in rows], "key string, score double")
         out["aggregate"] = S.aggregate(table, config).first().asDict()
     return out
 
 
-def compare_archives(spark: SparkSession, left: str, right: str, config: Config = Config(), *, mode: str = "heuristic", lsh: bool = True) -> dict:
-    a, b = profile(spark, left, config), profile(spark, right, config)
+def diagnostics(left: dict, right: dict, build: dict) -> dict:
+    """What no dimension scores, of either side: signatures, hardening, versions."""
+    some = lambda test: {s: [v for v in build[s] if test(v)] for s in ("left", "right")}
+    return {"signing": some(lambda v: "META-INF" in v), "hardening": some(lambda v: v.startswith("hardening:")), "agp": {"left": left["agp"], "right": right["agp"]}}
+
+
+def origins(p: Profile, most: int = 50) -> dict:
+    """How many methods, files and images have each origin, and the source files with most of them."""
+    rows = None
+    for kind in ("methods", "files", "images", "manifest"):
+        t = getattr(p, kind)
+        t = t.select(*[F.col(c) if c in t.columns else F.lit(None).cast("string").alias(c) for c in ("origin", "source_path")])
+        rows = t if rows is None else rows.unionByName(t)
+    top = S.source_counts(rows).orderBy(F.desc("n"), "source_path").limit(most).collect()
+    return {"by_origin": {r.origin: r.n for r in S.origin_counts(rows).orderBy("origin").collect()}, "by_source": {r.source_path: r.n for r in top}}
+
+
+def compare_archives(spark: SparkSession, left: str, right: str, config: Config = Config(), *, mode: str = "heuristic", lsh: bool = True, cache: str | None = None) -> dict:
+    a, b = (cached_profile(spark, p, config, cache) for p in (left, right))
     if mode == "legacy":
         return compare(a, b, config, lsh=lsh)
     out = compare(heuristic(a, config), heuristic(b, config), config, owned=True, lsh=lsh)

@@ -7,7 +7,6 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from kindred.config import Config
 from kindred.functions import columns as C
@@ -51,16 +50,3 @@ def cache_path(spark: SparkSession, folder: str, bundle_sha: str, config: Config
     text = lambda x: F.lit(json.dumps(x, sort_keys=True, ensure_ascii=False))
     key = spark.range(1).select(C.cache_key(F.lit(bundle_sha), text(asdict(config)), F.lit(version), text(capabilities)).alias("k")).first().k
     return f"{folder.rstrip('/')}/key={key}"
-
-
-def cached(spark: SparkSession, path: str, schema: str, compute) -> DataFrame:
-    """The table at path, or what compute gives, written there; a table of another shape counts as absent."""
-    wanted = spark.createDataFrame([], schema).schema
-    try:
-        found = spark.read.parquet(path)
-        if [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in wanted]:
-            return found
-    except AnalysisException:
-        pass
-    compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

@@ -22,10 +22,17 @@ def differences(result: dict) -> list[str]:
     a, b, out = result["left"], result["right"], []
     if a["agp"] != b["agp"]:
         out.append(f"AGP: {a['agp'] or 'unknown'} -> {b['agp'] or 'unknown'}")
+    notes = result.get("diagnostics", {})
+    if (signed := notes.get("signing")) and signed["left"] != signed["right"]:
+        out.append(f"signatures: {', '.join(signed['left']) or 'none'} -> {', '.join(signed['right']) or 'none'}")
+    if hard := notes.get("hardening", {}).get("right"):
+        out.append("the right side is hardened" + (", the left one too" if notes["hardening"]["left"] else ""))
+        original = [v.rsplit(":", 1)[1] for v in hard if "originalaabsha256" in v.lower()]
+        out += [f"hardened from {v}, which is {'' if v == a['sha256'] else 'not '}the left side" for v in original[:1]]
     renamed = result["dimensions"].get("resources", {}).get("renamed_matches") or 0
     if renamed:
         out.append(f"resources with another path: {renamed}")
-    for name in ("dex_bytes", "dex"):
+    for name in ("dex_bytes", "dex", "methods"):
         if a["counts"].get(name) != b["counts"].get(name):
             out.append(f"{name}: {a['counts'].get(name)} -> {b['counts'].get(name)}")
     return out or ["none"]
@@ -99,6 +106,16 @@ SCHEMA = {
 }
 
 
+def serialised(result: dict) -> dict:
+    """What analysis.json holds: without the log; of an owned comparison without what only the build says."""
+    out = {k: v for k, v in result.items() if k != "run"}
+    if result["mode"] == "owned":
+        for side in ("left", "right"):
+            head = {k: v for k, v in result[side].items() if k != "agp"}
+            out[side] = head | {"counts": {k: v for k, v in head["counts"].items() if k != "native"}}
+    return out
+
+
 def read(folder: str | Path) -> dict:
     """A result that write() left; findings are tuples again."""
     found = json.loads((Path(folder) / "analysis.json").read_text())
@@ -113,8 +130,9 @@ def write(result: dict, folder: str | Path, *, overwrite: bool = False) -> Path:
     (out / MARKER).touch()
     dump = lambda x: json.dumps(x, ensure_ascii=False, indent=2, sort_keys=True, default=str) + "\n"
     texts = {f"evidence/{d}-{k:03d}.txt": f"{d}\nsimilarity {100 * s:.2f}\nleft  {a}\nright {b}\n" for d, k, a, b, s in result["findings"]}
-    stable = {k: v for k, v in result.items() if k != "run"}
-    (out / "analysis.json").write_text(dump(stable | {"evidence": sorted(texts)}))
+    for name, shown in result.get("snippets", {}).items():  # source around what was found
+        texts[f"evidence/{name}.txt"] += f"\n{shown}\n"
+    (out / "analysis.json").write_text(dump(serialised(result) | {"evidence": sorted(texts)}))
     (out / "analysis.schema.json").write_text(dump(SCHEMA))
     (out / "logs" / "run.json").write_text(dump(result.get("run", {}) | {"mode": result["mode"], "strategy": result.get("strategy"), "selection": result.get("selection")}))
     (out / "report.md").write_text(markdown(result))

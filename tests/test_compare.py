@@ -122,6 +122,19 @@ def test_heuristic(spark, pair):
     assert d["long_methods"]["score"] is None and d["long_methods"]["confidence"] == 0.0 and d["assets"]["confidence"] == 0.4
 
 
+def test_cache(spark, pair, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    plain = compare.compare_archives(spark, *pair, mode="legacy", lsh=False)
+    assert compare.compare_archives(spark, *pair, mode="legacy", lsh=False, cache=cache) == plain
+    folders = sorted((tmp_path / "cache").iterdir())
+    assert len(folders) == 2 and all(f.name.startswith("key=") for f in folders)
+    (folders[0] / "header" / next(p.name for p in (folders[0] / "header").iterdir() if p.name.startswith("part"))).write_text("{}")  # of another shape: a miss
+    made = []
+    monkeypatch.setattr(compare, "profile", lambda *a, f=compare.profile: made.append(a[1]) or f(*a))
+    assert compare.compare_archives(spark, *pair, mode="legacy", lsh=False, cache=cache) == plain and len(made) == 1
+    assert compare.stored(spark, str(tmp_path / "none")) is None
+
+
 def test_unsafe_and_broken(spark, tmp_path):
     bad = bundle(tmp_path / "bad.aab", extra=[("../evil", b"x")])
     with pytest.raises(ValueError, match="unsafe path"):

@@ -12,7 +12,7 @@ from kindred.sources import archive
 
 from .test_compare import bundle
 
-KOTLIN = "package com.app\nclass Main\nfun go() = 1"
+KOTLIN = "package com.app\nclass Main\nfun go() = 1\nfun m0() = 2"
 MANIFEST = '<manifest xmlns:android="http://schemas.android.com/apk/res/android"><application><activity android:name=".Main"/></application></manifest>'
 
 
@@ -102,6 +102,8 @@ def test_owned_from_lock_to_report(spark, built, tmp_path, capsys):
     assert found["strategy"] == "strict" and found["selection"]["status"] == "matched" and score["business_code"] == score["resources"] == score["assets"] == score["manifest"] == 100.0
     assert found["attribution"]["left"]["owned_source"] > 0 and "## Attribution" in (tmp_path / "out/report.md").read_text()
     assert json.loads((tmp_path / "out/analysis.schema.json").read_text())["required"] and set(found["evidence"]) == {f"evidence/{p.name}" for p in (tmp_path / "out/evidence").iterdir()}
+    assert "app/src/main/java/com/app/Main.kt:4" in (tmp_path / "out/evidence/business_code-001.txt").read_text() + (tmp_path / "out/evidence/business_code-002.txt").read_text()
+    assert found["origins"]["left"]["by_source"]["app/src/main/java/com/app/Main.kt"] >= 2 and "agp" not in found["left"] and found["diagnostics"]["agp"] == {"left": "8.1.0", "right": "8.2.0"}
     # an input that changed: the lock no longer holds, auto falls back, owned says so
     source = d / "l/app/src/main/java/com/app/Main.kt"
     source.write_text(KOTLIN + "\nclass More")
