@@ -33,9 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; where they lie in fewer files than there are cores they are dealt out first, since work on texts is
+    done where they are read."""
+    d, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d if len(d.inputFiles()) >= cores else d.repartition(cores)
+
+
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as methods, with the side by parity."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), C.words(F.coalesce("text", F.lit(""))).alias("opcode_tokens"), "lang")
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), C.words(F.coalesce("text", F.lit(""))).alias("opcode_tokens"), "lang")
     t = F.col("opcode_tokens")
     return d.select(
         "ord", F.pmod("ord", F.lit(2)).alias("side"), "opcode_tokens", "lang",
@@ -120,7 +127,7 @@ def q_long_subset_dimension(spark, sf_dir):
 
 
 def files(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     content = F.coalesce("text", F.lit("")).cast("binary")
     norm = F.sha2(F.array_join(C.words(F.coalesce("text", F.lit(""))), " ").cast("binary"), 256)
     return d.select(F.col("doc_id").alias("ord"), F.pmod("doc_id", F.lit(2)).alias("side"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("sha256"), norm.alias("semantic_hash"), "source")
