@@ -213,10 +213,8 @@ SCORED = (
 
 def _scored(spark, sf_dir) -> DataFrame:
     left, right = sides(methods(spark, sf_dir))
-    parts = C.method_sets()
-    pairs = M.inverted_candidates(left, right, C.shingles(F.col("opcode_tokens")))
-    both = pairs.join(left.select(F.col("ord").alias("l"), parts.alias("a")), "l").join(right.select(F.col("ord").alias("r"), parts.alias("b")), "r")
-    return both.select("l", "r", "shared", F.floor(C.set_similarity("a", "b") * 1e6 + 0.5).cast("long").alias("millionths"))
+    pairs = M.compared(M.inverted_candidates(left, right, C.shingles(F.col("opcode_tokens"))), left, right)
+    return pairs.select("l", "r", "shared", F.floor(F.col("sim") * 1e6 + 0.5).cast("long").alias("millionths"))
 
 
 @query(f"with {SCORED} select * from sc")
