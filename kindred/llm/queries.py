@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, embed_dedup, langid, ngram_join, packing, substring_dedup, suffix_dedup, tokens, toxicity, urlrules
+from kindred.llm import decontaminate, embed_dedup, langid, ngram_join, packing, quality, rowmatch, substring_dedup, suffix_dedup, tokens, toxicity, trie, urlrules
 from kindred.llm.common import table
 
 
@@ -83,6 +83,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(remainder(4) != 2)
+    scored = quality.score(documents, quality.fit(documents, labels))
+    return scored.select("doc_id", held_out(4, 2), F.col("quality").alias("score"), (F.col("quality") >= 0.7).cast("int").alias("predicted"))
+
+
+def op12_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rowmatch.match(table(spark, sf_dir, "clicks"))
+    return found.select("client_id", "match_no", "first_id", "last_id", "n_rows", "sum_cents", F.sha2("labels", 256).alias("labels_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.build(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -94,6 +111,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_quality": op11_quality,
+    "op12_row_pattern": op12_row_pattern,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -145,4 +165,36 @@ ORACLE_SQL: dict[str, str] = {
         m as (select node, min(c) as c from r group by node)
         select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id from documents d join m on node = d.doc_id left join n on n.doc_id = d.doc_id
     """,
+    "op12_row_pattern": r"""
+        with recursive d as (select distinct * from clicks where client_id is not null and ts is not null),
+        c as (select client_id, click_id, ts, kind, case when isfinite(value) then floor(100 * value + 0.5)::bigint end as cents, row_number() over (partition by client_id order by ts, click_id nulls first) as n from d),
+        g as (select *, lag(cents) over w as was, coalesce(ts <= lag(ts) over w + interval 15 minute and kind is not null and kind <> 'error', false) as linked from c window w as (partition by client_id order by n)),
+        l as (select *, case when linked and cents < was then 'D' when linked and cents > was then 'U' when linked and cents = was and kind = 'view' then 'E' else 'B' end as letter from g),
+        s as (select *, count(*) filter (letter = 'B') over w as session, count(*) filter (letter in ('B', 'E')) over w as stretch,
+                coalesce(min(n) filter (letter <> 'D') over (partition by client_id order by n rows between 1 following and unbounded following), count(*) over (partition by client_id) + 1) - 1 as falls
+            from l window w as (partition by client_id order by n)),
+        goals as (select client_id, n, cents, stretch, falls from s where kind = 'view' and letter in ('D', 'U') union all select client_id, n, cents, stretch - 1, falls from s where letter = 'E'),
+        p as (select s.client_id, s.n, max(g.n) as p, max_by(g.falls, g.n) as last from s join goals g on g.client_id = s.client_id and g.stretch = s.stretch and g.n > s.n and g.cents >= s.cents group by all),
+        r(client_id, session, n) as (select client_id, session, n from s where letter = 'B'
+            union all select r.client_id, r.session, t.n from r left join p using (client_id, n) join s t on t.client_id = r.client_id and t.session = r.session and t.n = coalesce(p.last, r.n + 1)),
+        m as (select p.*, row_number() over (partition by client_id order by n) as match_no from r join p using (client_id, n))
+        select m.client_id, match_no, max(s.click_id) filter (s.n = m.n) as first_id, max(s.click_id) filter (s.n = last) as last_id, count(*) as n_rows, sum(cents)::bigint as sum_cents,
+            sha256(string_agg(case when s.n = m.n then 'A' when s.n = p then 'P' else letter end, '' order by s.n)) as labels_sha256
+        from m join s on s.client_id = m.client_id and s.n between m.n and last group by m.client_id, match_no
+    """,
+    "op13_prefix_trie": r"""
+        with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first) as k from conversations where conv_id is not null),
+        c as (select distinct conv_id, conv_id - conv_id % 20 as base,
+                xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint), lambda a, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda y, z: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end, xor(a, x)), 4294967295::bigint), 4294967295) % 4 as h from o),
+        t as (select c.conv_id, o.k, role, text from c join o on o.conv_id = c.base and o.k <= h union all select c.conv_id, o.k, role, text from c join o on o.conv_id = c.conv_id and o.k > h),
+        q as (select conv_id, list(sha256(length(role) || ':' || role || text) order by k) as key, list(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) order by k) as words from t group by conv_id),
+        s as (select conv_id, coalesce(key, []) as key, coalesce(words, []) as words from c left join q using (conv_id)),
+        m as (select conv_id, len(key) as size, d, array_to_string(key[1 : d], ',') as node, words[d] as w from (select *, unnest(range(0, len(key) + 1)) as d from s)),
+        n as (select node, d, min(conv_id) as conv_id, count(*) as n, coalesce(any_value(w), 0) as w, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (size = d), '') as ends from m group by node, d),
+        e as (select *, case when d > 0 then substr(node, 1, greatest(65 * d - 66, 0)) end as parent from n),
+        k as (select parent, d - 1 as d, count(*) as n from e where d > 0 group by all),
+        a as (select substr(node, 1, greatest(65 * g - 1, 0)) as node, g as d, sum((n - 1) * w) as saved, count(*) filter (leaf) as leaves from (select e.node, e.n, e.w, k.n is null as leaf, unnest(range(0, e.d + 1)) as g from e left join k on k.parent = e.node and k.d = e.d) group by all)
+        select e.conv_id, e.d as depth, u.conv_id as parent_conv_id, e.n as n_convs, coalesce(k.n, 0)::bigint as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(e.ends) as ends_sha256
+        from e join a on a.node = e.node and a.d = e.d left join k on k.parent = e.node and k.d = e.d left join n u on u.node = e.parent and u.d = e.d - 1
+    """,
 }
