@@ -62,10 +62,15 @@ def hash_bits(hex16: Column) -> Column:
     return F.conv(hex16, 16, -10).cast("long")
 
 
+def text(content: Column) -> Column:
+    """Bytes as text; what is not UTF-8 becomes U+FFFD, so that no file stops a job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def printable_tokens(content: Column) -> Column:
     """Sorted distinct printable tokens of at least three bytes."""
-    text = F.decode(content, "ISO-8859-1")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))))
+    latin = F.decode(content, "ISO-8859-1")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(latin, F.lit(f"({TOKEN})"), F.lit(1))))
 
 
 def semantic_hash(features: Column, content: Column) -> Column:

@@ -267,9 +267,8 @@ def q_hamming_default(spark, sf_dir):
 @query(greedy_sql(f"e as (select l, r, 0 as pref, (1.0 - distance / 64.0)::double as sim from ({HAMMING}) where distance <= 20)", "l", threshold=44 / 64) + " select * from won")
 def q_image_match_1to1(spark, sf_dir):
     """JN-04, AGG-03: one to one within 20 bits."""
-    left, right = sides(images(spark, sf_dir))
-    edges = M.hamming_pairs(left, right, most=20).select("l", "r", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("pref"), (1.0 - F.col("distance") / 64).alias("sim"))
-    return M.resolve(edges, threshold=44 / 64)
+    found = M.match_hashes(*sides(images(spark, sf_dir)), most=20)
+    return found.select("l", "r", (1.0 - F.col("distance") / 64).alias("sim"))
 
 
 # --- sets and multisets ----------------------------------------------------------------------------------------------
@@ -696,12 +695,12 @@ def q_canonicalize(spark, sf_dir):
 @query("select 'La/o' || s_suppkey % 40 || ';' as output, 'Lorg/S' || s_suppkey || ';' as original from supplier where s_suppkey % 4 <> 3")
 def q_r8_parse(spark, sf_dir):
     """FN-19: mapping lines, with comments and members between."""
-    from kindred.sources.parsers import r8_mapping
+    from kindred.sources.parsers import mapping_lines, r8_mapping
 
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey").cast("string")
     line = F.when(F.col("s_suppkey") % 4 == 3, F.concat(F.lit("# org.S"), k, F.lit(" -> x:"))).otherwise(F.concat(F.lit("org.S"), k, F.lit(" -> a.o"), (F.col("s_suppkey") % 40).cast("string"), F.lit(":\n    int f -> a")))
-    return r8_mapping(s.select(line.alias("text")))  # a mapping file a supplier
+    return r8_mapping(mapping_lines(s.select(line.cast("binary").alias("content")), []))  # a mapping file a supplier
 
 
 @query("select n_nationkey, sha256('sha' || n_nationkey || chr(0) || '{\"a\":' || n_regionkey || '}' || chr(0) || '1' || chr(0) || '[]') as key, left(regexp_replace(n_name || ' x/é', '[^A-Za-z0-9._-]+', '_', 'g'), 60) as stem, case when n_regionkey = 0 then 'N/A' else printf('%.2f', n_nationkey / 10.0) end as score from nation")

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +13,8 @@ from kindred.functions import columns as C
 from kindred.operators import attribution as A
 from kindred.operators import matching as M
 from kindred.operators import scoring as S
-from kindred.plans import registry
-from kindred.sources import archive, dex, manifests, parsers
+from kindred.plans import store
+from kindred.sources import archive, dex, files, manifests, parsers, resources
 from kindred.storage import materialise
 
 
@@ -37,6 +33,7 @@ class Profile:
     warnings: list = field(default_factory=list)
     confidence: dict = field(default_factory=dict)
     attribution: dict | None = None
+    inventory: DataFrame | None = None  # type, qualifiers, name, value of the archive's own resource table
 
 
 def ordered(df: DataFrame, *by: str) -> DataFrame:
@@ -48,91 +45,86 @@ def ordered(df: DataFrame, *by: str) -> DataFrame:
     return ranged.join(F.broadcast(before.select("_p", "_low", "_base")), "_p").withColumn("ord", F.col("_i") - F.col("_low") + F.col("_base")).drop("_p", "_i", "_low", "_base")
 
 
+#: A report names so many files that cannot be read.
+MOST_WARNINGS = 1000
+
+#: What is read of an archive, a table each with the column archive.
+TABLES = ("entries", "files", "methods", "images", "manifest", "details", "listed", "build", "resources", "warnings")
+
+
+def fingerprints(spark: SparkSession, path: str, config: Config = Config(), skip: list[str] = ()) -> dict[str, DataFrame]:
+    """The TABLES of all safe archives under path but those to skip, and `problems` (archive, problem) of the others.
+
+    Every archive is read in many tasks, and many archives in the same jobs.
+    """
+    entries = materialise(archive.scan(spark, path, config.archive_limits, content=False, skip=skip), "entries")
+    problems = archive.check(entries, config.archive_limits)
+    based = archive.inventory(entries).where(F.array_contains("modules", "base")).select("archive")
+    none = entries.select("archive").distinct().join(based, "archive", "left_anti").join(problems.select("archive"), "archive", "left_anti")
+    problems = materialise(problems.unionByName(none.withColumn("problem", F.lit("the archive holds no manifest of a base module"))), "problems")
+    unsafe = [r.archive for r in problems.select("archive").collect()]  # of those that the driver lists anyway
+    safe = entries.join(problems.select("archive"), "archive", "left_anti")
+    contents = materialise(archive.scan(spark, path, config.archive_limits, content=True, skip=[*skip, *unsafe]).where("kind is not null").select("archive", "path", "content"), "contents")
+    raw = materialise(dex.scan(safe), "methods")
+    image = contents.where(C.category(F.col("path")) == "image").select("archive", "path", "content", parsers.image_udf("content").alias("i"))
+    xml = contents.where(F.col("path").endswith("/manifest/AndroidManifest.xml")).select("archive", F.split_part("path", F.lit("/"), F.lit(1)).alias("module"), "content")
+    one = contents.where(F.col("path").endswith("dependencies.pb")).select(F.struct("archive", "path").alias("k"), "content")
+    built = contents.where(C.category(F.col("path")) == "build")
+    values = materialise(resources.raw_values(contents), "values")
+    held, covered = resources.inventory(values)
+    features = [
+        safe.where("kind = 'dex'").select("archive", F.concat_ws(":", F.lit("dex-size"), "path", "size").alias("value")),
+        built.select("archive", F.concat(F.lit("entry:"), "path").alias("value")),
+        built.where(F.lower("path").contains("hardening")).select("archive", F.explode(parsers.hardening_features(F.col("content"))).alias("value")),
+        built.where(F.col("path").endswith("app-metadata.properties")).groupBy("archive").agg(F.max(parsers.agp_version(F.col("content"))).alias("agp")).where("agp is not null").select("archive", F.concat(F.lit("agp:"), "agp").alias("value")),
+    ]
+    return {
+        "entries": safe,
+        "files": archive.file_rows(contents, asset_semantic=config.asset_semantic),
+        "methods": dex.method_rows(raw, config),
+        "images": image.select("archive", "path", C.module(F.col("path")).alias("module"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "i.*"),
+        "manifest": xml.select("archive", "module", F.explode(C.manifest_markers(C.printable_tokens(F.col("content")))).alias("value")),
+        "details": xml.withColumn("rows", manifests.elements_udf("content")).select("archive", "module", manifests.details(F.col("rows"), F.col("content")).alias("d")).select("archive", "module", "d.*"),
+        "listed": parsers.dependency_coordinates(one, key="k").select("k.archive", "dependency"),
+        "build": reduce(DataFrame.unionByName, features).distinct(),
+        "resources": held,
+        "warnings": raw.where("warning is not null").select("archive", "warning").unionByName(resources.coverage_warnings(covered)).distinct(),
+        "problems": problems,
+    }
+
+
+def assemble(spark: SparkSession, t: dict[str, DataFrame], path: str, sha256: str, config: Config = Config()) -> Profile:
+    """The profile of one archive from its rows of the TABLES."""
+    counts = archive.inventory(t["entries"]).first()
+    methods = t["methods"].drop("archive")
+    dependencies = t["listed"].select("dependency").unionByName(A.implicit_dependencies(methods, config.third_party_prefixes)).distinct()
+    dependencies = materialise(dependencies, "dependencies")
+    methods = ordered(A.classify_methods(methods, dependencies), "identifier", "dex_path", "position")
+    agp = t["build"].where("startswith(value, 'agp:')").select(F.max(F.substr("value", F.lit(5)))).first()[0]
+    totals = {k: counts[k] for k in ("entries", "dex", "native", "assets", "resources", "manifests")}
+    totals["dex_bytes"] = t["entries"].where("kind = 'dex'").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    totals |= S.method_counts(methods, config).first().asDict() | {"images": t["images"].count()}
+    fixed = [f"module:{m}" for m in counts.modules] + [f"count:{k}:{totals[k]}" for k in ("dex", "native", "assets", "resources", "manifests")]
+    build = t["build"].select("value").unionByName(spark.createDataFrame([(x,) for x in fixed], "value string")).distinct()
+    warnings = sorted(r.warning for r in t["warnings"].select("warning").limit(MOST_WARNINGS).collect())
+    header = {"path": path, "sha256": sha256, "modules": list(counts.modules), "agp": agp, "counts": totals}
+    own = lambda name: t[name].drop("archive")
+    held = own("resources") if t["entries"].where("kind = 'table'").limit(1).count() else None
+    return Profile(header, ordered(own("files"), "path"), methods, ordered(own("images"), "path"), own("manifest"), own("details"), dependencies, build, warnings, inventory=held)
+
+
 def profile(spark: SparkSession, path: str, config: Config = Config()) -> Profile:
     """Everything that the comparison needs of one archive; what breaks the safety rules is an error."""
-    entries = materialise(archive.entries(spark, path, config.archive_limits), "entries")
-    bad = archive.check(entries, config.archive_limits).first()
+    t = fingerprints(spark, path, config)
+    bad = t["problems"].first()
     if bad:
         raise ValueError(f"{bad.archive}: {bad.problem}")
-    inventory = archive.inventory(entries).first()
-    if inventory is None or "base" not in inventory.modules:
-        raise ValueError("the archive holds no manifest of a base module")
-    contents = materialise(archive.contents(spark, path, config.archive_limits), "contents")
-    files = ordered(archive.file_rows(contents, asset_semantic=config.asset_semantic).drop("archive"), "path")
-    raw = materialise(dex.raw_methods(contents), "methods")
-    warnings = [r.warning for r in raw.where("warning is not null").select("warning").collect()]
-    methods = dex.method_rows(raw, config).drop("archive")
-    image = contents.where(C.category(F.col("path")) == "image").select("path", "content", parsers.image_udf("content").alias("i"))
-    images = image.select("path", C.module(F.col("path")).alias("module"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "i.*")
-    xml = contents.where(F.col("path").endswith("/manifest/AndroidManifest.xml")).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("module"), "content")
-    manifest = xml.select("module", F.explode(C.manifest_markers(C.printable_tokens(F.col("content")))).alias("value"))
-    details = xml.withColumn("rows", manifests.elements_udf("content")).select("module", manifests.details(F.col("rows"), F.col("content")).alias("d")).select("module", "d.*")
-    listed = parsers.dependency_coordinates(contents.where(F.col("path").endswith("dependencies.pb"))).select("dependency")
-    dependencies = materialise(listed.unionByName(A.implicit_dependencies(methods, config.third_party_prefixes)).distinct(), "dependencies")
-    methods = ordered(A.classify_methods(methods, dependencies), "identifier", "dex_path", "position")
-    built = contents.where(C.category(F.col("path")) == "build")
-    agp = built.where(F.col("path").endswith("app-metadata.properties")).select(F.max(parsers.agp_version(F.col("content")))).first()[0]
-    dexes = contents.where(F.col("path").endswith(".dex") & F.col("path").contains("/dex/"))
-    counts = {k: inventory[k] for k in ("entries", "dex", "native", "assets", "resources", "manifests")}
-    counts["dex_bytes"] = dexes.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
-    counts |= S.method_counts(methods, config).first().asDict() | {"images": images.count()}
-    fixed = [f"module:{m}" for m in inventory.modules] + [f"count:{k}:{counts[k]}" for k in ("dex", "native", "assets", "resources", "manifests")] + ([f"agp:{agp}"] if agp else [])
-    parts = [
-        spark.createDataFrame([(x,) for x in fixed], "value string"),
-        dexes.select(F.concat_ws(":", F.lit("dex-size"), "path", F.octet_length("content")).alias("value")),
-        built.select(F.concat(F.lit("entry:"), "path").alias("value")),
-        built.where(F.lower("path").contains("hardening")).select(F.explode(parsers.hardening_features(F.col("content"))).alias("value")),
-    ]
-    header = {"path": path, "sha256": files.sparkSession.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0], "modules": list(inventory.modules), "agp": agp, "counts": counts}
-    return Profile(header, files, methods, ordered(images, "path"), manifest, details, dependencies, reduce(DataFrame.unionByName, parts).distinct(), warnings)
-
-
-#: What a stored profile consists of, besides its header; VERSION changes whenever their meaning does.
-TABLES = ("files", "methods", "images", "manifest", "details", "dependencies", "build")
-VERSION = "2"
-
-
-def stored(spark: SparkSession, folder: str) -> Profile | None:
-    """The profile that store() left; null where there is none, or one of another shape."""
-    try:
-        lines = spark.read.text(f"{folder}/header").collect()  # one line
-        header = json.loads(lines[0].value)
-        tables = {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES}
-        schemas, warnings = header.pop("schemas"), header.pop("warnings")
-    except (PySparkException, Py4JJavaError, ValueError, LookupError, AttributeError):  # unreadable is as good as absent
-        return None
-    if {t: tables[t].schema.simpleString() for t in TABLES} != schemas or not {"path", "sha256", "modules", "agp", "counts"} <= set(header):
-        return None
-    return Profile(header, **tables, warnings=warnings)
-
-
-def store(p: Profile, folder: str) -> None:
-    """Writes the tables beside and renames them: a profile is there whole or not at all."""
-    spark = p.files.sparkSession
-    beside = f"{folder}.{uuid.uuid4().hex}"
-    for t in TABLES:
-        getattr(p, t).write.parquet(f"{beside}/{t}")
-    schemas = {t: getattr(p, t).schema.simpleString() for t in TABLES}
-    spark.createDataFrame([(json.dumps(p.header | {"schemas": schemas, "warnings": p.warnings}),)], "value string").coalesce(1).write.text(f"{beside}/header")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(folder), True)
-    if not fs.rename(path(beside), path(folder)):
-        fs.delete(path(beside), True)  # another run was first
+    return assemble(spark, t, path, files.digests(spark, path).first().sha256, config)
 
 
 def cached_profile(spark: SparkSession, path: str, config: Config, cache: str | None) -> Profile:
-    """profile(), from a folder of stored ones by content and settings where one is named."""
-    if cache is None:
-        return profile(spark, path, config)
-    sha = archive.found(spark, path).select(F.sha2("content", 256)).first()[0]
-    folder = registry.cache_path(spark, cache, sha, config, VERSION, {})
-    held = stored(spark, folder)
-    if held is None:
-        store(profile(spark, path, config), folder)
-        held = stored(spark, folder)
-    held.header["path"] = path
-    return held
+    """profile(), through a store of fingerprints where one is named."""
+    return profile(spark, path, config) if cache is None else store.profile(spark, path, config, cache)
 
 
 def heuristic(p: Profile, config: Config = Config()) -> Profile:
@@ -255,6 +247,7 @@ def strict(p: Profile, owners: DataFrame, mapping: DataFrame, resources: DataFra
     counted = methods.select("origin").unionByName(files.select("origin")).unionByName(manifest.select("origin"))
     warnings, share = list(p.warnings), 1.0
     kept = files.where(own)
+    inventory = p.inventory if inventory is None else inventory
     if inventory is not None:
         values = F.exists(F.split("source_path", "/"), lambda x: (x == "values") | x.startswith("values-"))
         last = A.last_writer(resources.where(values & (F.col("category") == "resource")), ["type", "qualifiers", "name"], "seq").where(own)

@@ -1,16 +1,10 @@
-"""Cache, registry and lock state."""
+"""Registry and lock state."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.config import Config
-from kindred.functions import columns as C
-
 
 def pair_key(left: F.Column, right: F.Column) -> F.Column:
     """Of an ordered pair of paths."""
@@ -44,9 +38,3 @@ def stale(artifacts: DataFrame, inputs: DataFrame, evidence: DataFrame, *, gap_s
     e = evidence.withColumnRenamed("modified", "at").join(artifacts, "side").join(by, ["side", "category"], "left")
     old = (F.col("modified") - F.col("at") > gap_seconds) | (F.coalesce("newest", F.lit(0)) > F.col("at"))
     return a.unionByName(e.where(old).select("side", F.concat("role", F.lit(" is stale")).alias("problem")))
-
-
-def cache_path(spark: SparkSession, folder: str, bundle_sha: str, config: Config, version: str, capabilities: dict) -> str:
-    text = lambda x: F.lit(json.dumps(x, sort_keys=True, ensure_ascii=False))
-    key = spark.range(1).select(C.cache_key(F.lit(bundle_sha), text(asdict(config)), F.lit(version), text(capabilities)).alias("k")).first().k
-    return f"{folder.rstrip('/')}/key={key}"

@@ -1,27 +1,164 @@
-"""Archives as tables: directory entries, safety checks before anything is decompressed, and contents."""
+"""Archives as tables: directory entries, safety checks before anything is decompressed, and contents.
+
+`spark.read.format("kindred_archive")` is a data source.  Its partitions are byte ranges of archives: a task reads the directory at an
+archive's end by ranged reads, and then those entries alone that begin in its range, so an archive of any size is read
+by many tasks and never held whole.  Filters on kind, path and size reach it: an entry that they drop is not decompressed.
+"""
 
 from __future__ import annotations
 
-import io
 import zipfile
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.types import StructType
 
 from kindred import schemas
 from kindred.config import ArchiveLimits
 from kindred.functions import columns as C
-from kindred.sources import parsers
+from kindred.sources import files, parsers
 
 
 BATCH_BYTES = 8 << 20
+#: Bytes of an archive that one task reads.
+SPLIT_BYTES = 32 << 20
 #: Stands for an archive that is not opened: position -1, its own size.
 UNREAD = -1
 
-
-def found(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path)
+#: Entries as schemas.ENTRIES has them, with their kind (null: of no use to any table) and, if asked for, content.
+ENTRIES = schemas.ENTRIES + ", kind string"
+
+
+def kind(name: str) -> str | None:
+    """What an entry is to the tables; None if no table uses it."""
+    s = name.split("/")
+    second = s[1] if len(s) > 1 else ""
+    if name.endswith("/") or not name:
+        return None
+    if name.endswith(".dex") and "/dex/" in name:
+        return "dex"
+    if name.endswith("/manifest/AndroidManifest.xml"):
+        return "manifest"
+    if len(s) == 2 and second == "resources.pb":
+        return "table"
+    if len(s) >= 3 and second in ("res", "assets"):
+        return "resource" if second == "res" else "asset"
+    if len(s) >= 4 and second == "lib" and name.endswith(".so"):
+        return "native"
+    return "build" if name == "BundleConfig.pb" or name.startswith(("BUNDLE-METADATA/", "META-INF/")) else None
+
+
+@dataclass
+class Range(InputPartition):
+    """Of an archive the entries whose headers begin at low up to before high."""
+
+    archive: str
+    size: int
+    low: int
+    high: int
+
+
+#: Filters that a scan applies itself: of a value, and with the filter.
+TESTS = {
+    EqualTo: lambda v, f: v == f.value,
+    In: lambda v, f: v in f.value,
+    IsNotNull: lambda v, f: v is not None,
+    StringStartsWith: lambda v, f: v.startswith(f.value),
+    StringEndsWith: lambda v, f: v.endswith(f.value),
+    StringContains: lambda v, f: f.value in v,
+    LessThan: lambda v, f: v < f.value,
+    LessThanOrEqual: lambda v, f: v <= f.value,
+    GreaterThan: lambda v, f: v > f.value,
+    GreaterThanOrEqual: lambda v, f: v >= f.value,
+}
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, options, schema: StructType):
+        self.path, self.skip = options["path"], set(filter(None, options.get("skip", "").split("\n")))
+        self.most, self.split = int(options.get("maxInputSize", ArchiveLimits().max_input_size)), int(options.get("splitBytes", SPLIT_BYTES))
+        self.names, self.filters = schema.names, []
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if type(f) in TESTS and f.attribute[0] in ("kind", "path", "size", "compressed_size") and len(f.attribute) == 1:
+                self.filters.append(f)
+            else:
+                yield f
+
+    def partitions(self):
+        out = []
+        for archive, size in files.listed(self.path):
+            if archive in self.skip:
+                continue
+            whole = "content" not in self.names or size > self.most
+            cuts = [0] if whole else range(0, max(size, 1), self.split)
+            out += [Range(archive, size, low, size if whole else low + self.split) for low in cuts]
+        return out or [Range("", -1, 0, 0)]
+
+    def _kept(self, row: dict) -> bool:
+        """As SQL has it: a filter on a null does not hold."""
+        return all((v := row[f.attribute[0]]) is not None and TESTS[type(f)](v, f) for f in self.filters)
+
+    def read(self, part: Range):
+        if part.size < 0:
+            return
+        unread = {"archive": part.archive, "path": None, "size": part.size, "compressed_size": part.size, "crc": 0, "mode": 0, "position": UNREAD, "kind": None, "content": None}
+        rows, held = [], 0
+        system, inner = files.located(part.archive)
+        with system.open_input_file(inner) as f:
+            try:
+                z = zipfile.ZipFile(f) if part.size <= self.most else None
+            except (zipfile.BadZipFile, pa.ArrowInvalid):  # the latter where a file is shorter than any directory
+                z = None
+            if z is None:
+                rows = [unread] if part.low == 0 and self._kept(unread) else []
+            for k, i in enumerate(z.infolist() if z else ()):
+                if not part.low <= i.header_offset < max(part.high, 1):
+                    continue
+                name = i.filename.replace("\\", "/")
+                row = {"archive": part.archive, "path": name, "size": i.file_size, "compressed_size": i.compress_size, "crc": i.CRC, "mode": i.external_attr >> 16, "position": k, "kind": kind(name)}
+                if not self._kept(row):
+                    continue
+                if "content" in self.names:
+                    row["content"] = b"" if name.endswith("/") else z.read(i)
+                    held += i.file_size
+                rows.append(row)
+                if held > BATCH_BYTES or len(rows) >= 10_000:  # small entries go together, memory stays bounded
+                    yield self._batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[dict]) -> pa.RecordBatch:
+        types = {"size": pa.int64(), "compressed_size": pa.int64(), "crc": pa.int64(), "mode": pa.int32(), "position": pa.int32(), "content": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in self.names], self.names)
+
+
+class ArchiveSource(DataSource):
+    """format("kindred_archive"): options path (a file, folder or glob), splitBytes, maxInputSize, skip (archives, a line each).
+    Give a schema without content to read directories only."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "kindred_archive"
+
+    def schema(self) -> str:
+        return ENTRIES + ", content binary"
+
+    def reader(self, schema: StructType) -> ArchiveReader:
+        return ArchiveReader(self.options, schema)
+
+
+def scan(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimits(), *, content: bool, skip: list[str] = (), split: int | None = None) -> DataFrame:
+    """Entries of every archive under path; content: what they hold as well."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ArchiveSource)
+    reader = spark.read.format(ArchiveSource.name()).options(path=path, splitBytes=split or SPLIT_BYTES, maxInputSize=limits.max_input_size, skip="\n".join(skip))
+    return reader.schema(ENTRIES + (", content binary" if content else "")).load()
 
 
 def entries(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
@@ -29,25 +166,7 @@ def entries(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimit
 
     An archive over the size limit, or one that is no archive, is a single row without a path, at position -1.
     """
-
-    def run(parts):
-        for part in parts:
-            rows = []
-            for archive, content, length in zip(part["path"], part["content"], part["length"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        rows += [(archive, i.filename.replace("\\", "/"), i.file_size, i.compress_size, i.CRC, i.external_attr >> 16, k) for k, i in enumerate(z.infolist())]
-                except zipfile.BadZipFile:
-                    rows.append((archive, None, length, length, 0, 0, UNREAD))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schemas.ENTRIES.split(", ")])
-
-    files = found(spark, path)
-    small = files.where(F.col("length") <= limits.max_input_size).select("path", "content", "length").mapInPandas(run, schemas.ENTRIES)
-    large = files.where(F.col("length") > limits.max_input_size)  # the contents of these are not read
-    none = F.lit(None).cast("string")
-    row = [F.col("path").alias("archive"), none, F.col("length"), F.col("length"), F.lit(0), F.lit(0), F.lit(UNREAD)]
-    row = [c.cast(f.dataType).alias(f.name) for c, f in zip(row, small.schema, strict=True)]
-    return small.unionByName(large.select(*row))
+    return scan(spark, path, limits, content=False)
 
 
 def violations(entries: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
@@ -92,35 +211,12 @@ def inventory(entries: DataFrame) -> DataFrame:
     return entries.where("path <> ''").groupBy("archive").agg(F.count("*").alias("entries"), *[F.count_if(v).alias(k) for k, v in kinds.items()], modules.alias("modules"))
 
 
-def contents(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimits(), *, pruned: bool = True) -> DataFrame:
+def contents(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimits(), *, pruned: bool = True, split: int | None = None) -> DataFrame:
     """(archive, path, content) of the entries of safe archives; pruned: only of kinds that any table uses."""
-    bad = check(entries(spark, path, limits), limits).select(F.col("archive").alias("path"))
-    suffixes = ("/manifest/AndroidManifest.xml",)
-
-    def wanted(name: str) -> bool:
-        s = name.split("/")
-        if not pruned or name.endswith(suffixes) or (name.endswith(".dex") and "/dex/" in name):
-            return True
-        kind = s[1] if len(s) > 1 else ""
-        return (len(s) >= 3 and kind in ("res", "assets")) or (len(s) >= 4 and kind == "lib" and name.endswith(".so")) or name == "BundleConfig.pb" or name.startswith(("BUNDLE-METADATA/", "META-INF/"))
-
-    def run(parts):
-        for part in parts:
-            rows, size = [], 0
-            for archive, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for i in z.infolist():
-                        name = i.filename.replace("\\", "/")
-                        if not name.endswith("/") and wanted(name):
-                            rows.append((archive, name, z.read(i)))
-                            size += i.file_size
-                        if size > BATCH_BYTES:  # small entries go together, memory stays bounded
-                            yield pd.DataFrame(rows, columns=["archive", "path", "content"])
-                            rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["archive", "path", "content"])
-
-    files = found(spark, path).where(F.col("length") <= limits.max_input_size).select("path", "content").join(bad, "path", "left_anti")
-    return files.mapInPandas(run, "archive string, path string, content binary")
+    # a row a broken archive goes to the driver, which lists all archives anyway
+    bad = [r.archive for r in check(entries(spark, path, limits), limits).select("archive").collect()]
+    held = scan(spark, path, limits, content=True, skip=bad, split=split)
+    return (held.where("kind is not null") if pruned else held.where("path is not null and not endswith(path, '/')")).select("archive", "path", "content")
 
 
 def file_rows(contents: DataFrame, *, asset_semantic: str = "reference") -> DataFrame:
@@ -150,7 +246,7 @@ def embedded_mapping(contents: DataFrame) -> DataFrame:
     """(output, original, entry, sha256) of the mapping in an archive: of the usual entry, else of the first other one, by
     name, that has any line to use."""
     named = F.col("path").startswith("BUNDLE-METADATA/") & (F.col("path").endswith("proguard.map") | F.col("path").endswith("mapping.txt"))
-    files = contents.where(named).select("path", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
-    rows = parsers.r8_mapping(files, key="path")
+    held = contents.where(named).select("path", F.sha2("content", 256).alias("sha256"), "content")
+    rows = parsers.r8_mapping(parsers.mapping_lines(held, ["path"]), key="path")
     first = rows.agg(F.min(F.struct(F.col("path") != MAPPING, "path")).alias("x")).select("x.path")
-    return rows.join(F.broadcast(first), "path").join(files.select("path", "sha256"), "path").select("output", "original", F.col("path").alias("entry"), "sha256")
+    return rows.join(F.broadcast(first), "path").join(held.select("path", "sha256"), "path").select("output", "original", F.col("path").alias("entry"), "sha256")

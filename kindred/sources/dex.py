@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kindred.config import Config
 from kindred.functions import columns as C
+from kindred.sources import files
 
 _KINDS = ("", "-wide", "-object", "-boolean", "-byte", "-char", "-short")
 _TYPES = ("int", "long", "float", "double")
@@ -119,9 +121,13 @@ class Dex:
             yield name, output
             pos += length
 
-    def methods(self):
-        """(class, name, descriptor, instructions) of every method with a body."""
-        for k in range(self.n_classes):
+    def methods(self, part: int = 0, parts: int = 1):
+        """(position, class, name, descriptor, instructions) of every method with a body, of one of several ranges of classes.
+
+        The bodies of earlier ranges are counted, not read: the count is what a position starts from.
+        """
+        low, high, position = self.n_classes * part // parts, self.n_classes * (part + 1) // parts, 0
+        for k in range(high):
             at = struct.unpack_from("<I", self.data, self.classes_at + 32 * k + 24)[0]
             if not at:
                 continue
@@ -139,35 +145,66 @@ class Dex:
                     _, at = self.uleb(at)
                     code, at = self.uleb(at)
                     index += step
-                    if code and (body := list(self.instructions(code))):
-                        yield *self.method(index), body
+                    if not code or not struct.unpack_from("<I", self.data, code + 12)[0]:
+                        continue
+                    if k >= low:
+                        yield position, *self.method(index), list(self.instructions(code))
+                    position += 1
 
 
 RAW = "archive string, dex_path string, position int, class_name string, method_name string, descriptor string, instructions array<struct<name:string,output:string>>, warning string"
+#: Bytes of a DEX file that one task decodes.
+SPLIT_BYTES = 1 << 20
+ROWS = 2000
+
+
+def _decoded(archive: str, path: str, data: bytes, part: int, parts: int):
+    """Frames of RAW of one range of a file; what cannot be read is one row with a warning, of the range that meets it."""
+    names, rows = [x.split()[0] for x in RAW.split(", ")], []
+    try:
+        for k, owner, name, proto, body in Dex(data).methods(part, parts):
+            rows.append((archive, path, k, owner, name, proto, [{"name": n, "output": o} for n, o in body], None))
+            if len(rows) == ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+    except (ValueError, struct.error, IndexError, UnicodeError) as error:
+        rows.append((archive, path, -1, None, None, None, None, f"{path}: {error}"))
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def raw_methods(contents: DataFrame) -> DataFrame:
-    """One row a method body; a file that cannot be read gives one row with a warning."""
-    names = [x.split()[0] for x in RAW.split(", ")]
+    """One row a method body of the DEX files among contents; a file that cannot be read gives one row with a warning."""
 
     def run(parts):
         for part in parts:
             for archive, path, data in part.itertuples(index=False):
-                rows = []
-                try:
-                    for k, (owner, name, proto, body) in enumerate(Dex(bytes(data)).methods()):
-                        rows.append((archive, path, k, owner, name, proto, [{"name": n, "output": o} for n, o in body], None))
-                        if len(rows) == 2000:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-                except (ValueError, struct.error, IndexError, UnicodeError) as error:
-                    rows.append((archive, path, -1, None, None, None, None, f"{path}: {error}"))
-                yield pd.DataFrame(rows, columns=names)
+                yield from _decoded(archive, path, bytes(data), 0, 1)
 
     wanted = contents.where(F.col("path").endswith(".dex") & F.col("path").contains("/dex/")).select("archive", "path", "content")
     return wanted.mapInPandas(run, RAW)
 
 
+def scan(entries: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
+    """raw_methods() of the DEX files of safe archives, straight from the archives: entries as sources.archive lists them.
+
+    A file is dealt out as ranges of classes, about one for every `split` bytes, each to a task that takes the file out of its archive and
+    decodes its own range; so the largest file does not decide how long the scan takes.  Every range that meets what is broken says so.
+    """
+
+    def run(parts):
+        for part in parts:
+            for archive, path, position, k, n in part.itertuples(index=False):
+                system, inner = files.located(archive)
+                with system.open_input_file(inner) as f, zipfile.ZipFile(f) as z:
+                    yield from _decoded(archive, path, z.read(z.infolist()[position]), k, n)
+
+    n = F.greatest(F.ceil(F.col("size") / split), F.lit(1)).cast("int")
+    ranges = entries.where("kind = 'dex'").select("archive", "path", "position", n.alias("parts"), F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    ranges = ranges.select("archive", "path", "position", "part", "parts")
+    return ranges.repartition(entries.sparkSession.sparkContext.defaultParallelism, "archive", "path", "part").mapInPandas(run, RAW)
+
+
 def method_rows(raw: DataFrame, config: Config = Config()) -> DataFrame:
     """Fingerprints of raw methods of at least the configured size, third-party ones marked."""
     x = C.canonical(F.col("instructions"))

@@ -12,8 +12,10 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kindred.functions import columns as C
 
@@ -156,12 +158,43 @@ def resource_dump(dumps: DataFrame, key: str = "archive", text: str = "text") ->
 
 # --- mappings, dependencies ---
 
+#: Lines that are cut out at once.
+LINES = 20_000
 
-def r8_mapping(mappings: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
-    """(output, original) class descriptors of mapping files, by key if one is named; several originals may have one output."""
+
+def mapping_lines(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, at, line) of the lines of mapping files that may name a class, with their byte offsets.
+
+    A file's bytes are scanned where they lie: lines that are indented, empty or comments are never cut out, so a mapping need not become
+    one array of strings; bytes that are no UTF-8 become U+FFFD.
+    """
+    own = files.select(*keys, F.col(content).alias("content"))
+    types = [own.schema[k] for k in keys]
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                data = batch.column(len(keys))[r].as_buffer()
+                raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+                ends = np.flatnonzero((raw == 10) | (raw == 13))
+                start, stop = np.concatenate([[0], ends + 1]), np.append(ends, len(raw))
+                some = stop > start
+                start, stop = start[some], stop[some]
+                plain = ~np.isin(raw[start], (9, 11, 12, 32, 35))  # blank or #
+                start, stop = start[plain], stop[plain]
+                for low in range(0, len(start), LINES):
+                    lines = [bytes(raw[i:j]) for i, j in zip(start[low : low + LINES], stop[low : low + LINES], strict=True)]
+                    found = [(int(i), x.decode("utf-8", "replace")) for i, x in zip(start[low : low + LINES], lines, strict=True) if b" -> " in x]
+                    columns = [pa.array([batch.column(k)[r].as_py()] * len(found), batch.schema.field(k).type) for k in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], [*keys, "at", "line"])
+
+    return own.mapInArrow(run, StructType([*types, StructField("at", LongType()), StructField("line", StringType())]))
+
+
+def r8_mapping(lines: DataFrame, key: str | None = None) -> DataFrame:
+    """(output, original) class descriptors of a mapping's lines, by key if one is named; several originals may have one output."""
     own = [key] if key else []
-    lines = mappings.select(*own, F.explode(F.split(text, "\r\n|\r|\n")).alias("line"))
-    lines = lines.where((F.col("line") != "") & ~F.col("line").rlike(r"^\s") & ~F.col("line").startswith("#") & F.col("line").contains(" -> "))
+    lines = lines.select(*own, "line").where((F.col("line") != "") & ~F.col("line").rlike(r"^\s") & ~F.col("line").startswith("#") & F.col("line").contains(" -> "))
     pair = F.split("line", " -> ", 2)
     original, output = F.trim(F.get(pair, F.lit(0))), F.trim(F.regexp_replace(F.get(pair, F.lit(1)), ":$", ""))
     return lines.select(*own, C.descriptor(output).alias("output"), C.descriptor(original).alias("original"), output.alias("o"), original.alias("i")).where("o <> '' and i <> ''").select(*own, "output", "original").distinct()
@@ -182,12 +215,12 @@ def dependency_coordinates(contents: DataFrame, key: str = "path") -> DataFrame:
 
 
 def agp_version(content: F.Column) -> F.Column:
-    return F.nullif(F.regexp_extract(F.decode(content, "UTF-8"), r"androidGradlePluginVersion=([^\r\n]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(C.text(content), r"androidGradlePluginVersion=([^\r\n]+)", 1), F.lit(""))
 
 
 def hardening_features(content: F.Column) -> F.Column:
     """`hardening:present`, and the SHA-256 values of a JSON object under keys that name them."""
-    given = F.from_json(F.decode(content, "UTF-8"), "map<string,string>")
+    given = F.from_json(C.text(content), "map<string,string>")
     keep = F.map_filter(given, lambda k, v: F.lower(k).contains("sha256") & v.rlike("^[0-9a-fA-F]{64}$"))
     listed = F.transform(F.map_entries(keep), lambda x: F.concat(F.lit("hardening:"), x.key, F.lit(":"), F.lower(x.value)))
     return F.concat(F.array(F.lit("hardening:present")), F.coalesce(listed, F.array().cast("array<string>")))

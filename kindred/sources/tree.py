@@ -63,7 +63,7 @@ def owners(files: DataFrame, variant: str, *, source_roots: list[str], generated
     path = F.col("path")
     s, base = F.split(path, "/"), C.base_name(path)
     at, folders = _places(path)
-    text = F.decode("content", "UTF-8")
+    text = C.text(F.col("content"))
     names = (
         F.when(F.col("category") == "manifest", F.array(F.concat(F.lit("manifest:"), path)))
         .when(F.col("category") == "asset", F.array(F.concat(F.lit("asset:"), F.array_join(F.slice(s, at + 1, F.size(s)), "/"))))

@@ -85,9 +85,9 @@ def bundle(path, renamed=False, code=True, extra=()):
 
 def test_dex():
     rows = list(dex.Dex(tiny_dex([BODY, [0x001A, 0, 0x000E]])).methods())
-    assert [(r[0], r[1], r[2]) for r in rows] == [("Lcom/app/Main;", "m0", "()V"), ("Lcom/app/Main;", "m1", "()V")]
-    assert [n for n, _ in rows[0][3]] == ["const/4"] * 14 + ["if-eqz", "goto", "return-void"]
-    assert rows[1][3][0] == ("const-string", '"Lcom/app/Main;"')
+    assert [r[:4] for r in rows] == [(0, "Lcom/app/Main;", "m0", "()V"), (1, "Lcom/app/Main;", "m1", "()V")]
+    assert [n for n, _ in rows[0][4]] == ["const/4"] * 14 + ["if-eqz", "goto", "return-void"]
+    assert rows[1][4][0] == ("const-string", '"Lcom/app/Main;"')
     assert dex.OPCODES[0xE2][0] == "ushr-int/lit8" and dex.OPCODES[0xCF][0] == "rem-double/2addr" and dex.OPCODES[0x3D][0] == "if-lez" and dex.OPCODES[0x8F][0] == "int-to-short"
 
 
@@ -122,17 +122,70 @@ def test_heuristic(spark, pair):
     assert d["long_methods"]["score"] is None and d["long_methods"]["confidence"] == 0.0 and d["assets"]["confidence"] == 0.4
 
 
-def test_cache(spark, pair, tmp_path, monkeypatch):
-    cache = str(tmp_path / "cache")
-    plain = compare.compare_archives(spark, *pair, mode="legacy", lsh=False)
-    assert compare.compare_archives(spark, *pair, mode="legacy", lsh=False, cache=cache) == plain
-    folders = sorted((tmp_path / "cache").iterdir())
-    assert len(folders) == 2 and all(f.name.startswith("key=") for f in folders)
-    (folders[0] / "header" / next(p.name for p in (folders[0] / "header").iterdir() if p.name.startswith("part"))).write_text("{}")  # of another shape: a miss
-    made = []
-    monkeypatch.setattr(compare, "profile", lambda *a, f=compare.profile: made.append(a[1]) or f(*a))
-    assert compare.compare_archives(spark, *pair, mode="legacy", lsh=False, cache=cache) == plain and len(made) == 1
-    assert compare.stored(spark, str(tmp_path / "none")) is None
+def test_store(spark, pair, tmp_path, monkeypatch):
+    from kindred.plans import store
+    from kindred.streaming import inbox
+
+    cache, read = str(tmp_path / "cache"), []
+    monkeypatch.setattr(compare, "fingerprints", lambda *a, f=compare.fingerprints: read.append(a[1]) or f(*a))
+    plain, kept = compare.profile(spark, pair[0]), [compare.cached_profile(spark, p, config.Config(), cache) for p in pair][0]
+    assert len(read) == 3 and kept.header == plain.header and kept.warnings == plain.warnings and kept.inventory is None
+    for name in ("files", "methods", "images", "manifest", "details", "dependencies", "build"):
+        assert sorted(map(str, getattr(kept, name).collect())) == sorted(map(str, getattr(plain, name).collect())), name
+    # a second run reads no archive, nor does a folder of equal ones
+    read.clear()
+    (tmp_path / "in").mkdir()
+    for name, source in (("a.aab", pair[0]), ("b.aab", pair[1]), ("c.aab", pair[0])):
+        (tmp_path / "in" / name).write_bytes(open(source, "rb").read())
+    assert store.fill(spark, str(tmp_path / "in"), config.Config(), cache).count() == 3 and not read
+    # the stream reads what is new, once; a batch that comes again changes nothing
+    bundle(tmp_path / "in" / "d.aab", extra=[("base/assets/more.bin", b"more")])
+    with zipfile.ZipFile(tmp_path / "in" / "e.aab", "w") as z:
+        z.writestr("../evil", b"x")
+    when = lambda: {p: p.stat().st_mtime_ns for p in sorted((tmp_path / "cache").rglob("*.parquet"))}
+    inbox.profiles(spark, str(tmp_path / "in"), config.Config(), cache, str(tmp_path / "cp1")).awaitTermination()
+    assert len(read) == 1 and store.done(spark, cache).count() == 4
+    before = when()
+    inbox.profiles(spark, str(tmp_path / "in"), config.Config(), cache, str(tmp_path / "cp2")).awaitTermination()
+    assert len(read) == 1 and when() == before
+    with pytest.raises(ValueError, match="unsafe path"):
+        compare.cached_profile(spark, str(tmp_path / "in/e.aab"), config.Config(), cache)
+    assert compare.cached_profile(spark, str(tmp_path / "in/d.aab"), config.Config(), cache).files.where("path = 'base/assets/more.bin'").count() == 1
+    # other settings are other keys
+    assert store.keys(spark, pair[0], config.Config(min_method_instructions=5)).first().key != store.keys(spark, pair[0], config.Config()).first().key
+
+
+def test_archive_source(spark, tmp_path):
+    from kindred.sources import archive
+
+    path = tmp_path / "big.aab"
+    with zipfile.ZipFile(path, "w") as z:
+        for i in range(3000):
+            z.writestr(f"base/{('assets', 'res/raw', 'none')[i % 3]}/f{i:04d}.bin", bytes([i % 251]) * (i % 400))
+    rows = archive.contents(spark, str(path), split=50_000)
+    assert rows.rdd.getNumPartitions() > 5 and rows.count() == 2000
+    assert {r.path: r.content for r in rows.collect()} == {f"base/{('assets', 'res/raw')[i % 3]}/f{i:04d}.bin": bytes([i % 251]) * (i % 400) for i in range(3000) if i % 3 < 2}
+    # kinds and paths are decided in the scan
+    some = archive.scan(spark, str(path), content=True, split=50_000).where("kind = 'asset' and startswith(path, 'base/assets/f00') and size > 10")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert some.count() == sum(i % 400 > 10 for i in range(0, 100, 3)) and "Filter" not in plan.split("BatchScan")[0]
+    # several archives, broken ones among them
+    (tmp_path / "bad.aab").write_bytes(b"PK no archive")
+    got = archive.entries(spark, f"{tmp_path}/*.aab").groupBy("archive").count().collect()
+    assert sorted((r.archive.rsplit("/", 1)[1], r["count"]) for r in got) == [("bad.aab", 1), ("big.aab", 3000)]
+    assert archive.contents(spark, str(tmp_path), pruned=False).count() == 3000
+
+
+def test_ranges_of_a_dex_file(spark, tmp_path):
+    from kindred.sources import archive
+
+    path = bundle(tmp_path / "a.aab", extra=[("base/dex/classes2.dex", b"dex\nno")])
+    entries = archive.entries(spark, path)
+    whole = sorted(map(str, dex.raw_methods(archive.contents(spark, path)).where("warning is null").collect()))
+    parts = dex.scan(entries, split=100)
+    assert sorted(map(str, parts.where("warning is null").collect())) == whole and parts.where("warning is not null").select("dex_path").distinct().count() == 1
+    data = zipfile.ZipFile(path).read("base/dex/classes.dex")
+    assert len([k for part in range(4) for k, *_ in dex.Dex(data).methods(part, 4)]) == len(whole)
 
 
 def test_unsafe_and_broken(spark, tmp_path):

@@ -118,7 +118,7 @@ def test_resource_dump(spark):
 
 def test_r8_mapping(spark):
     text = "# note\na.b.C -> x.y:\n    int f -> a\na.b.D -> x.y:\n\n -> z:\nq.R -> s:"
-    got = parsers.r8_mapping(spark.createDataFrame([(text,)], "text string")).collect()
+    got = parsers.r8_mapping(parsers.mapping_lines(spark.createDataFrame([(text.encode(),)], "content binary"), [])).collect()
     assert sorted(map(tuple, got)) == [("Ls;", "Lq/R;"), ("Lx/y;", "La/b/C;"), ("Lx/y;", "La/b/D;")]
 
 

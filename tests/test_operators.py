@@ -10,6 +10,7 @@ from kindred.functions import columns as C
 from kindred.operators import attribution as A
 from kindred.operators import matching as M
 from kindred.operators import scoring as S
+from kindred.operators.graph import components
 from kindred.plans import registry
 from kindred.sources import archive
 
@@ -32,8 +33,10 @@ def sequential(edges, threshold, cap):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_resolve(spark, seed):
+@pytest.mark.parametrize(("seed", "settled"), [(0, 200_000), (1, 0), (2, 4), (3, 12)])
+def test_resolve(spark, monkeypatch, seed, settled):
+    """In one task, in rounds alone, and with components of several sizes: always the sequential outcome."""
+    monkeypatch.setattr(M, "SETTLED", settled)
     dice = random.Random(seed)
     pairs = {(dice.randrange(12), dice.randrange(10)) for _ in range(45)}
     edges = [(a, b, dice.randrange(2), dice.randrange(4), dice.choice([0.5, 0.7, 0.8, 0.9])) for a, b in sorted(pairs)]
@@ -66,8 +69,30 @@ def test_file_match(spark):
     assert {r.l: r.r for r in M.match_files(left, right).collect()} == {0: 0, 2: 1}
 
 
+def test_components(spark):
+    dice = random.Random(3)
+    links = [(dice.randrange(90), dice.randrange(90)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)]
+    low = {x: x for pair in links for x in pair}
+    for _ in low:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: low[x] for a, b in links if a != b for x in (a, b)}
+
+
+def test_a_left_waits_only_for_those_that_can_win(spark, monkeypatch):
+    """Edges below the threshold decide nothing: a chain of them takes no round each."""
+    monkeypatch.setattr(M, "SETTLED", 0)
+    rounds, kept = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, what: rounds.append(what) or kept(df, what))
+    edges = [(i, i + k, 0, 1, 0.9 if k else 0.2) for i in range(20) for k in (0, 1)]
+    got = M.resolve(spark.createDataFrame(edges, schemas.EDGES), threshold=0.7, cap=30).collect()
+    assert {r.l: r.r for r in got} == {i: i + 1 for i in range(20)} and rounds.count("matches") <= 3
+
+
 def test_file_match_takes_a_round_for_a_group(spark, monkeypatch):
     """A hot content is decided by rank: neither its pairs are listed nor is a round needed for each left."""
+    monkeypatch.setattr(M, "SETTLED", 0)
     rounds, kept = [], M.materialise
     monkeypatch.setattr(M, "materialise", lambda df, what: rounds.append(what) or kept(df, what))
     hot = files(spark, [("p", 10, "hot", "m")] * 40)
@@ -75,7 +100,9 @@ def test_file_match_takes_a_round_for_a_group(spark, monkeypatch):
     assert rounds.count("matches") == 1
 
 
-def test_file_match_of_mixed_groups(spark):
+@pytest.mark.parametrize("settled", [0, 200_000])
+def test_file_match_of_mixed_groups(spark, monkeypatch, settled):
+    monkeypatch.setattr(M, "SETTLED", settled)
     dice = random.Random(5)
     make = lambda n: [("p", 10, dice.choice("ABCDE"), dice.choice(["m", "n", None])) for _ in range(n)]
     left, right = make(24) + [("p", 10, f"own{i}", dice.choice("mn")) for i in range(6)], make(20)
@@ -99,6 +126,38 @@ def test_image_threshold(spark):
     assert {(r.l, r.r, r.sim) for r in got} == {(0, 0, 54 / 64), (2, 2, 1.0)}
 
 
+@pytest.mark.parametrize(("seed", "settled"), [(0, 0), (1, 0), (2, 50), (3, 200_000)])
+def test_image_classes_follow_the_sequential_rule(spark, monkeypatch, seed, settled):
+    """Few hashes, many equal images, contents without a hash or with several."""
+    monkeypatch.setattr(M, "SETTLED", settled)
+    dice = random.Random(seed)
+    base = [dice.getrandbits(64) for _ in range(3)]
+    hashes = base + [base[0] ^ 7, base[0] ^ 0xFF, base[1] ^ 1, None]
+    make = lambda n: [(dice.choice(hashes), dice.choice("abcd")) if dice.random() < 0.5 else (base[0], "a") for _ in range(n)]
+    left, right = make(30), make(25)
+    used, wanted = set(), {}
+    for i, (h, s) in enumerate(left):
+        best = None
+        for k, (g, t) in enumerate(right):
+            apart = 0 if s == t else 65 if h is None or g is None else bin(h ^ g).count("1")
+            if k not in used and apart <= 10 and (best is None or apart < best[0]):
+                best = (apart, k)
+        if best:
+            used.add(best[1])
+            wanted[i] = (best[1], 1 - best[0] / 64)
+    table = lambda rows: spark.createDataFrame([(i, f"{h:016x}" if h is not None else None, s) for i, (h, s) in enumerate(rows)], "ord long, perceptual_hash string, sha256 string")
+    assert {r.l: (r.r, r.sim) for r in M.match_images(table(left), table(right)).collect()} == wanted
+
+
+def test_hot_images_take_one_round(spark, monkeypatch):
+    monkeypatch.setattr(M, "SETTLED", 0)
+    rounds, kept = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, what: rounds.append(what) or kept(df, what))
+    hot = spark.range(10_000).select(F.col("id").alias("ord"), F.lit("00ff00ff00ff00ff").alias("perceptual_hash"), F.lit("same").alias("sha256"))
+    assert M.match_images(hot, hot.where("ord >= 100")).where("sim = 1 and r = l + 100").count() == 9_900
+    assert rounds.count("matches") == 1
+
+
 def test_banding_loses_nothing(spark):
     dice = random.Random(1)
     make = lambda: [dice.getrandbits(64) - (1 << 63) for _ in range(20)]
