@@ -1,5 +1,6 @@
 """Strict ownership from settings to a report: evidence, lock, registry, command line."""
 
+import hashlib
 import json
 import os
 import zipfile
@@ -34,11 +35,15 @@ def project(root, *, embedded=True, renamed=False):
     for f, dependency in ((final, "true"), (own, "false")):
         f.parent.mkdir(parents=True)
         f.write_text(f'<merger><dataSet from-dependency="{dependency}"><source path="{res}"><file path="{res}/{name}.xml" type="layout" name="{name}" qualifiers=""/></source></dataSet></merger>')
-    mapping = "com.app.Main -> com.app.Main:\n"
+    mapping = b"# \xff\xfe\ncom.app.Main -> com.app.Main:\r\n    int x -> a\ncom.\xff.Bad -> b.\xfe:\n"
+    (root / "app/src/main/java/com/app/Bytes.java").write_bytes(b"package com.app; class Bytes { String s = \"\xff\"; }")
     disk = root / "app/build/outputs/mapping/demoRelease/mapping.txt"
     disk.parent.mkdir(parents=True)
-    disk.write_text(mapping)
+    disk.write_bytes(mapping)
     extra = [(archive.MAPPING, "# nothing\n"), ("BUNDLE-METADATA/z/mapping.txt", mapping)] if embedded else []
+    report = root / "app/build/reports/hardening/demoRelease/bundle-verification.json"
+    report.parent.mkdir(parents=True)
+    report.write_bytes(b'{"variant": "demo\xffRelease"}')  # no report of this variant
     bundle(root / "app.aab", renamed=renamed, extra=extra)
     return root
 
@@ -81,7 +86,8 @@ def test_settings(built, change, said):
 def test_embedded_mapping(spark, built):
     d, _ = built
     rows = archive.embedded_mapping(archive.contents(spark, str(d / "l/app.aab"))).collect()
-    assert [(r.output, r.original, r.entry) for r in rows] == [("Lcom/app/Main;", "Lcom/app/Main;", "BUNDLE-METADATA/z/mapping.txt")]
+    found = {(r.output, r.original, r.entry) for r in rows}
+    assert found == {(a, b, "BUNDLE-METADATA/z/mapping.txt") for a, b in (("Lcom/app/Main;", "Lcom/app/Main;"), ("Lb/\ufffd;", "Lcom/\ufffd/Bad;"))}
     assert archive.embedded_mapping(archive.contents(spark, str(d / "r/app.aab"))).count() == 0
 
 
@@ -93,7 +99,7 @@ def test_owned_from_lock_to_report(spark, built, tmp_path, capsys):
     assert command.main(["prepare", str(path), "--registry", registry]) == 0
     lock = json.loads((d / "pair.lock").read_text())
     roles = {n: sorted(x["role"] for x in s["evidence"]) for n, s in lock["sides"].items()}
-    assert roles["left"] == ["artifact", "embedded-mapping", "final", "module-package", *["source"] * 4] and roles["right"] == ["artifact", "final", "mapping", "module-package", *["source"] * 4]
+    assert roles["left"] == ["artifact", "embedded-mapping", "final", "module-package", *["source"] * 5] and roles["right"] == ["artifact", "final", "mapping", "module-package", *["source"] * 5]
     assert ownership.Registry(registry).lookup(*pair)[:2] == ("matched", path) and ownership.Registry(registry).lookup(*pair[::-1])[0] == "missing"
     # the registered pair is compared by ownership
     assert command.main([*pair, str(tmp_path / "out"), "--registry", registry]) == 0
@@ -119,6 +125,23 @@ def test_owned_from_lock_to_report(spark, built, tmp_path, capsys):
         source.write_text(KOTLIN)
 
 
+def test_what_changes_after_the_lock_does_not_reach_the_result(spark, built, tmp_path):
+    d, path = built
+    given = ownership.load(path)
+    e = ownership.gather(spark, given.left)
+    artifact, source = d / "l/app.aab", d / "l/app/src/main/java/com/app/Main.kt"
+    held = artifact.read_bytes()
+    try:
+        bundle(artifact, code=False)
+        source.write_text("package com.app\nclass Other")
+        p = ownership.profile(spark, e)
+        assert p.header["path"] == str(artifact) and p.header["sha256"] == hashlib.sha256(held).hexdigest() and p.methods.count() == 2
+        assert {r.identifier for r in e.owners.where("category = 'code'").collect()} == {"Lcom/app/Main;", "Lcom/app/MainKt;", "Lcom/app/Bytes;"}
+    finally:
+        artifact.write_bytes(held)
+        source.write_text(KOTLIN)
+
+
 def test_a_lock_is_never_written_over_something_else(spark, built, tmp_path):
     d, path = built
     given = ownership.load(path)
