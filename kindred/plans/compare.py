@@ -13,7 +13,7 @@ from kindred.functions import columns as C
 from kindred.operators import attribution as A
 from kindred.operators import matching as M
 from kindred.operators import scoring as S
-from kindred.plans import store
+from kindred.plans import report, store
 from kindred.sources import archive, dex, files, manifests, parsers, resources
 from kindred.storage import materialise
 
@@ -196,6 +196,7 @@ def compare(left: Profile, right: Profile, config: Config = Config(), *, owned:
     out = {"mode": "owned" if owned else "legacy", "left": left.header, "right": right.header, "dimensions": {r["key"]: r for r in rows}, "findings": findings, "warnings": sorted({*left.warnings, *right.warnings}), "attribution": {"left": left.attribution, "right": right.attribution}, "aggregate": None}
     listed = {s: [r.value for r in p.build.orderBy("value").collect()] for s, p in (("left", left), ("right", right))}  # of one archive each
     out["diagnostics"] = diagnostics(out["left"], out["right"], listed)
+    out["differences"] = report.difference_rows(left.files.sparkSession, out)
     if owned:
         out["origins"] = {s: origins(p) for s, p in (("left", left), ("right", right))}
         dependencies = {s: [r[0] for r in p.dependencies.orderBy("dependency").collect()] for s, p in (("left", left), ("right", right))}

@@ -11,13 +11,21 @@ def pair_key(left: F.Column, right: F.Column) -> F.Column:
     return F.sha2(F.concat(left, F.lit("\0"), right).cast("binary"), 256)
 
 
+#: The ladder of a pair's status: the first of these that applies.
+SAID = {"missing": "the pair is not registered", "invalid": "the record cannot be used for this pair", "stale": "what the record names has changed or gone", "matched": "the pair is registered"}
+
+
+def status(recorded: bool, valid: bool, holds: bool) -> str:
+    return next(name for name, applies in zip(SAID, (not recorded, not valid, not holds, True), strict=True) if applies)
+
+
 def pair_status(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """pairs with status: no record is missing, an invalid one invalid, other contents stale, else matched."""
+    """pairs with status(): whether there is a record, is valid, and holds the contents of both sides."""
     keyed = records.select(pair_key(F.col("left_path"), F.col("right_path")).alias("_key"), F.col("left_sha").alias("_l"), F.col("right_sha").alias("_r"))
     out = pairs.withColumn("_key", pair_key(F.col("left_path"), F.col("right_path"))).join(keyed, "_key", "left")
-    same = (F.lower("_l") == F.lower("left_sha")) & (F.lower("_r") == F.lower("right_sha"))
-    status = F.when(F.col("_l").isNull(), "missing").when(~F.col("valid"), "invalid").when(~same, "stale").otherwise("matched")
-    return out.withColumn("status", status).drop("_key", "_l", "_r")
+    facts = (F.col("_l").isNotNull(), F.col("valid"), (F.lower("_l") == F.lower("left_sha")) & (F.lower("_r") == F.lower("right_sha")))
+    ladder = F.coalesce(*[F.when(~fact, F.lit(name)) for name, fact in zip(SAID, facts, strict=False)], F.lit("matched"))
+    return out.withColumn("status", ladder).drop("_key", "_l", "_r")
 
 
 def state_differences(now: DataFrame, locked: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARKER = ".kindred-report"
@@ -17,25 +17,42 @@ def metric_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "metric", "full_outer").where(~F.col("left").eqNullSafe(F.col("right")))
 
 
-def differences(result: dict) -> list[str]:
-    """What sets the two builds apart, besides the scores."""
-    a, b, out = result["left"], result["right"], []
-    if a["agp"] != b["agp"]:
-        out.append(f"AGP: {a['agp'] or 'unknown'} -> {b['agp'] or 'unknown'}")
-    notes = result.get("diagnostics", {})
-    if (signed := notes.get("signing")) and signed["left"] != signed["right"]:
-        out.append(f"signatures: {', '.join(signed['left']) or 'none'} -> {', '.join(signed['right']) or 'none'}")
-    if hard := notes.get("hardening", {}).get("right"):
-        out.append("the right side is hardened" + (", the left one too" if notes["hardening"]["left"] else ""))
-        original = [v.rsplit(":", 1)[1] for v in hard if "originalaabsha256" in v.lower()]
-        out += [f"hardened from {v}, which is {'' if v == a['sha256'] else 'not '}the left side" for v in original[:1]]
+#: What sets two builds apart besides the scores: a metric, and its value on a side, from the profile's header and its notes.
+METRICS = {
+    "AGP": lambda header, notes: header["agp"],
+    "signatures": lambda header, notes: ", ".join(notes["signing"]),
+    "hardening": lambda header, notes: "present" if notes["hardening"] else None,
+    "bytes of DEX files": lambda header, notes: header["counts"].get("dex_bytes"),
+    "DEX files": lambda header, notes: header["counts"].get("dex"),
+    "methods": lambda header, notes: header["counts"].get("methods"),
+}
+ORIGINAL = "hardening:originalaabsha256:"
+
+
+def build_metrics(result: dict) -> list[tuple[str, str, str | None]]:
+    """(side, metric, value) of a comparison; a hardened right side names the bundle it was made from, which may be the left one."""
+    rows = []
+    for side in ("left", "right"):
+        notes = {k: v[side] for k, v in result["diagnostics"].items() if side in v}
+        rows += [(side, name, None if (x := value(result[side], notes)) in (None, "") else str(x)) for name, value in METRICS.items()]
+    made_from = [v[len(ORIGINAL) :] for v in result["diagnostics"]["hardening"]["right"] if v.lower().startswith(ORIGINAL)]
+    if made_from:
+        rows += [("left", "bundle before hardening", result["left"]["sha256"]), ("right", "bundle before hardening", made_from[0])]
     renamed = result["dimensions"].get("resources", {}).get("renamed_matches") or 0
-    if renamed:
-        out.append(f"resources with another path: {renamed}")
-    for name in ("dex_bytes", "dex", "methods"):
-        if a["counts"].get(name) != b["counts"].get(name):
-            out.append(f"{name}: {a['counts'].get(name)} -> {b['counts'].get(name)}")
-    return out or ["none"]
+    return rows + [("left", "resources with another path", "0"), ("right", "resources with another path", str(renamed))]
+
+
+def difference_rows(spark: SparkSession, result: dict) -> list[list]:
+    """metric_differences() of a comparison's build_metrics(), in their order."""
+    rows = build_metrics(result)
+    table = spark.createDataFrame(rows, "side string, metric string, value string")
+    of = lambda side: table.where(F.col("side") == side).select("metric", "value")
+    order = list(dict.fromkeys(name for _, name, _ in rows))
+    return sorted(([r.metric, r.left, r.right] for r in metric_differences(of("left"), of("right")).collect()), key=lambda r: order.index(r[0]))
+
+
+def differences(result: dict) -> list[str]:
+    return [f"{metric}: {left or 'none'} -> {right or 'none'}" for metric, left, right in result.get("differences", ())] or ["none"]
 
 
 def cell(text) -> str:
