@@ -105,6 +105,12 @@ def attribute_files(files: DataFrame, resources: DataFrame, assets: DataFrame) -
     return files.select("ord").join(found, "ord", "left").select("ord", F.coalesce("origin", F.lit("UNRESOLVED")).alias("origin"), "source_path")
 
 
+def value_owners(resources: DataFrame) -> DataFrame:
+    """Of the resources that a values file backs the last writer of each (type, qualifiers, name)."""
+    backed = F.exists(F.split("source_path", "/"), lambda x: (x == "values") | x.startswith("values-"))
+    return last_writer(resources.where(backed & (F.col("category") == "resource")), ["type", "qualifiers", "name"], "seq")
+
+
 def expected_inventory(expected: DataFrame, inventory: DataFrame) -> DataFrame:
     """Every expected (type, qualifiers, name) with the value found, or the label of what is missing."""
     keys = ["type", "qualifiers", "name"]

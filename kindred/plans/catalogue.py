@@ -459,17 +459,29 @@ LADDER = f"""c as (select p_partkey as ord, {CLASS} as class_name, p_size > 45 a
 
 @query(f"with {LADDER} select ord, origin, confidence from o")
 def q_method_ladder(spark, sf_dir):
-    """PRJ-08, PRJ-09."""
+    """PRJ-09."""
     x = C.method_origin(F.col("class_name"), F.col("third_party"), ("Lapp/main/",), config.THIRD_PARTY_PREFIXES)
     return classes(spark, sf_dir).select("ord", x.alias("x")).select("ord", "x.origin", "x.confidence")
 
 
 @query(f"with {LADDER} select {', '.join(f'''count(*) filter (where coalesce(origin, 'UNRESOLVED') = '{k}') as {k.lower()}''' for k in config.ORIGINS)} from o")
 def q_attribution_summary(spark, sf_dir):
-    """AGG-09, AGG-10."""
+    """AGG-09."""
     return S.attribution_summary(q_method_ladder(spark, sf_dir), config.ORIGINS)
 
 
+@query(f"with {LADDER} select count(*) as candidate_methods, count(*) filter (where not third_party) as methods, count(*) filter (where not third_party and instruction_count >= 20) as long_methods from c")
+def q_method_counts(spark, sf_dir):
+    """AGG-10: candidates, those that are no third party's, and the long ones of these."""
+    return S.method_counts(classes(spark, sf_dir), config.Config(long_method_min_instructions=20))
+
+
+@query("select source as source_path, count(*) as n from documents where source is not null group by all")
+def q_source_counts(spark, sf_dir):
+    """AGG-08: rows of each source file."""
+    return S.source_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("source_path")))
+
+
 @query("select coalesce(nullif(source, 'src0'), 'UNRESOLVED') as origin, count(*) as n from documents group by all")
 def q_origin_counts(spark, sf_dir):
     """AGG-08."""
@@ -715,13 +727,15 @@ def q_cache_key(spark, sf_dir):
 # --- windows, order, reports ------------------------------------------------------------------------------------------------
 
 
-@query(f"with {EXACT} select l, r, least(l_n, r_n) as mass, (row_number() over (order by least(l_n, r_n) desc, l))::int as rank from ex order by rank limit 50")
+@query(f"with {EXACT} select (row_number() over (order by least(l_n, r_n) desc, l))::int as rank, l::varchar as \"left\", r::varchar as \"right\", 1.0::double as sim from ex order by rank limit 50")
 def q_topk_findings(spark, sf_dir):
-    """SRT-01, SRT-02, SRT-03, SRT-04, WIN-06."""
+    """SRT-01, SRT-02, SRT-03, SRT-04, WIN-06: the product's own ranking of what a dimension found."""
+    from kindred.plans import compare
+
     left, right = sides(methods(spark, sf_dir))
     pairs = M.exact_match(left, right, "canonical_hash").join(left.select(F.col("ord").alias("l"), F.col("instruction_count").alias("a")), "l").join(right.select(F.col("ord").alias("r"), F.col("instruction_count").alias("b")), "r")
-    top = pairs.select("l", "r", F.least("a", "b").alias("mass")).orderBy(F.desc("mass"), "l").limit(50)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mass"), "l")))  # 50 rows
+    pairs = pairs.select("l", F.col("l").cast("string").alias("left"), F.col("r").cast("string").alias("right"), F.lit(1.0).alias("sim"), F.least("a", "b").alias("mass"))
+    return compare.top_findings(pairs, 50, F.desc(F.col("sim") * F.col("mass")), "l")
 
 
 @query(

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from kindred import config
 from kindred.functions import columns as C
+from kindred.operators import attribution as A
 from kindred.plans import compare, registry, report
 from kindred.plans.catalogue import CLASS, PRINTABLE, _any, query, table
-from kindred.sources import archive, dex, manifests, parsers, tree
+from kindred.sources import archive, dex, manifests, parsers, resources, tree
 
 
 def part(spark, sf_dir, **columns: str) -> DataFrame:
@@ -54,8 +55,65 @@ def q_owned_manifest(spark, sf_dir):
     return p.where("x is not null").select("p_partkey", lines("x").alias("elements"))
 
 
+@query("select distinct 'Lapp/p' || p_size % 7 || '/' as prefix from part where p_partkey % 11 <> 0")
+def q_inferred_prefixes(spark, sf_dir):
+    """PRJ-08: class prefixes of the packages that manifests name."""
+    d = part(spark, sf_dir, content=f"cast({MANIFEST} as binary)").withColumn("rows", manifests.elements_udf("content")).select(manifests.details(F.col("rows"), F.col("content")).alias("d"))
+    return compare.inferred_prefixes(d.select("d.*"))
+
+
 # --- resources -------------------------------------------------------------------------------------------------------------
 
+
+@query(
+    """select type, qualifiers, name, max_by(source_path, seq) as source_path from (select 'string' as type, case when l_linenumber = 2 then 'de' else '' end as qualifiers, 's' || l_partkey % 500 as name, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey as seq,
+    'src/' || case l_orderkey % 4 when 0 then 'values' when 1 then 'values-de' when 2 then 'layout' else 'valuesX' end || '/f' || l_suppkey || '.xml' as source_path, case when l_returnflag = 'N' then 'image' else 'resource' end as category from lineitem where l_orderkey % 4 < 2) where category = 'resource' group by all"""
+)
+def q_value_owners(spark, sf_dir):
+    """JN-10: the last writer of every value that a values file backs."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.lit("string").alias("type"), F.when(F.col("l_linenumber") == 2, "de").otherwise("").alias("qualifiers"), F.concat(F.lit("s"), F.col("l_partkey") % 500).alias("name"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")).alias("seq"),
+        F.expr("'src/' || case l_orderkey % 4 when 0 then 'values' when 1 then 'values-de' when 2 then 'layout' else 'valuesX' end || '/f' || l_suppkey || '.xml'").alias("source_path"), F.when(F.col("l_returnflag") == "N", "image").otherwise("resource").alias("category"),
+    )
+    return A.value_owners(rows).select("type", "qualifiers", "name", "source_path")
+
+
+def message(field: int, *parts: Column) -> Column:
+    """A field of a protocol buffer that holds bytes, with its length in two bytes."""
+    byte = lambda x: F.unhex(F.lpad(F.hex(x.cast("long")), 2, "0"))
+    # one element, so that the body is written once however deep messages lie in one another
+    whole = lambda b: F.concat(F.lit(bytes([field << 3 | 2])), byte(F.octet_length(b) % 128 + 128), byte(F.floor(F.octet_length(b) / 128)), b)
+    return F.get(F.transform(F.array(F.concat(*parts)), whole), F.lit(0))
+
+
+def varint(x: Column) -> Column:
+    """Of a number below 2**35, in five bytes."""
+    part = lambda k: F.unhex(F.lpad(F.hex(F.shiftrightunsigned(x, 7 * k).bitwiseAND(F.lit(127)) + (128 if k < 4 else 0)), 2, "0"))
+    return F.concat(*[part(k) for k in range(5)])
+
+
+@query(
+    """select s_suppkey, r[1] as type, r[2] as qualifiers, r[3] as name, r[4] as value, 4::bigint as declared, 3::bigint as covered from (select s_suppkey, unnest([
+    ['string', '', 'title', '"n ' || s_suppkey || '"'], ['string', 'de', 'title', '@x/' || s_nationkey], ['bool', 'night-v33', 'on', 'true'], ['color', '', 'c' || s_suppkey, '#ff1020' || printf('%02x', s_nationkey)]]) as r from supplier)"""
+)
+def q_resource_table(spark, sf_dir):
+    """SRC-07: the same from the binary table; the last value wins, what is not known has none and is not covered."""
+    text = lambda field, x: message(field, (F.expr(x) if isinstance(x, str) else x).cast("binary"))
+    raw = lambda *x: F.lit(bytes(x))
+    item = lambda *x: message(2, message(4, *x))
+    value = lambda item, *config: message(6, message(1, *config) if config else message(1, raw()), item)
+    entry = lambda name, *values: message(3, text(2, name), *values)
+    kind = lambda name, *entries: message(3, text(2, f"'{name}'"), *entries)
+    string = lambda x: item(message(2, text(1, x)))
+    title = entry("'title'", value(string("'old'")), value(string(r"'n \n ' || s_suppkey")), value(item(message(1, text(3, "'x/' || s_nationkey"))), text(3, "'de'")))
+    on = entry("'on'", value(item(message(7, raw(0x40, 1))), raw(0x88, 1, 1, 0xC0, 1, 33)))
+    color = entry("'c' || s_suppkey", value(item(message(7, raw(0x48), varint(F.expr("4279246848L + s_nationkey"))))))
+    mystery = entry("'odd'", value(string("'no'"), raw(0x08, 5)))
+    table_bytes = message(2, text(2, "'app'"), kind("string", title, mystery), kind("bool", on), kind("color", color))
+    held = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("archive"), F.lit("base/resources.pb").alias("path"), table_bytes.alias("content"))
+    values, covered = resources.inventory(resources.raw_values(held))
+    return values.join(covered, "archive").select(F.col("archive").cast("long").alias("s_suppkey"), "type", "qualifiers", "name", "value", "declared", F.col("covered").cast("long").alias("covered"))
+
 MERGER = """'<merger><dataSet config="m" from-dependency="' || case when c_custkey % 2 = 0 then 'True' else 'false' end || '"><source path="/p"><file path="/p/' || c_custkey || '.xml" qualifiers="' || case when c_custkey % 3 = 0 then 'land' else '' end
     || '"><string name="s' || c_custkey || '"/><item type="id" name="i' || c_nationkey || '"/><item name="none"/></file><file name="d' || c_custkey || '" path="/p/' || c_custkey || '.png" type="drawable"/><file><color name="c"/></file></source></dataSet></merger>'"""
 
@@ -149,10 +207,19 @@ def q_feature_cap(spark, sf_dir):
     return archive.file_rows(pages).select("path", "module", "category", lines("features").alias("features"), "size", "sha256")
 
 
-@query("select 'base/lib/x86/n' || p_partkey || '.so' as path, array_to_string(list_sort(['binary', 'lib' || p_partkey || '.so', 'chunk:' || substr(sha1('lib' || p_partkey || '.so ' || p_name), 1, 16)]), chr(10)) as features from part")
+#: A library of one section of eight bytes, before and after the number of its machine.
+ELF = ("7f454c460201010000000000000000000300", "01000000" + "00" * 16 + "4000000000000000" + "00000000" + "400000000000" + "400003000200" + "00" * 64, "01000000" + "01000000" + "00" * 16 + "0001000000000000" + "0800000000000000" + "00" * 24, "07000000" + "03000000" + "00" * 16 + "0801000000000000" + "1100000000000000" + "00" * 24, "002e74657874002e736873747274616200")
+_ELF = "unhex('{0}') || unhex(case when p_partkey % 4 = 0 then '3e00' else 'b700' end) || unhex('{1}{2}{3}') || {t} || unhex('{4}')"
+
+
+@query(
+    f"""select 'base/lib/x86/n' || p_partkey || '.so' as path, case when p_partkey % 2 = 0 then array_to_string(list_sort(['elf', 'arch:' || case when p_partkey % 4 = 0 then 62 else 183 end, 'text:' || sha256('T' || lpad(p_partkey::varchar, 7, '0')), 'chunk:' || substr(sha1({_ELF.format(*ELF, t="encode('T' || lpad(p_partkey::varchar, 7, '0'))")}), 1, 16)]), chr(10))
+    else array_to_string(list_sort(['binary', 'lib' || p_partkey || '.so', 'chunk:' || substr(sha1('lib' || p_partkey || '.so ' || p_name), 1, 16)]), chr(10)) end as features from part"""
+)
 def q_native_features(spark, sf_dir):
-    """FN-09: of a library that is no ELF file."""
-    p = part(spark, sf_dir, archive="'a'", path="'base/lib/x86/n' || p_partkey || '.so'", content="cast('lib' || p_partkey || '.so ' || p_name as binary)").drop("p_partkey")
+    """FN-09: of ELF libraries, with machine and code, and of files that are none."""
+    elf = _ELF.format(*ELF, t="cast('T' || lpad(cast(p_partkey as string), 7, '0') as binary)")
+    p = part(spark, sf_dir, archive="'a'", path="'base/lib/x86/n' || p_partkey || '.so'", content=f"case when p_partkey % 2 = 0 then {elf} else cast('lib' || p_partkey || '.so ' || p_name as binary) end").drop("p_partkey")
     return archive.file_rows(p).select("path", lines("features").alias("features"))
 
 

@@ -127,10 +127,14 @@ def cached_profile(spark: SparkSession, path: str, config: Config, cache: str |
     return profile(spark, path, config) if cache is None else store.profile(spark, path, config, cache)
 
 
+def inferred_prefixes(details: DataFrame) -> DataFrame:
+    """Class prefixes of the packages that manifests name: what is under them is the application's own."""
+    return details.where("package is not null").select(F.concat(F.lit("L"), F.regexp_replace(F.replace("package", F.lit("."), F.lit("/")), "/+$", ""), F.lit("/")).alias("prefix")).distinct()
+
+
 def heuristic(p: Profile, config: Config = Config()) -> Profile:
     """Only what seems the application's own, by the names of classes, files and manifest entries."""
-    packages = [r.package for r in p.details.where("package is not null").select("package").distinct().collect()]  # a row a module
-    business = (*config.business_prefixes, *sorted("L" + x.replace(".", "/").rstrip("/") + "/" for x in packages))
+    business = (*config.business_prefixes, *sorted(r.prefix for r in inferred_prefixes(p.details).collect()))  # a row a module
     listed = [r.p for r in p.dependencies.select(C.dependency_prefix(F.col("dependency")).alias("p")).where("p is not null").distinct().collect()]
     public = tuple(sorted({*config.third_party_prefixes, *listed}))
     methods = p.methods.withColumn("_x", C.method_origin(F.col("class_name"), F.col("third_party"), business, public)).select("*", "_x.origin", F.col("_x.confidence").alias("_c")).drop("_x")
@@ -152,11 +156,17 @@ def _pairs(matches: DataFrame, left: DataFrame, right: DataFrame, weight: str, t
     return materialise(matches.join(a, "l").join(b, "r"), "pairs")
 
 
+def top_findings(pairs: DataFrame, most: int, *order) -> DataFrame:
+    """(rank, left, right, sim) of the first `most` pairs."""
+    top = pairs.orderBy(*order).limit(most)
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "left", "right", "sim")  # of so few rows
+
+
 def _dimension(key: str, pairs: DataFrame, left: DataFrame, right: DataFrame, weight: str, policy: str, config: Config, order) -> tuple[dict, list]:
     row = S.finalize(S.mass(pairs, left, right, weight), policy).first().asDict()
     renamed = pairs.agg(F.count_if(F.col("left") != F.col("right"))).first()[0]
-    top = pairs.orderBy(*order).limit(config.max_findings_per_dimension).select("left", "right", "sim").collect()
-    return row | {"key": key, "renamed_matches": renamed}, [(key, k + 1, r.left, r.right, r.sim) for k, r in enumerate(top)]
+    top = top_findings(pairs, config.max_findings_per_dimension, *order).orderBy("rank").collect()
+    return row | {"key": key, "renamed_matches": renamed}, [(key, r["rank"], r.left, r.right, r.sim) for r in top]
 
 
 def compare(left: Profile, right: Profile, config: Config = Config(), *, owned: bool = False, lsh: bool = True) -> dict:
@@ -250,8 +260,7 @@ def strict(p: Profile, owners: DataFrame, mapping: DataFrame, resources: DataFra
     kept = files.where(own)
     inventory = p.inventory if inventory is None else inventory
     if inventory is not None:
-        values = F.exists(F.split("source_path", "/"), lambda x: (x == "values") | x.startswith("values-"))
-        last = A.last_writer(resources.where(values & (F.col("category") == "resource")), ["type", "qualifiers", "name"], "seq").where(own)
+        last = A.value_owners(resources).where(own)
         held = materialise(A.expected_inventory(last, inventory), "inventory")
         n, found = held.agg(F.count("*"), F.count("value")).first()
         share = found / n if n else 1.0

@@ -204,3 +204,47 @@ def test_png_and_binaries():
     p = parsers.png_pixels(png)
     assert p.shape == (32, 32, 3) and (p[5, :, 0] == [x * 8 for x in range(32)]).all() and len(parsers.perceptual_hash(p)) == 16
     assert parsers.png_pixels(b"no") is None and parsers.elf_features(b"\x7fELF\2\1") is None and parsers.elf_features(b"") is None
+
+
+def test_mapping_lines_of_any_bytes(spark, monkeypatch):
+    """Several slices of lines, other line ends, bytes that are no UTF-8, null and empty files."""
+    monkeypatch.setattr(parsers, "LINES", 3)
+    text = b"# c -> d\n\n  m() -> a\na.A -> x.X:\r\na.B -> x.X:\r\xff.C -> y:\nno arrow\n" + b"".join(b"p.C%d -> q.D%d:\n    int f -> a\n" % (i, i % 4) for i in range(20)) + b"last.One -> z"
+    found = parsers.mapping_lines(spark.createDataFrame([("k", text), ("n", None), ("e", b"")], "key string, content binary"), ["key"]).collect()
+    assert all(text[r.at :].startswith(r.line.encode()) for r in found if "\ufffd" not in r.line) and {r.key for r in found} == {"k"}
+    pairs = {(r.output, r.original) for r in parsers.r8_mapping(spark.createDataFrame(found), key="key").collect()}
+    assert pairs == {("Lx/X;", "La/A;"), ("Lx/X;", "La/B;"), ("Ly;", "L\ufffd/C;"), ("Lz;", "Llast/One;")} | {(f"Lq/D{i % 4};", f"Lp/C{i};") for i in range(20)}
+
+
+def test_resource_table():
+    """The binary form gives what the textual dump of the same resources says."""
+    from kindred.sources import resources
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def field(number, value):
+        return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+    def value(item, config=b"", compound=False):
+        return field(6, field(1, config) + field(2, field(5 if compound else 4, item)))
+
+    def entry(name, *values):
+        return field(3, field(2, name.encode()) + b"".join(values))
+
+    def kind(name, *entries):
+        return field(3, field(2, name.encode()) + b"".join(entries))
+
+    style = field(2, b"".join(field(3, field(4, field(1, field(2, 7) + field(3, x)))) for x in (b"color/accent", b"x/y")))
+    table = field(2, field(2, b"com.example") + kind("string", entry("app_name", value(field(2, field(1, b"Example App"))), value(field(2, field(1, "\u793a\u4f8b".encode())), field(3, b"zh-CN"))), entry("none"))
+        + kind("color", entry("accent", value(field(7, field(9, 0xFF102030))), value(field(7, field(12, 0xFF112233)), field(18, 240))))
+        + kind("style", entry("AppTheme", value(style, compound=True)))
+        + kind("bool", entry("night_enabled", value(field(7, field(8, 1)), field(17, 1) + field(24, 33))))
+        + kind("dimen", entry("gap", value(field(7, field(13, 16 << 8 | 1))), value(field(7, field(6, (1 << 64) - 5)), field(15, 2)))))
+    assert list(resources.values(table)) == [
+        ("string", "app_name", ["(default)"], '"Example App"'), ("string", "app_name", ['locale: "zh-CN"'], '"\u793a\u4f8b"'), ("string", "none", None, None),
+        ("color", "accent", ["(default)"], "#ff102030"), ("color", "accent", ["density: 240"], "#123"), ("style", "AppTheme", ["(default)"], "[@color/accent, @x/y]"),
+        ("bool", "night_enabled", ["ui_mode_night: UI_MODE_NIGHT_NIGHT", "sdk_version: 33"], "true"), ("dimen", "gap", ["(default)"], "16dp"), ("dimen", "gap", ["orientation: ORIENTATION_LAND"], "-5"),
+    ]
+    with pytest.raises(ValueError):
+        list(resources.values(b"\xff" * 20))
