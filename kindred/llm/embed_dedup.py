@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import components, lean, local_forest, materialise, partitions
+from kindred.llm.common import components, hot_join, lean, local_forest, materialise, partitions, sampled
 
 BLOCK = 2048
 SUBSPACES = 8
@@ -162,7 +162,8 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, sample: int = 16
     rows = rows.withColumns({"h1": F.xxhash64(flat, "label"), "h2": F.xxhash64(F.lit(7), "label", flat)})
     usable = rows.where("good")
     classes = materialise(usable.groupBy("label", "h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("weight")), "classes")
-    first = usable.join(classes.select("label", "h1", "h2", "node", "weight"), ["label", "h1", "h2"]).where("id = node").dropDuplicates(["label", "h1", "h2"])
+    # a vector that a third of the rows repeat is one row here, and its rows stay where they are
+    first = hot_join(usable.select("id", "label", "h1", "h2", "embedding"), classes, ["label", "h1", "h2"], "weight").where("id = node").dropDuplicates(["label", "h1", "h2"])
     reps = materialise(first.select("node", "weight", "label", "embedding"), "vectors")
     found = None
     for dims in sorted(r[0] for r in reps.select(F.size("embedding")).distinct().collect()):
@@ -177,15 +178,16 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, sample: int = 16
         count = found.where("not link").groupBy("node").agg(F.sum("n").alias("n"))
         joined = components(found.where("link").select("node", "other"))
         result = classes.join(count, "node", "left").join(joined, "node", "left")
-    result = result.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(result, ["label", "h1", "h2"], "left").withColumn("c", F.when(F.col("good"), F.col("component")).otherwise(F.col("id")))
+    result = result.select("label", "h1", "h2", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    result = materialise(result, "classes")
+    out = hot_join(rows.drop("embedding"), result, ["label", "h1", "h2"], "weight", "left").withColumn("c", F.when(F.col("good"), F.col("component")).otherwise(F.col("id")))
     return out.select("vec_id", F.when(F.col("good"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("c") != low, F.col("c")).alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
 
 
 def _linked(own: DataFrame, dims: int, least: float, sample: int, list_size: int, most_lists: int, probes: int) -> DataFrame:
     spark = own.sparkSession
     n = own.count()
-    some = own.orderBy(F.xxhash64("node"), "node").limit(sample).select("embedding").toArrow()  # at most `sample` vectors
+    some = sampled(own, "node", sample).select("embedding").toArrow()  # at most `sample` vectors
     lists = int(min(max(1, n // list_size), most_lists))
     model = fit(unit(some.column(0).combine_chunks()), lists)
     index = own.mapInArrow(lean(_index(model, min(probes, lists))), "node long, weight long, label string, embedding array<double>, home int, probes array<int>, codes binary, error double")
