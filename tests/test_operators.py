@@ -33,12 +33,12 @@ def sequential(edges, threshold, cap):
     return out
 
 
-@pytest.mark.parametrize(("seed", "settled"), [(0, 200_000), (1, 0), (2, 4), (3, 12)])
-def test_resolve(spark, monkeypatch, seed, settled):
+@pytest.mark.parametrize(("seed", "settled", "n"), [(0, 200_000, 45), (2, 4, 14), (3, 0, 7)])
+def test_resolve(spark, monkeypatch, seed, settled, n):
     """In one task, in rounds alone, and with components of several sizes: always the sequential outcome."""
     monkeypatch.setattr(M, "SETTLED", settled)
     dice = random.Random(seed)
-    pairs = {(dice.randrange(12), dice.randrange(10)) for _ in range(45)}
+    pairs = {(dice.randrange(12), dice.randrange(10)) for _ in range(n)}
     edges = [(a, b, dice.randrange(2), dice.randrange(4), dice.choice([0.5, 0.7, 0.8, 0.9])) for a, b in sorted(pairs)]
     got = M.resolve(spark.createDataFrame(edges, schemas.EDGES), threshold=0.7, cap=3).collect()
     assert {r.l: r.r for r in got} == sequential(edges, 0.7, 3)
@@ -100,12 +100,12 @@ def test_file_match_takes_a_round_for_a_group(spark, monkeypatch):
     assert rounds.count("matches") == 1
 
 
-@pytest.mark.parametrize("settled", [0, 200_000])
-def test_file_match_of_mixed_groups(spark, monkeypatch, settled):
+@pytest.mark.parametrize(("settled", "n"), [(0, 4), (200_000, 24)])
+def test_file_match_of_mixed_groups(spark, monkeypatch, settled, n):
     monkeypatch.setattr(M, "SETTLED", settled)
     dice = random.Random(5)
     make = lambda n: [("p", 10, dice.choice("ABCDE"), dice.choice(["m", "n", None])) for _ in range(n)]
-    left, right = make(24) + [("p", 10, f"own{i}", dice.choice("mn")) for i in range(6)], make(20)
+    left, right = make(n) + [("p", 10, f"own{i}", dice.choice("mn")) for i in range(n // 4)], make(n)
     dice.shuffle(left)
     used, wanted = set(), {}
     for i, x in enumerate(left):
@@ -126,15 +126,15 @@ def test_image_threshold(spark):
     assert {(r.l, r.r, r.sim) for r in got} == {(0, 0, 54 / 64), (2, 2, 1.0)}
 
 
-@pytest.mark.parametrize(("seed", "settled"), [(0, 0), (1, 0), (2, 50), (3, 200_000)])
-def test_image_classes_follow_the_sequential_rule(spark, monkeypatch, seed, settled):
+@pytest.mark.parametrize(("seed", "settled", "n"), [(0, 0, 6), (2, 40, 12), (3, 200_000, 30)])
+def test_image_classes_follow_the_sequential_rule(spark, monkeypatch, seed, settled, n):
     """Few hashes, many equal images, contents without a hash or with several."""
     monkeypatch.setattr(M, "SETTLED", settled)
     dice = random.Random(seed)
     base = [dice.getrandbits(64) for _ in range(3)]
     hashes = base + [base[0] ^ 7, base[0] ^ 0xFF, base[1] ^ 1, None]
     make = lambda n: [(dice.choice(hashes), dice.choice("abcd")) if dice.random() < 0.5 else (base[0], "a") for _ in range(n)]
-    left, right = make(30), make(25)
+    left, right = make(n), make(n - 1)
     used, wanted = set(), {}
     for i, (h, s) in enumerate(left):
         best = None
