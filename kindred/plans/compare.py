@@ -14,7 +14,7 @@ from kindred.operators import attribution as A
 from kindred.operators import matching as M
 from kindred.operators import scoring as S
 from kindred.plans import report, store
-from kindred.sources import archive, dex, files, manifests, parsers, resources
+from kindred.sources import archive, dex, files, images, manifests, parsers, resources
 from kindred.storage import materialise
 
 
@@ -66,7 +66,7 @@ def fingerprints(spark: SparkSession, path: str, config: Config = Config(), skip
     safe = entries.join(problems.select("archive"), "archive", "left_anti")
     contents = materialise(archive.scan(spark, path, config.archive_limits, content=True, skip=[*skip, *unsafe]).where("kind is not null").select("archive", "path", "content"), "contents")
     raw = materialise(dex.scan(safe), "methods")
-    image = contents.where(C.category(F.col("path")) == "image").select("archive", "path", "content", parsers.image_udf("content").alias("i"))
+    image = contents.where(C.category(F.col("path")) == "image").select("archive", "path", "content", images.image_udf("content").alias("i"))
     xml = contents.where(F.col("path").endswith("/manifest/AndroidManifest.xml")).select("archive", F.split_part("path", F.lit("/"), F.lit(1)).alias("module"), "content")
     one = contents.where(F.col("path").endswith("dependencies.pb")).select(F.struct("archive", "path").alias("k"), "content")
     built = contents.where(C.category(F.col("path")) == "build")

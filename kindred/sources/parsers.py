@@ -362,12 +362,3 @@ def perceptual_hash(pixels: np.ndarray) -> str:
     low = cosine @ grey @ cosine.T
     bits = (low > np.median(low)).ravel()
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
-
-
-@arrow_udf("struct<perceptual_hash:string,width:int,height:int>")
-def image_udf(content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data in content:
-        p = png_pixels(bytes(data))
-        rows.append((perceptual_hash(p), p.shape[1], p.shape[0]) if p is not None and p.size else (None, None, None))
-    return pd.DataFrame(rows, columns=["perceptual_hash", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
