@@ -2,7 +2,8 @@
 python -m kindred prepare FILE          writes the lock of an ownership file and registers its pair
 
 auto compares by ownership where the pair is registered and its lock holds, else by heuristics.
-Exit codes: 0 done, 2 bad input or settings, 4 code that could not be read, 5 anything else."""
+Exit codes: 0 done, 2 bad input or settings, 4 done but code could not be read, 5 anything else.  (3 would be an external tool's
+failure; none is used.)  OUTPUT is a folder that all machines share."""
 
 from __future__ import annotations
 
@@ -62,7 +63,7 @@ def choose(a: argparse.Namespace) -> tuple[str, object, dict]:
     return "owned", given, found
 
 
-def run(a: argparse.Namespace) -> dict:
+def run(a: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
 
     from kindred import config
@@ -74,7 +75,7 @@ def run(a: argparse.Namespace) -> dict:
         given = ownership.load(a.paths[1])
         lock = ownership.write_lock(spark, given, settings)
         print(lock, ownership.Registry(a.registry).register(given), sep="\n")
-        return {"warnings": []}
+        return 0
     left, right, output = a.paths
     report.require_folder(output, overwrite=a.overwrite)
     mode, given, found = choose(a)
@@ -87,13 +88,16 @@ def run(a: argparse.Namespace) -> dict:
         result = compare.compare_archives(spark, left, right, settings, mode="heuristic", cache=a.cache_dir)
     result["selection"] = {"requested": a.mode} | found
     print(report.write(result, output, overwrite=a.overwrite))
-    return result
+    if compare.incomplete(result):
+        print("some code could not be read: the report has no certain result", file=sys.stderr)
+        return 4
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     a = arguments(argv)
     try:
-        return 4 if run(a)["warnings"] else 0
+        return run(a)
     except (ValueError, OSError) as error:
         print(error, file=sys.stderr)
         return 2

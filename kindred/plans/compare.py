@@ -45,7 +45,7 @@ def ordered(df: DataFrame, *by: str) -> DataFrame:
     return ranged.join(F.broadcast(before.select("_p", "_low", "_base")), "_p").withColumn("ord", F.col("_i") - F.col("_low") + F.col("_base")).drop("_p", "_i", "_low", "_base")
 
 
-#: A report names so many files that cannot be read.
+#: A report names so many files that cannot be read, code first.
 MOST_WARNINGS = 1000
 
 #: What is read of an archive, a table each with the column archive.
@@ -106,7 +106,7 @@ def assemble(spark: SparkSession, t: dict[str, DataFrame], path: str, sha256: st
     totals |= S.method_counts(methods, config).first().asDict() | {"images": t["images"].count()}
     fixed = [f"module:{m}" for m in counts.modules] + [f"count:{k}:{totals[k]}" for k in ("dex", "native", "assets", "resources", "manifests")]
     build = t["build"].select("value").unionByName(spark.createDataFrame([(x,) for x in fixed], "value string")).distinct()
-    warnings = sorted(r.warning for r in t["warnings"].select("warning").limit(MOST_WARNINGS).collect())
+    warnings = sorted(r.warning for r in t["warnings"].select("warning").orderBy(~F.startswith("warning", F.lit(dex.UNREAD)), "warning").limit(MOST_WARNINGS).collect())
     header = {"path": path, "sha256": sha256, "modules": list(counts.modules), "agp": agp, "counts": totals}
     own = lambda name: t[name].drop("archive")
     held = own("resources") if t["entries"].where("kind = 'table'").limit(1).count() else None
@@ -172,33 +172,34 @@ def _dimension(key: str, pairs: DataFrame, left: DataFrame, right: DataFrame, we
 def compare(left: Profile, right: Profile, config: Config = Config(), *, owned: bool = False, lsh: bool = True) -> dict:
     """mode, dimensions (a dict each), findings (dimension, rank, left, right, similarity) and, unless owned, the total."""
     policy = (lambda _: "owned") if owned else (lambda p: p)
-    rows, findings = [], []
+    rows, findings, sides = [], [], {}
 
-    def add(result):
+    def add(result, a, b):
         rows.append(result[0])
         findings.extend(result[1])
+        sides[result[0]["key"]] = {"left": a, "right": b}
 
     mine = (lambda p: p.methods) if owned else (lambda p: p.methods.where("not third_party"))
     for key, least in (("business_code", config.min_method_instructions), ("long_methods", config.long_method_min_instructions)):
         a, b = (mine(p).where(F.col("instruction_count") >= least) for p in (left, right))
         matches = M.match_methods(a, b, similarity=config.min_method_similarity, lsh=lsh, posting_cap=config.posting_cap, candidate_cap=config.candidate_cap, threshold=config.lsh_threshold, permutations=config.minhash_permutations).drop("stage")
         pairs = _pairs(matches, a, b, "instruction_count", "identifier")
-        add(_dimension(key, pairs, a, b, "instruction_count", policy("methods"), config, [F.desc(F.col("sim") * F.least("l_instruction_count", "r_instruction_count")), "left"]))
+        add(_dimension(key, pairs, a, b, "instruction_count", policy("methods"), config, [F.desc(F.col("sim") * F.least("l_instruction_count", "r_instruction_count")), "left"]), a, b)
     groups = {"resources": ["resource"], "assets": ["asset"]} if owned else {"resources": ["resource"], "assets_native": ["asset", "native"]}
     for key, kinds in groups.items():
         a, b = (p.files.where(F.col("category").isin(kinds)) for p in (left, right))
-        add(_dimension(key, _pairs(M.match_files(a, b), a, b, "size", "path"), a, b, "size", policy("files"), config, [F.desc(F.least("l_size", "r_size")), "l"]))
+        add(_dimension(key, _pairs(M.match_files(a, b), a, b, "size", "path"), a, b, "size", policy("files"), config, [F.desc(F.least("l_size", "r_size")), "l"]), a, b)
     pairs = _pairs(M.match_images(left.images, right.images, threshold=config.image_threshold), left.images, right.images, "size", "path")
-    add(_dimension("images", pairs, left.images, right.images, "size", policy("files"), config, [F.desc("sim"), "l"]))
+    add(_dimension("images", pairs, left.images, right.images, "size", policy("files"), config, [F.desc("sim"), "l"]), left.images, right.images)
     if owned:
         row = S.multiset_score(left.manifest, right.manifest).first().asDict()
         common = S.multiset_matches(left.manifest, right.manifest).orderBy("value").limit(config.max_findings_per_dimension).collect()
-        add((row | {"key": "manifest"}, [("manifest", k + 1, r.value, r.value, 1.0) for k, r in enumerate(common)]))
+        add((row | {"key": "manifest"}, [("manifest", k + 1, r.value, r.value, 1.0) for k, r in enumerate(common)]), left.manifest, right.manifest)
     else:
         value = lambda p: p.manifest.select(F.concat_ws(":", "module", "value").alias("value"))
         for key, a, b in (("manifest", value(left), value(right)), ("dependencies", left.dependencies.toDF("value"), right.dependencies.toDF("value")), ("build_structure", left.build, right.build)):
             common = a.intersect(b).orderBy("value").limit(config.max_findings_per_dimension).collect()
-            add((S.set_score(a, b).first().asDict() | {"key": key}, [(key, k + 1, r.value, r.value, 1.0) for k, r in enumerate(common)]))
+            add((S.set_score(a, b).first().asDict() | {"key": key}, [(key, k + 1, r.value, r.value, 1.0) for k, r in enumerate(common)]), a, b)
     for r in rows:
         given = [p.confidence[r["key"]] for p in (left, right) if r["key"] in p.confidence]
         r["confidence"] = min([r.get("confidence", 1.0), *given])
@@ -208,6 +209,8 @@ def compare(left: Profile, right: Profile, config: Config = Config(), *, owned:
     out["diagnostics"] = diagnostics(out["left"], out["right"], listed)
     out["differences"] = report.difference_rows(left.files.sparkSession, out)
     if owned:
+        for key, found in dimension_origins(sides).items():
+            out["dimensions"][key]["origins"] = found
         out["origins"] = {s: origins(p) for s, p in (("left", left), ("right", right))}
         dependencies = {s: [r[0] for r in p.dependencies.orderBy("dependency").collect()] for s, p in (("left", left), ("right", right))}
         out["diagnostics"] |= {"dependencies": dependencies, "build_structure": listed, "native": {s: out[s]["counts"]["native"] for s in ("left", "right")}}
@@ -215,15 +218,35 @@ def compare(left: Profile, right: Profile, config: Config = Config(), *, owned:
         spark = left.files.sparkSession
         table = spark.createDataFrame([(r["key"], r["score"]) for r in rows], "key string, score double")
         out["aggregate"] = S.aggregate(table, config).first().asDict()
+        out["weights"] = dict(config.weights)
     return out
 
 
+def incomplete(result: dict) -> bool:
+    """Whether code of either side could not be read, so that there is no certain result."""
+    return any(w.startswith(dex.UNREAD) for w in result["warnings"])
+
+
 def diagnostics(left: dict, right: dict, build: dict) -> dict:
     """What no dimension scores, of either side: signatures, hardening, versions."""
     some = lambda test: {s: [v for v in build[s] if test(v)] for s in ("left", "right")}
     return {"signing": some(lambda v: "META-INF" in v), "hardening": some(lambda v: v.startswith("hardening:")), "agp": {"left": left["agp"], "right": right["agp"]}}
 
 
+def dimension_origins(sides: dict[str, dict[str, DataFrame]]) -> dict:
+    """How many rows of each origin the sides of every dimension have."""
+    out, every = {}, None
+    for key, pair in sides.items():
+        out[key] = {side: {} for side in pair}
+        for side, t in pair.items():
+            origin = F.coalesce("origin", F.lit("UNRESOLVED")) if "origin" in t.columns else F.lit("UNRESOLVED")
+            t = t.select(F.lit(key).alias("key"), F.lit(side).alias("side"), origin.alias("origin"))
+            every = t if every is None else every.unionByName(t)
+    for r in every.groupBy("key", "side", "origin").agg(F.count("*").alias("n")).collect():  # a row a key of these
+        out[r.key][r.side][r.origin] = r.n
+    return out
+
+
 def origins(p: Profile, most: int = 50) -> dict:
     """How many methods, files and images have each origin, and the source files with most of them."""
     rows = None

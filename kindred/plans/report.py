@@ -1,13 +1,22 @@
-"""Reports of a comparison: a folder with JSON, Markdown and evidence."""
+"""Reports of a comparison: a folder with JSON, Markdown and evidence.
+
+Evidence is written by tasks, so the folder must be one that all machines share.  analysis.json comes last and names only files of
+tasks that were done: a report without it is not finished, and what a lost task left is no part of it.
+"""
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.sources import files
+
 MARKER = ".kindred-report"
 
 
@@ -63,29 +72,75 @@ def number(x) -> str:
     return "N/A" if x is None else f"{x:.2f}"
 
 
+def table(head: list[str], rows) -> list[str]:
+    return ["", f"| {' | '.join(head)} |", "|" + "-|" * len(head), *[f"| {' | '.join(cell(x) for x in r)} |" for r in rows]]
+
+
+#: What a report is called, which origins make up its dimensions, and how far it can be trusted.
+KINDS = {
+    "legacy": ("Comparison", (), "Whose the code is was judged by names; a dimension without data keeps its weight, so the total is a range."),
+    "heuristic": ("Comparison of what seems own", ("HEURISTIC_OWNED",), "Ownership was judged by names and paths. It proves nothing, and some dependencies may be taken for own content."),
+    "strict": ("Comparison of what is proven own", ("OWNED_SOURCE", "OWNED_GENERATED"), "Every scored row was traced to a source or generated file of the project. The manifest is that of the sources."),
+}
+
+
+def evidence_name(dimension: str, rank: int) -> str:
+    return f"evidence/{dimension}-{rank:03d}.txt"
+
+
+def _head(result: dict) -> list[str]:
+    both = [result["left"], result["right"]]
+    plain = [("file", *[h["path"] for h in both]), ("SHA-256", *[h["sha256"] for h in both]), ("modules", *[", ".join(h["modules"]) for h in both])]
+    counts = [(k, *[h["counts"].get(k, 0) for h in both]) for k in both[0]["counts"]]
+    return ["", "## Inputs", *table(["", "left", "right"], plain + counts)]
+
+
+def _scores(result: dict, made_of: tuple) -> list[str]:
+    """A row a dimension: with its weight, or of which origins either side's rows are."""
+    weights, own = result.get("weights", {}), lambda d, side: " / ".join(str(d.get("origins", {}).get(side, {}).get(o, 0)) for o in made_of)
+    more = ["left, of " + " / ".join(made_of).lower(), "right, of the same"] if made_of else ["weight"]
+    rows = []
+    for key, d in result["dimensions"].items():
+        shown = sum(1 for f in result["findings"] if f[0] == key)
+        last = [own(d, "left"), own(d, "right")] if made_of else [f"{weights.get(key, 0)} %"]
+        rows.append([key, number(d["score"]), *[number(100 * d[c]) + " %" if d[c] is not None else "N/A" for c in ("left_coverage", "right_coverage", "confidence")], *last, shown])
+    return ["", "## Dimensions", *table(["dimension", "score", "left covered", "right covered", "confidence", *more, "findings"], rows)]
+
+
 def attribution(result: dict) -> list[str]:
-    """Whose the rows of either side are; nothing where no mode asked."""
+    """Whose the rows of either side are, and the source files with most of them; nothing where no mode asked."""
     sides = {s: result["attribution"].get(s) for s in ("left", "right")}
     if not all(sides.values()):
         return []
-    rows = [f"| {cell(k)} | {sides['left'][k]} | {sides['right'].get(k, 0)} |" for k in sides["left"]]
-    return ["", "## Attribution", "", "| origin | left | right |", "|-|-|-|", *rows]
+    lines = ["", "## Attribution", *table(["origin", "left", "right"], [(k, sides["left"][k], sides["right"].get(k, 0)) for k in sides["left"]])]
+    for side, found in result.get("origins", {}).items():
+        if found["by_source"]:
+            lines += ["", f"### Sources, {side}", *table(["source", "rows"], found["by_source"].items())]
+    return lines
+
+
+def _findings(result: dict) -> list[str]:
+    lines = []
+    for key in result["dimensions"]:
+        rows = [(number(100 * s), a, b, f"[{k:03d}]({evidence_name(d, k)})") for d, k, a, b, s in result["findings"] if d == key]
+        lines += ["", f"## Findings: {key}", *(table(["similarity", "left", "right", "evidence"], rows) if rows else ["", "none"])]
+    return lines
 
 
 def markdown(result: dict) -> str:
+    title, made_of, note = KINDS[result.get("strategy") or "legacy"]
     total = result["aggregate"]
-    lines = ["# Comparison", "", f"- left: {cell(result['left']['path'])}", f"- right: {cell(result['right']['path'])}", f"- mode: {result['mode']}"]
+    lines = [f"# {title}"]
     if total:
         shown = f"{number(total['score'])} ({total['level']})" if total["score"] is not None else f"between {number(total['minimum'])} and {number(total['maximum'])}"
-        lines.append(f"- total: {shown}, of {total['analyzed_weight']} % of the weight")
-    lines += ["", "| dimension | score | left coverage | right coverage | confidence |", "|-|-|-|-|-|"]
-    for key, d in result["dimensions"].items():
-        lines.append(f"| {key} | {number(d['score'])} | {number(d['left_coverage'])} | {number(d['right_coverage'])} | {number(d['confidence'])} |")
-    lines += attribution(result)
-    lines += ["", "## Differences", "", *[f"- {cell(x)}" for x in differences(result)], "", "## Findings", "", "| dimension | rank | similarity | left | right |", "|-|-|-|-|-|"]
-    lines += [f"| {d} | {k} | {number(100 * s)} | {cell(a)} | {cell(b)} |" for d, k, a, b, s in result["findings"]]
-    lines += ["", *[f"> {cell(w)}" for w in result["warnings"]]]
-    return "\n".join(lines).rstrip() + "\n"
+        lines += ["", f"Total: {shown}, of {total['analyzed_weight']} % of the weight"]
+    lines += _head(result) + ["", "## Differences", "", *[f"- {cell(x)}" for x in differences(result)]]
+    lines += _scores(result, made_of) + attribution(result)
+    if made_of:
+        lines += ["", "## Diagnostics", "", "```json", json.dumps(result.get("diagnostics", {}), ensure_ascii=False, indent=2, sort_keys=True), "```"]
+    lines += _findings(result)
+    lines += ["", "## Warnings", "", *([f"- {cell(w)}" for w in sorted(set(result["warnings"]))] or ["none"]), "", note]
+    return "\n".join(lines) + "\n"
 
 
 def require_folder(folder: str | Path, *, overwrite: bool = False) -> Path:
@@ -124,8 +179,8 @@ SCHEMA = {
 
 
 def serialised(result: dict) -> dict:
-    """What analysis.json holds: without the log; of an owned comparison without what only the build says."""
-    out = {k: v for k, v in result.items() if k != "run"}
+    """What analysis.json holds: without the log and the sources; of an owned comparison without what only the build says."""
+    out = {k: v for k, v in result.items() if k not in ("run", "snippets")}
     if result["mode"] == "owned":
         for side in ("left", "right"):
             head = {k: v for k, v in result[side].items() if k != "agp"}
@@ -139,20 +194,56 @@ def read(folder: str | Path) -> dict:
     return found | {"findings": [tuple(x) for x in found["findings"]]}
 
 
+def evidence(result: dict) -> DataFrame:
+    """(name, text): a row a finding, with the source around it where result has snippets (dimension, rank, side, shown)."""
+    spark = SparkSession.active()
+    rows = [(evidence_name(d, k), d, k, f"{d}\nsimilarity {100 * s:.2f}\nleft  {a}\nright {b}\n") for d, k, a, b, s in result["findings"]]  # top rows only
+    found = spark.createDataFrame(rows, "name string, dimension string, rank int, text string")
+    shown = result.get("snippets")
+    if shown is None:
+        return found.select("name", "text")
+    shown = shown.groupBy("dimension", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "shown"))), lambda x: x.shown), "\n\n").alias("shown"))
+    return found.join(shown, ["dimension", "rank"], "left").select("name", F.concat("text", F.coalesce(F.concat(F.lit("\n"), "shown", F.lit("\n")), F.lit(""))).alias("text"))
+
+
+def write_texts(texts: DataFrame, folder: str) -> list[tuple[str, int]]:
+    """Writes the texts (name, text) in tasks and gives (name, bytes) of all.  A file appears under its name only when it is whole;
+    a task that runs twice writes the same again."""
+
+    def run(batches):
+        system, root = files.located(folder)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for name, text in zip(names, batch.column(1).to_pylist(), strict=True):
+                place, data = f"{root}/{name}", text.encode("utf-8", "replace")
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                beside = f"{place.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(beside) as f:
+                    f.write(data)
+                system.move(beside, place)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
+
+    done = sorted((r.name, r.size) for r in texts.select("name", "text").mapInArrow(run, "name string, size long").collect())  # of top rows
+    system, root = files.located(folder)
+    for name, size in done:
+        if system.get_file_info(f"{root}/{name}").size != size:
+            raise ValueError(f"{folder} is no folder that all machines share: {name} is not there")
+    return done
+
+
 def write(result: dict, folder: str | Path, *, overwrite: bool = False) -> Path:
     """Writes the folder: JSON and its schema, Markdown, a log of the run, and a text for each finding, which the JSON names."""
     out = require_folder(folder, overwrite=overwrite)
     for name in ("evidence", "logs"):
         (out / name).mkdir(parents=True, exist_ok=True)
     (out / MARKER).touch()
+    (out / "analysis.json").unlink(missing_ok=True)  # of an earlier report: from here on it is not finished
     dump = lambda x: json.dumps(x, ensure_ascii=False, indent=2, sort_keys=True, default=str) + "\n"
-    texts = {f"evidence/{d}-{k:03d}.txt": f"{d}\nsimilarity {100 * s:.2f}\nleft  {a}\nright {b}\n" for d, k, a, b, s in result["findings"]}
-    for name, shown in result.get("snippets", {}).items():  # source around what was found
-        texts[f"evidence/{name}.txt"] += f"\n{shown}\n"
-    (out / "analysis.json").write_text(dump(serialised(result) | {"evidence": sorted(texts)}))
+    listed = [name for name, _ in write_texts(evidence(result), str(out.resolve()))] if result["findings"] else []
     (out / "analysis.schema.json").write_text(dump(SCHEMA))
     (out / "logs" / "run.json").write_text(dump(result.get("run", {}) | {"mode": result["mode"], "strategy": result.get("strategy"), "selection": result.get("selection")}))
     (out / "report.md").write_text(markdown(result))
-    for name, text in texts.items():
-        (out / name).write_text(text)
+    (out / ".analysis.json").write_text(dump(serialised(result) | {"evidence": listed}))
+    os.replace(out / ".analysis.json", out / "analysis.json")
     return out

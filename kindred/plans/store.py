@@ -22,7 +22,7 @@ from kindred.sources import files
 from kindred.storage import materialise
 
 #: Changes whenever the meaning of a table does.
-VERSION = "3"
+VERSION = "4"
 DONE = "sha256 string, problem string, schemas string, key string"
 
 

@@ -157,6 +157,9 @@ RAW = "archive string, dex_path string, position int, class_name string, method_
 SPLIT_BYTES = 1 << 20
 ROWS = 2000
 
+#: How a warning begins that code could not be read: scores of such a comparison are not complete.
+UNREAD = "code not read: "
+
 
 def _decoded(archive: str, path: str, data: bytes, part: int, parts: int):
     """Frames of RAW of one range of a file; what cannot be read is one row with a warning, of the range that meets it."""
@@ -168,7 +171,7 @@ def _decoded(archive: str, path: str, data: bytes, part: int, parts: int):
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
     except (ValueError, struct.error, IndexError, UnicodeError) as error:
-        rows.append((archive, path, -1, None, None, None, None, f"{path}: {error}"))
+        rows.append((archive, path, -1, None, None, None, None, f"{UNREAD}{path}: {error}"))
     if rows:
         yield pd.DataFrame(rows, columns=names)
 

@@ -112,6 +112,33 @@ def test_legacy(spark, pair, tmp_path):
     assert (folder / "report.md").read_text() == text
     with pytest.raises(ValueError):
         report.write(out, tmp_path)
+    # every finding has a link, every link a file, and dimensions have their weights
+    held = json.loads((folder / "analysis.json").read_text())
+    assert held["evidence"] and all((folder / x).is_file() and f"]({x})" in text for x in held["evidence"]) and len(held["evidence"]) == len(out["findings"])
+    assert held["weights"] == config.WEIGHTS and f"{config.WEIGHTS['images']} %" in text and text.count("## Findings: ") == len(d)
+    assert not list((folder / "evidence").glob(".*")) and not compare.incomplete(out)
+
+
+def test_evidence_of_tasks_that_fail(spark, tmp_path):
+    """A text that cannot be made ends the job: nothing of it is listed, the report stays unfinished, and a later one is whole."""
+    from pyspark.sql import functions as F
+
+    side = {"path": "a", "sha256": "0", "modules": [], "agp": None, "counts": {}}
+    findings = [("business_code", k, f"l{k}", f"r{k}", 1.0) for k in range(1, 9)]
+    out = {"mode": "legacy", "left": side, "right": side, "dimensions": {"business_code": {"key": "business_code", "score": 1.0, "left_coverage": 1.0, "right_coverage": 1.0, "confidence": 1.0}}, "findings": findings, "warnings": [], "attribution": {"left": None, "right": None}, "aggregate": None, "diagnostics": {}}
+    shown = spark.range(1, 9).select(F.lit("business_code").alias("dimension"), F.col("id").cast("int").alias("rank"), F.lit("left").alias("side"), F.when(F.col("id") < 8, "here").otherwise(F.raise_error(F.lit("lost"))).alias("shown"))
+    with pytest.raises(Exception, match="lost"):
+        report.write(out | {"snippets": shown}, tmp_path / "r")
+    assert not (tmp_path / "r/analysis.json").exists()
+    (tmp_path / "r/evidence/business_code-009.txt").write_text("of a task that was lost")
+    folder = report.write(out | {"snippets": shown.where("rank < 3")}, tmp_path / "r", overwrite=True)
+    assert report.read(folder)["evidence"] == [f"evidence/business_code-{k:03d}.txt" for k in range(1, 9)] and "snippets" not in report.read(folder)
+    assert "here" in (folder / "evidence/business_code-002.txt").read_text() and "here" not in (folder / "evidence/business_code-003.txt").read_text()
+    assert report.write_texts(spark.createDataFrame([], "name string, text string"), str(tmp_path)) == []
+
+
+def test_only_unread_code_makes_a_result_incomplete():
+    assert compare.incomplete({"warnings": ["x", dex.UNREAD + "a: broken"]}) and not compare.incomplete({"warnings": ["values of 3 resources are missing"]})
 
 
 def test_heuristic(spark, pair):

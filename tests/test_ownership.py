@@ -110,6 +110,9 @@ def test_owned_from_lock_to_report(spark, built, tmp_path, capsys):
     assert json.loads((tmp_path / "out/analysis.schema.json").read_text())["required"] and set(found["evidence"]) == {f"evidence/{p.name}" for p in (tmp_path / "out/evidence").iterdir()}
     assert "app/src/main/java/com/app/Main.kt:4" in (tmp_path / "out/evidence/business_code-001.txt").read_text() + (tmp_path / "out/evidence/business_code-002.txt").read_text()
     assert found["origins"]["left"]["by_source"]["app/src/main/java/com/app/Main.kt"] >= 2 and "agp" not in found["left"] and found["diagnostics"]["agp"] == {"left": "8.1.0", "right": "8.2.0"}
+    text = (tmp_path / "out/report.md").read_text()
+    assert "proven own" in text and "### Sources, left" in text and "| app/src/main/java/com/app/Main.kt | " in text and "## Diagnostics" in text
+    assert found["dimensions"]["business_code"]["origins"]["left"]["OWNED_SOURCE"] > 0 and "snippets" not in found
     # an input that changed: the lock no longer holds, auto falls back, owned says so
     source = d / "l/app/src/main/java/com/app/Main.kt"
     source.write_text(KOTLIN + "\nclass More")
