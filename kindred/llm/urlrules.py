@@ -4,7 +4,8 @@ Every host is turned round label by label (`com.example.www.`), so a rule's host
 of keys: from the rule's key to the same key with its last byte raised.  Pages and rules are dealt to the same ranges of
 sorted keys - a rule to every range that its interval meets - and each range is swept once in order: a rule is pushed
 when the sweep reaches it and popped once the key leaves its interval, so the stack holds the active rules, nested inside
-one another.  Those whose path starts the page's path fit; the longest wins.
+one another.  Those whose path starts the page's path fit; the longest wins.  Between two changes of the stack pages are
+judged together, one active rule at a time.
 
 Range bounds come from a bounded sample of keys (those with the smallest hash); every range is one task.  A hot host is cut
 across ranges, since path, page_id and a hash of the url follow the host in the sort key.  Rules are never broadcast.
@@ -16,9 +17,12 @@ host is ignored; repeated pages are judged each; empty tables are fine; more col
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,23 +85,36 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", defau
     def sweep(batches):
         part, stack = None, []
         for batch in batches:
-            parts, key, kind = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rule, paths = batch.column(6).to_pylist(), batch.column(3).to_pylist()
-            at, rules_, verdicts = [], [], []
-            for r in range(batch.num_rows):
-                if parts[r] != part:
-                    part, stack = parts[r], []
-                while stack and not key[r].startswith(stack[-1][0]):
-                    stack.pop()
-                if kind[r] == 0:
-                    stack.append((key[r], rule[r]))
+            parts, keys, paths, rule = batch.column(0).to_numpy(), batch.column(1), batch.column(3), batch.column(6)
+            is_page = batch.column(2).to_numpy() == 1
+            best, met = np.full(len(parts), -1), []
+            at_rule = np.flatnonzero(~is_page)
+            turns = np.flatnonzero(np.diff(parts)) + 1
+            cuts = np.unique(np.concatenate([[0, len(parts)], turns, at_rule, at_rule + 1])).tolist()
+            for low, high in pairwise(cuts):  # one rule, or pages of one range without a rule between them
+                if parts[low] != part:
+                    part, stack = parts[low], []
+                if not is_page[low]:
+                    key = keys[low].as_py()
+                    while stack and not key.startswith(stack[-1][0]):
+                        stack.pop()
+                    stack.append((key, rule[low].as_py()))
                     continue
-                best = max((x for _, x in stack if paths[r].startswith(x["path"])), key=lambda x: (len(x["host"]) + len(x["path"]), len(x["host"])), default=None)
-                at.append(r)
-                rules_.append(best["host"] + best["path"] if best else None)
-                verdicts.append(best["verdict"] if best else default)
-            page = batch.column(5).take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*page.flatten(), pa.array(rules_, pa.string()), pa.array(verdicts, pa.string())], [*names, "rule", "verdict"])
+                while stack and low < high:
+                    # keys are sorted, so those inside the innermost interval come first
+                    end = low + pc.starts_with(keys.slice(low, high - low), stack[-1][0]).true_count
+                    for _, x in sorted(stack, key=lambda s: (len(s[1]["host"]) + len(s[1]["path"]), len(s[1]["host"]))) if end > low else ():
+                        fits = pc.starts_with(paths.slice(low, end - low), x["path"]).to_numpy(zero_copy_only=False)
+                        best[low:end][fits] = len(met)
+                        met.append(x)
+                    if end < high:
+                        stack.pop()
+                    low = end
+            chosen = pa.array(np.where(best[is_page] < 0, len(met), best[is_page]))
+            rules_ = pa.array([x["host"] + x["path"] for x in met] + [None], pa.string()).take(chosen)
+            verdicts = pa.array([x["verdict"] for x in met] + [default], pa.string()).take(chosen)
+            page = batch.column(5).filter(pa.array(is_page))
+            yield pa.RecordBatch.from_arrays([*page.flatten(), rules_, verdicts], [*names, "rule", "verdict"])
 
     from pyspark.sql.types import StringType, StructField, StructType
 

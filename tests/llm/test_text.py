@@ -165,3 +165,26 @@ def test_decontamination_of_null_doc_ids(spark):
     df = spark.createDataFrame([(None, "Some short item."), (None, "clean"), (0, "clean"), (0, "x some short item"), (None, None)], "doc_id long, text string")
     out = {(r.doc_id, r.text): (r.n_hit, *r.item_ids, r.contaminated) for r in decontaminate.decontaminate(df, items).collect()}
     assert out == {(None, "Some short item."): (3, "7", True), (None, "clean"): (0, False), (0, "clean"): (0, False), (0, "x some short item"): (3, "7", True), (None, None): (0, False)}
+
+
+def test_url_rules_nested_and_of_any_length(spark):
+    """Random nested rules, a hot host, hosts that are met once, very long urls: equal to trying every rule on every page."""
+    import random
+
+    pick = random.Random(5)
+    names = ["a", "b", "ab", "com", "a-b", "é", "com2"]
+    host = lambda: ".".join(pick.choice(names) for _ in range(pick.randint(1, 4)))
+    path = lambda: "/" + "".join(pick.choice(["en/", "e", "n/", "x"]) for _ in range(pick.randint(0, 3)))
+    rules = list({(host(), pick.choice(["", path(), path()])): pick.choice(["allow", "block"]) for _ in range(150)}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    pages = [(k, f"http://{pick.choice(['a.com', host(), f'u{k}.' + host()])}{pick.choice(['', path(), path() + 'x' * 100_000 if k % 50 == 0 else path()])}{pick.choice(['', '?q', '#f'])}") for k in range(1500)]
+    pages += [(9000, "http://" + "a." * 5000 + "com/en/"), (9001, None), (9002, "no url"), (9003, "http://")]
+    df, table = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    found = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge(df.repartition(5), table, default="ask").collect()}
+    assert len(found) == len(pages)
+    for k, url in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        rest = rest.split("?")[0].split("#")[0]
+        h, slash, p = rest.partition("/")
+        fits = [(len(rh) + len(rp), len(rh), rh + rp, v) for rh, rp, v in rules if ("." + h).endswith("." + rh) and (slash + p).startswith(rp)] if h else []
+        assert found[k] == (max(fits)[2:] if fits else (None, "ask")), url[:100]
