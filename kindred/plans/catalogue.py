@@ -275,14 +275,14 @@ def q_image_match_1to1(spark, sf_dir):
 
 
 @query(
-    """with a as (select distinct p_brand as v from part where p_partkey % 2 = 0 and p_size < 25), b as (select distinct p_brand as v from part where p_partkey % 2 = 1 and p_size > 10),
+    """with s as (select p_partkey % 2 as side, p_brand || '#' || p_size as v from part), a as (select distinct v from s where side = 0), b as (select distinct v from s where side = 1),
     n as (select (select count(*) from a) as l_n, (select count(*) from b) as r_n, (select count(*) from a join b using (v)) as n_matched)
     select *, (case when l_n + r_n = 0 then 100.0 else n_matched * 200.0 / (l_n + r_n) end)::double as score, (case when l_n = 0 then 1.0 else n_matched::double / l_n end)::double as left_coverage, (case when r_n = 0 then 1.0 else n_matched::double / r_n end)::double as right_coverage from n"""
 )
 def q_set_dimension_brand(spark, sf_dir):
     """AGG-04, JN-05."""
-    p = table(spark, sf_dir, "part")
-    return S.set_score(p.where("p_partkey % 2 = 0 and p_size < 25").select("p_brand"), p.where("p_partkey % 2 = 1 and p_size > 10").select("p_brand"))
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey % 2 as side", "p_brand || '#' || p_size as v")
+    return S.set_score(p.where("side = 0").select("v"), p.where("side = 1").select("v"))
 
 
 def entries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
