@@ -19,8 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialise, small
+from kindred.llm.common import BROADCAST_ROWS, materialise, small
 
+#: Terms are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -31,6 +33,12 @@ def words(text: str) -> F.Column:
     return F.array_remove(F.split(low, APART), "")  # far cheaper than extracting each match
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, with a column term, to be broadcast if it has few rows and its terms, which may be of any length, few bytes."""
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
+
+
 def _document(documents: DataFrame) -> list:
     """A null doc_id is taken as 0: whether rows of equal text are told apart does not change what is found in them."""
     known = F.coalesce("doc_id", F.lit(0).cast(documents.schema["doc_id"].dataType))
@@ -47,7 +55,7 @@ def windows(items: DataFrame, length: int) -> DataFrame:
 def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc, version, pos, term) of all words of documents that are in terms (one column, distinct)."""
     flat = documents.select(*_document(documents), F.posexplode(words("text")).alias("pos", "term"))
-    return flat.join(small(terms), "term", "left_semi").select("doc", "version", "pos", "term")
+    return flat.join(few(terms), "term", "left_semi").select("doc", "version", "pos", "term")
 
 
 def matches(documents: DataFrame, items: DataFrame, *, length: int = 10, slop: int = 0) -> DataFrame:
@@ -61,7 +69,7 @@ def matches(documents: DataFrame, items: DataFrame, *, length: int = 10, slop: i
     ranked = materialise(ranked.where(~F.exists("order", lambda x: x.n.isNull())), "ranked", found.count())
     rarest = ranked.select("wid", "size", F.col("order")[0].term.alias("term"), F.col("order")[0].offset.alias("offset"))
     start = (F.col("pos") - F.col("offset")).alias("start")
-    candidates = index.join(small(rarest), "term").select("doc", "version", start, "wid", "size").where("start >= 0")
+    candidates = index.join(few(rarest), "term").select("doc", "version", start, "wid", "size").where("start >= 0")
     candidates = materialise(candidates, "candidates")
     near = small(candidates.select("doc", "version").distinct())
     local = index.join(near, ["doc", "version"], "left_semi")
@@ -70,7 +78,7 @@ def matches(documents: DataFrame, items: DataFrame, *, length: int = 10, slop: i
     def intersect(cand: DataFrame, which: F.Column) -> DataFrame:
         """Candidates with, for every such term of their window, a posting in its place."""
         need = rest.where(which)
-        wanted = cand.join(small(need), "wid").select("doc", "version", "start", "wid", "size", "term", (F.col("start") + F.col("offset")).alias("pos"))
+        wanted = cand.join(few(need), "wid").select("doc", "version", "start", "wid", "size", "term", (F.col("start") + F.col("offset")).alias("pos"))
         if slop:
             p = local.withColumnRenamed("pos", "at")
             met = wanted.join(p, ["doc", "version", "term"]).where(F.abs(F.col("at") - F.col("pos")) <= slop).drop("at")

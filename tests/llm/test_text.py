@@ -188,3 +188,19 @@ def test_url_rules_nested_and_of_any_length(spark):
         h, slash, p = rest.partition("/")
         fits = [(len(rh) + len(rp), len(rh), rh + rp, v) for rh, rp, v in rules if ("." + h).endswith("." + rh) and (slash + p).startswith(rp)] if h else []
         assert found[k] == (max(fits)[2:] if fits else (None, "ask")), url[:100]
+
+
+def test_decontamination_by_shuffles_alone(spark, monkeypatch):
+    """Terms of too many bytes are not broadcast; what is found is the same."""
+    from functools import partial
+
+    long = "w" * 5000
+    df = spark.createDataFrame([(k, f"{long} a b c {'d ' * (k % 3)}{long} e f") for k in range(30)] + [(30, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", f"a b c {long} e"), ("y", f"{long} a b"), ("z", "d d")], "item_id string, text string")
+    result = lambda: sorted((r.doc_id, r.n_hit, *r.item_ids) for r in decontaminate.decontaminate(df, items).collect())
+    before, few = result(), decontaminate.few
+    assert few(items.select("item_id", "text").withColumnRenamed("text", "term"))._jdf.queryExecution().analyzed().toString().count("ResolvedHint") == 1
+    monkeypatch.setattr(decontaminate, "few", partial(few, size=10))
+    monkeypatch.setattr(decontaminate, "small", lambda df: df)
+    assert decontaminate.few(items.withColumnRenamed("text", "term"))._jdf.queryExecution().analyzed().toString().count("ResolvedHint") == 0
+    assert result() == before and before[0] == (0, 6, "x", "y") and before[2] == (2, 5, "y", "z") and before[1] == (1, 3, "y") and before[30] == (30, 0)
