@@ -267,3 +267,55 @@ def test_expected_inventory(spark):
     s = "type string, qualifiers string, name string"
     got = A.expected_inventory(spark.createDataFrame([("string", "", "a"), ("string", "de", "b")], s), spark.createDataFrame([("string", "", "a", "v")], s + ", value string")).collect()
     assert {(r.name, r.value, r.unverified) for r in got} == {("a", "v", None), ("b", None, "string-de:b")}
+
+
+def _methods(spark, seed, n=24):
+    dice = random.Random(seed)
+    some = lambda k, most: [f"w{dice.randrange(k)}" for _ in range(dice.randrange(most))]
+    rows = [(i, i % 2, ["a"] * 5 * (i % 3 > 0) + some(2, 14), some(9, 6), some(4, 8), some(5, 5), i) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "ord long, side long, opcode_tokens array<string>, block_signature array<string>, api_calls array<string>, constants array<string>, instruction_count long")
+
+
+@pytest.mark.parametrize("room", [64 << 20, 900])
+def test_pairs_are_compared_by_counts(spark, monkeypatch, room):
+    """Rare and frequent shingles, empty sets, one part and several: as if whole sets had been compared."""
+    monkeypatch.setattr(M, "BROADCAST", room)
+    rows, df = _methods(spark, 5)
+    cut = lambda t, k: {tuple(t[i : i + k]) for i in range(max(len(t) - k + 1, 1))} if t else set()
+    held = {o: (cut(t, 5), set(b), cut(a, 2), set(c)) for o, _, t, b, a, c, _ in rows}
+    near = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    rights = [s for o, x in held.items() if o % 2 for s in x[0]]
+    often = {s for s in rights if rights.count(s) > 3}
+    want = {}
+    for left in range(0, len(rows), 2):
+        for right in range(1, len(rows), 2):
+            shared = len((held[left][0] & held[right][0]) - often)
+            if shared:
+                want[left, right] = shared, sum(w * near(x, y) for w, x, y in zip((0.45, 0.25, 0.20, 0.10), held[left], held[right], strict=True))
+    a, b = df.where("side = 0"), df.where("side = 1")
+    index = M.shingle_index(a, b, C.shingle_hashes(F.col("opcode_tokens")), cap=3)
+    got = {(r.l, r.r): (r.shared, r.sim) for r in M.compared(M.rare_pairs(index), a, b, index).collect()}
+    assert often and want and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_only_the_listed_candidates_are_compared(spark, monkeypatch, tmp_path):
+    """Of 40 candidates the 30 with most shared shingles, before any sets are met."""
+    from kindred.plans import catalogue
+
+    text = "one two three four five six seven"
+    rows = [(0, text, "en")] + [(2 * i + 1, " ".join(text.split()[: 5 + i % 3]) + f" x{i} y{i} z{i}", "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    met, whole = [], M.compared
+    monkeypatch.setattr(M, "compared", lambda pairs, *rest: met.append(pairs.count()) or whole(pairs, *rest))
+    got = catalogue.q_best_candidate_per_left(spark, str(tmp_path)).collect()
+    assert met == [30] and len(got) == 1 and got[0].shared == 3
+
+
+def test_lists_of_equal_rows_meet_once(spark):
+    """Passages shared by the same right rows count all their shingles."""
+    long = [f"t{i}" for i in range(40)]
+    rows = [(0, 0, long), (2, 0, long[:20] + ["q"]), (1, 1, long), (3, 1, long), (5, 1, long[5:])]
+    df = spark.createDataFrame(rows, "ord long, side int, t array<string>")
+    got = M.inverted_candidates(df.where("side = 0"), df.where("side = 1"), C.shingle_hashes(F.col("t"))).collect()
+    assert {(r.l, r.r): r.shared for r in got} == {(0, 1): 36, (0, 3): 36, (0, 5): 31, (2, 1): 16, (2, 3): 16, (2, 5): 11}
