@@ -319,3 +319,26 @@ def test_lists_of_equal_rows_meet_once(spark):
     df = spark.createDataFrame(rows, "ord long, side int, t array<string>")
     got = M.inverted_candidates(df.where("side = 0"), df.where("side = 1"), C.shingle_hashes(F.col("t"))).collect()
     assert {(r.l, r.r): r.shared for r in got} == {(0, 1): 36, (0, 3): 36, (0, 5): 31, (2, 1): 16, (2, 3): 16, (2, 5): 11}
+
+
+def test_copies_meet_as_one_class(spark, monkeypatch):
+    """20 copies a side are one class of all their bands, and every pair of rows comes out once."""
+    met, whole = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, what: met.append((what, df.select("c").distinct().count())) or whole(df, what) if what == "bands" else whole(df, what))
+    rows = [(i, i % 2, [f"t{k}" for k in range(30)]) for i in range(40)] + [(40, 0, []), (41, 1, ["z"])]
+    df = spark.createDataFrame(rows, "ord long, side int, t array<string>")
+    got = [(r.l, r.r) for r in M.lsh_candidates(df.where("side = 0"), df.where("side = 1"), C.shingles(F.col("t")), parameters=(5, 2)).collect()]
+    assert met == [("bands", 1), ("bands", 2)]
+    assert sorted(got) == [(a, b) for a in range(0, 40, 2) for b in range(1, 40, 2)]
+
+
+def test_signatures_move_nothing(spark):
+    """As by the rule in plain integers, also of a row longer than a step; without a shuffle."""
+    from hashlib import md5
+
+    rows = [(1, ["a", "b", "é\x1f"]), (2, []), (3, None), (4, [f"s{i}" for i in range(5000)])]
+    got = M.signatures(spark.createDataFrame(rows, "ord long, s array<string>"), F.col("s"), 7)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    x = lambda s: int(md5(s.encode()).hexdigest()[:8], 16) & (2**31 - 1)
+    want = {o: [min((x(v) * a + b) % M.PRIME for v in s) for a, b in map(M.permutation, range(7))] for o, s in rows if s}
+    assert {r.ord: r.hs for r in got.collect()} == want
