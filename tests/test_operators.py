@@ -168,6 +168,43 @@ def test_banding_loses_nothing(spark):
     assert got == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if bin((x ^ y) & (1 << 64) - 1).count("1") <= 10}
 
 
+def test_wide_radius_is_compared_in_tiles(spark, monkeypatch):
+    """No pair is lost, and no side's keys, hundreds a row at this radius, are listed and broadcast from the driver."""
+    monkeypatch.setattr(M, "TILE", 7)
+    dice = random.Random(4)
+    a = [dice.getrandbits(64) - (1 << 63) for _ in range(30)]
+    b = [x ^ sum(1 << k for k in dice.sample(range(63), dice.randrange(0, 40))) for x in a] + [None]
+    frame = lambda v: spark.createDataFrame(list(enumerate(v)), "ord long, bits long")
+    found = M.hamming_pairs(frame([*a, None]), frame(b), most=20)
+    wanted = {(i, j, d) for i, x in enumerate(a) for j, y in enumerate(b[:-1]) if (d := bin((x ^ y) & (1 << 64) - 1).count("1")) <= 20}
+    assert {(r.l, r.r, r.distance) for r in found.collect()} == wanted
+    assert M.hamming_pairs(frame(a), frame([None]), most=20).count() == 0
+    for most in (10, 20):
+        plan = M.hamming_pairs(frame(a), frame(b), most=most)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize(("classes", "bucket"), [(40, 65_536), (4, 3)])
+def test_proposals_follow_the_sequential_rule(spark, monkeypatch, classes, bucket):
+    """Groups that compete for all rights need few rounds, not one for each left; a long list is dealt in blocks."""
+    monkeypatch.setattr(M, "SETTLED", 0)
+    monkeypatch.setattr(M, "BUCKET", bucket)
+    rounds, kept = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, what: rounds.append(what) or kept(df, what))
+    dice, n = random.Random(6), 40 if classes == 40 else 16
+    group = list(range(n)) if classes == n else [dice.randrange(classes) for _ in range(n)]
+    apart = {(c, r): dice.randrange(50) for c in range(classes) for r in range(n) if classes == n or dice.random() < 0.7}
+    wanted = {}
+    for l, c in enumerate(group):
+        free = [(apart[c, r], r) for r in range(n) if (c, r) in apart and r not in wanted.values()]
+        if free:
+            wanted[l] = min(free)[1]
+    lefts = spark.createDataFrame(list(enumerate(group)), "l long, c long")
+    rights = spark.createDataFrame([(r, c, d) for (c, r), d in apart.items()], "r long, c long, distance long")
+    assert {x.l: x.r for x in M.resolve_groups(lefts, rights, ["c"]).collect()} == wanted
+    assert rounds.count("matches") == 1 and rounds.count("holders") <= 20
+
+
 def test_match_methods(spark):
     def row(i, tokens, size=None):
         return (i, tokens, ["if"], [], [], size or len(tokens), "h" + "".join(tokens), f"m{i}")
