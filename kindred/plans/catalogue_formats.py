@@ -10,7 +10,7 @@ from kindred import config
 from kindred.functions import columns as C
 from kindred.operators import attribution as A
 from kindred.plans import compare, registry, report
-from kindred.plans.catalogue import CLASS, PRINTABLE, _any, query, table
+from kindred.plans.catalogue import CLASS, PRINTABLE, _any, dealt, query, table
 from kindred.sources import archive, dex, manifests, parsers, resources, tree
 
 
@@ -31,6 +31,10 @@ MANIFEST = """case when p_partkey % 11 = 0 then '<broken tok' || p_partkey else
 TAGS = ("action", "activity", "application", "intent-filter", "manifest", "permission", "uses-sdk")
 
 
+def _manifests(spark, sf_dir) -> DataFrame:
+    return dealt(table(spark, sf_dir, "part")).select("p_partkey", F.expr(f"cast({MANIFEST} as binary)").alias("content"))
+
+
 @query(
     f"""select p_partkey, case when bad then '<broken' || chr(10) || 'tok' || p_partkey else array_to_string(list_sort([{", ".join(f"'tag:{t}', 'count:{t}:1'" for t in TAGS)},
     'action:attr:name', 'action:name=act' || p_size % 3, 'activity:attr:exported', 'activity:attr:name', 'activity:exported=true', 'manifest:attr:package', 'permission:attr:name', 'uses-sdk:attr:minSdkVersion', 'uses-sdk:minSdkVersion=' || p_size]), chr(10)) end as features,
@@ -39,7 +43,7 @@ TAGS = ("action", "activity", "application", "intent-filter", "manifest", "permi
 )
 def q_manifest_details(spark, sf_dir):
     """FN-13, FN-14."""
-    p = part(spark, sf_dir, content=f"cast({MANIFEST} as binary)").withColumn("rows", manifests.elements_udf("content"))
+    p = _manifests(spark, sf_dir).withColumn("rows", manifests.elements_udf("content"))
     d = p.select("p_partkey", manifests.details(F.col("rows"), F.col("content")).alias("d"))
     named = F.transform("d.components", lambda c: F.concat(c.tag, F.lit("="), c["name"]))
     return d.select("p_partkey", lines("d.features").alias("features"), "d.package", lines(named).alias("components"), lines("d.permissions").alias("permissions"), lines("d.actions").alias("actions"))
@@ -51,15 +55,14 @@ def q_manifest_details(spark, sf_dir):
 )
 def q_owned_manifest(spark, sf_dir):
     """FN-16: the elements of owned manifests; one that cannot be read gives none."""
-    p = part(spark, sf_dir, content=f"cast({MANIFEST} as binary)").withColumn("x", manifests.owned_values(manifests.elements_udf("content")))
+    p = _manifests(spark, sf_dir).withColumn("x", manifests.owned_values(manifests.elements_udf("content")))
     return p.where("x is not null").select("p_partkey", lines("x").alias("elements"))
 
 
 @query("select distinct 'Lapp/p' || p_size % 7 || '/' as prefix from part where p_partkey % 11 <> 0")
 def q_inferred_prefixes(spark, sf_dir):
     """PRJ-08: class prefixes of the packages that manifests name."""
-    d = part(spark, sf_dir, content=f"cast({MANIFEST} as binary)").withColumn("rows", manifests.elements_udf("content")).select(manifests.details(F.col("rows"), F.col("content")).alias("d"))
-    return compare.inferred_prefixes(d.select("d.*"))
+    return compare.inferred_prefixes(_manifests(spark, sf_dir).select(manifests.package_udf("content").alias("package")))
 
 
 # --- resources -------------------------------------------------------------------------------------------------------------

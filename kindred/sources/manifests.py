@@ -85,11 +85,25 @@ def elements(data: bytes | str | None) -> list[dict] | None:
     return [{"tag": _split(x.tag)[1], "attrs": [dict(zip(("space", "name"), _split(k), strict=True)) | {"value": v} for k, v in x.attrib.items()]} for x in root.iter()]
 
 
-@arrow_udf(ELEMENTS)
+@arrow_udf(ELEMENTS, once=True)
 def elements_udf(content: pd.Series) -> pd.Series:
     return content.map(lambda x: None if x is None else elements(x if isinstance(x, str) else bytes(x)))
 
 
+def package(data: bytes | str | None) -> str | None:
+    """The package that a manifest names, without its elements being listed."""
+    root = parse_xml(data)
+    if root is not None:
+        return root.get("package")
+    found = binary_elements(bytes(data)) if isinstance(data, bytes | bytearray) and data else None
+    return next((a["value"] for a in found[0]["attrs"] if (a["space"], a["name"]) == ("", "package")), None) if found else None
+
+
+@arrow_udf("string", once=True)
+def package_udf(content: pd.Series) -> pd.Series:
+    return content.map(lambda x: None if x is None else package(x if isinstance(x, str) else bytes(x)))
+
+
 def _pairs(rows: Column) -> Column:
     """Every attribute with its element's tag."""
     return F.flatten(F.transform(rows, lambda e: F.transform(e.attrs, lambda a: F.struct(e.tag.alias("tag"), a["space"].alias("space"), a["name"].alias("name"), a["value"].alias("value")))))

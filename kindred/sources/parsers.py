@@ -37,13 +37,15 @@ SIZES = {"smallest_screen_width_dp": "sw", "screen_width_dp": "w", "screen_heigh
 # --- end of the fixed values ---
 
 
-def arrow_udf(kind: str):
-    """A pandas UDF that is made when it is used, so that importing needs no session."""
+def arrow_udf(kind: str, once: bool = False):
+    """A pandas UDF that is made when it is used, so that importing needs no session.  once: a filter on what follows from it is not
+    moved below it, where it would parse every document again."""
 
     def wrap(f):
         @functools.wraps(f)
         def call(*columns):
-            return F.pandas_udf(f, kind)(*columns)
+            made = F.pandas_udf(f, kind)
+            return (made.asNondeterministic() if once else made)(*columns)
 
         return call
 

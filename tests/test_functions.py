@@ -169,6 +169,23 @@ def test_manifest(spark, binary):
     assert owned == ["permission:name=com.app.P", "activity:name=.Main|exported=True", "intent-filter", "action:name=com.app.GO", "provider:name=Data"]
 
 
+def test_a_manifest_is_parsed_once(spark):
+    """A filter on what was parsed does not parse again; a package is read without the elements."""
+    from xml.etree import ElementTree
+
+    from kindred.plans import compare
+
+    given = [MANIFEST.encode(), binary_manifest(ElementTree.fromstring(MANIFEST)), b"<manifest/>", b'<m xmlns:a="u" a:package="x"/>', b'<m package=""/>', b"<abc><x", b"", None]
+    df = spark.createDataFrame([(x,) for x in given], "c binary")
+    details = df.withColumn("r", manifests.elements_udf("c")).select(manifests.details(F.col("r"), F.col("c")).alias("d")).select("d.*")
+    packages = df.select(manifests.package_udf("c").alias("package"))
+    assert [r.package for r in packages.collect()] == [r.package for r in details.collect()] == ["com.app", "com.app", None, None, "", None, None, None]
+    for found in (details, packages):
+        prefixes = compare.inferred_prefixes(found)
+        assert str(prefixes._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+        assert {r.prefix for r in prefixes.collect()} == {"Lcom/app/", "L/"}
+
+
 def test_manifests_that_cannot_be_read(spark):
     d, owned = manifest_of(spark, b"<abc><x")
     assert d.features == ["<abc><x"] and d.package is None and d.components == d.actions == [] and owned is None
