@@ -52,6 +52,35 @@ def test_tie_takes_the_lowest_index_and_the_cap_counts_free_ones(spark):
     assert {r.l: r.r for r in got} == {i: i for i in range(31)}
 
 
+def test_what_a_later_left_takes_still_fills_the_cap(spark, monkeypatch):
+    """2 looks at 20, which is below the threshold but free in its turn, and so not at 21; that 3, which waits for none, takes 20 is later."""
+    monkeypatch.setattr(M, "SETTLED", 0)
+    edges = [(1, 22, 1, 5, 0.9), (2, 22, 1, 9, 0.8), (2, 20, 1, 7, 0.2), (2, 21, 1, 6, 0.9), (3, 20, 1, 5, 0.9)]
+    got = M.resolve(spark.createDataFrame(edges, schemas.EDGES), threshold=0.7, cap=1).collect()
+    assert {r.l: r.r for r in got} == sequential(edges, 0.7, 1) == {1: 22, 3: 20}
+
+
+def test_a_large_component_takes_few_rounds(spark, monkeypatch):
+    """All lefts want the same rights, so each waits for the one before: blocks of lefts, not lefts, are rounds."""
+    monkeypatch.setattr(M, "SETTLED", 150)
+    rounds, kept = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, what: rounds.append(what) or kept(df, what))
+    edges = [(a, b, 1, b % 3, 0.5 + (a * b) % 5 / 10) for a in range(20) for b in range(20)]
+    got = M.resolve(spark.createDataFrame(edges, schemas.EDGES), threshold=0.7, cap=6).collect()
+    assert {r.l: r.r for r in got} == sequential(edges, 0.7, 6)
+    assert 1 < rounds.count("matches") <= 4 and len(rounds) <= 20
+
+
+def test_edges_that_decide_nothing_are_dropped(spark):
+    """Of 200 listed rights those before the last that can win, and of these the ones that another left may take."""
+    edges = [(1, r, 1, 500 - r, 0.9 if r == 12 else 0.1) for r in range(200)] + [(0, r, 1, 1, 0.8) for r in (4, 12, 50)]
+    df = spark.createDataFrame(edges, schemas.EDGES)
+    rows = {(r.l, r.r): (r.base, r.contested) for r in M.deciding(df, 12, 0.7).collect()}
+    assert rows == {(0, 4): (0, False), (0, 12): (1, False), (0, 50): (2, False), (1, 4): (4, True), (1, 12): (11, True)}
+    assert {(r.l, r.r) for r in M.deciding(df, 13, 0.7).collect()} == rows.keys() - {(1, 4)}
+    assert {r.l: r.r for r in M.resolve(df, threshold=0.7, cap=12).collect()} == sequential(edges, 0.7, 12)
+
+
 def test_ranked_in_buckets(spark):
     rows = [(i % 3, i) for i in range(50)]
     got = M.ranked(spark.createDataFrame(rows, "g long, ord long"), ["g"], "ord", bucket=7).collect()
