@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,35 @@ def test_signatures_move_nothing(spark):
     x = lambda s: int(md5(s.encode()).hexdigest()[:8], 16) & (2**31 - 1)
     want = {o: [min((x(v) * a + b) % M.PRIME for v in s) for a, b in map(M.permutation, range(7))] for o, s in rows if s}
     assert {r.ord: r.hs for r in got.collect()} == want
+
+
+@pytest.mark.parametrize(("tile", "many"), [(4096, 8192), (7, 2)])
+def test_similarities_of_all_pairs(spark, monkeypatch, tile, many):
+    """One tile and several, by products of matrices and pair by pair: as if whole sets had been compared."""
+    monkeypatch.setattr(M, "TILE", tile)
+    rows, df = _methods(spark, 5)
+    cut = lambda t, k: {tuple(t[i : i + k]) for i in range(max(len(t) - k + 1, 1))} if t else set()
+    held = {o: (cut(t, 5), set(b), cut(a, 2), set(c)) for o, _, t, b, a, c, _ in rows}
+    near = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    want = {(a, b): (len(x[0] & y[0]), sum(w * near(p, q) for w, p, q in zip((0.45, 0.25, 0.20, 0.10), x, y, strict=True))) for a, x in held.items() for b, y in held.items() if a % 2 < b % 2 and x[0] & y[0]}
+    got = {(r.l, r.r): (r.shared, r.sim) for r in M.similarities(df.where("side = 0"), df.where("side = 1")).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    dice = random.Random(many)
+    lists = [[[dice.randrange(20) for _ in range(dice.randrange(9))] for _ in range(n)] for n in (13, 17)]
+    lists = [[sorted(set(x)) for x in side] for side in lists]
+    x, y = (pa.table({"v": pa.array(side, pa.list_(pa.int64()))}) for side in lists)
+    found = M._counts(M._met(x, y, "v"), 3, 11, 17, many, 5)
+    assert found.tolist() == [[len({*a} & {*b}) for b in lists[1]] for a in lists[0][3:11]]
+    assert not M._counts(M._met(x, y.slice(0, 0), "v"), 0, 13, 0).size
+
+
+def test_pair_similarity_of_a_frequent_line(spark, tmp_path):
+    """A line that more than 200 right rows have makes pairs as any other."""
+    from kindred.plans import catalogue
+
+    rows = [(i, f"one two three four five x{i}", "en") for i in range(420)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.q_pair_similarity(spark, str(tmp_path))
+    assert got.count() == got.select("l", "r").distinct().count() == 210 * 210 and got.where("shared = 1").count() == 210 * 210
+    assert "200" not in catalogue.ORACLE["q_pair_similarity"] and "<= 200" in catalogue.ORACLE["q_inverted_candidates"]
