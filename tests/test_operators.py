@@ -441,3 +441,19 @@ def test_pair_similarity_of_a_frequent_line(spark, tmp_path):
     got = catalogue.q_pair_similarity(spark, str(tmp_path))
     assert got.count() == got.select("l", "r").distinct().count() == 210 * 210 and got.where("shared = 1").count() == 210 * 210
     assert "200" not in catalogue.ORACLE["q_pair_similarity"] and "<= 200" in catalogue.ORACLE["q_inverted_candidates"]
+
+
+def test_large_sets_are_not_broadcast(spark, monkeypatch):
+    """Sets beyond the room reach the pairs by joins: nothing of them goes through the driver, in whatever parts."""
+    _, df = _methods(spark, 7)
+    a, b = df.where("side = 0"), df.where("side = 1")
+    index = M.shingle_index(a, b, C.shingle_hashes(F.col("opcode_tokens")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda: M.compared(M.rare_pairs(index), a, b, index)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan()
+        monkeypatch.setattr(M, "BROADCAST", 900)
+        assert "BroadcastExchange" not in plan()
+        assert "BroadcastExchange" not in M.similarities(a, b)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
